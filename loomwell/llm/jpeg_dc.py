@@ -209,40 +209,50 @@ def _decode_group(images, out, order, dc, ac, scans, width) -> None:
     base = np.cumsum(unit) - unit  # first block of each lane
     value = np.zeros((int(unit.sum()), width), np.int16)
     lane = np.arange(len(begin))
-    pos, block, k, last = begin * 8, np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64), np.zeros((len(begin), max(order) + 1), np.int64)
+    pos, block, k, last = begin * 8, np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int32), np.zeros((len(begin), max(order) + 1), np.int64)
     luts = {}
     for table in {*dc, *ac}:
         luts[table] = huffman(table)[:2]
     table_ids = {t: n for n, t in enumerate(luts)}
-    symbols, lengths = np.concatenate([luts[t][0] for t in luts]), np.concatenate([luts[t][1] for t in luts])
+    # symbol and code length of the next 16 bits in one number, table after table
+    lookup = np.concatenate([(luts[t][0] << 8 | luts[t][1]).astype(np.int32) for t in luts])
     dc_of, ac_of, component = np.array([table_ids[t] for t in dc]), np.array([table_ids[t] for t in ac]), np.array(order)
     limit = len(word)
     while len(lane):
         unit_at = block % per if per > 1 else 0
         first = k == 0
-        which = np.where(first, dc_of[unit_at], ac_of[unit_at])
-        if (pos >> 3).max() >= limit:
+        at = pos >> 3
+        if at.max() >= limit:
             raise ValueError("a scan is cut off")
-        bits = word[pos >> 3] << (pos & 7).astype(np.uint32)
-        entry = which * 65536 + (bits >> np.uint32(16))
-        symbol, length = symbols[entry], lengths[entry]
+        bits = word[at] << (pos & 7).astype(np.uint32)
+        next16 = (bits >> np.uint32(16)).astype(np.int32)
+        any_first, any_later = first.any(), not first.all()
+        if per > 1 or any_first and any_later:
+            entry = lookup[np.where(first, dc_of[unit_at], ac_of[unit_at]) * 65536 + next16]
+        else:  # all lanes use the same table
+            which = int(dc_of[0] if any_first else ac_of[0]) * 65536
+            entry = lookup[which : which + 65536][next16]
+        symbol, length = entry >> 8, entry & 255
         if not length.all():
             raise ValueError("a scan has no such code")
         size = symbol & 15
-        pos += length
-        more = word[pos >> 3] << (pos & 7).astype(np.uint32) if int((length + size).max()) > 24 else bits << length.astype(np.uint32)
-        raw = (more >> np.uint32(16)).astype(np.int64) >> (16 - size)
-        pos += size
-        number = np.where(size > 0, np.where(raw >> np.maximum(size - 1, 0) > 0, raw, raw - (1 << size) + 1), 0)
+        if int((length + size).max()) > 24:
+            after = pos + length
+            bits = word[after >> 3] << (after & 7).astype(np.uint32)
+        else:
+            bits <<= length.astype(np.uint32)
+        raw = ((bits >> np.uint32(16)) >> (16 - size).astype(np.uint32)).astype(np.int32)
+        pos += length + size
+        number = np.where((raw << 1) >> size > 0, raw, raw - (1 << size) + 1)  # no bits: 0
         run = symbol >> 4
         where = base[lane] + block
-        if first.any():
+        if any_first:
             c = component[unit_at] if per > 1 else component[0]
             f = np.flatnonzero(first)
             cf = c[f] if per > 1 else c
             last[lane[f], cf] += number[f]
             value[where[f], 0] = last[lane[f], cf]
-        if not first.all():
+        if any_later:
             end = (symbol == 0) & ~first
             to = np.where(first, 0, k + run)
             if width > 1:
@@ -319,13 +329,13 @@ def _entropy(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(blocks)
     code, length = ac_code[blocks], ac_length[blocks]  # a zero coefficient has no code of its own
     code[:, 0], length[:, 0] = dc_code[blocks[:, 0]], dc_length[blocks[:, 0]]
-    extra_code, extra_length = np.zeros((n, 65), np.int64), np.zeros((n, 65), np.int64)
     set_ = blocks != 0
     set_[:, 0] = True
     last = 63 - np.argmax(set_[:, ::-1], axis=1)
-    extra_code[:, 64] = np.where(last < 63, codes[0x00][0], 0)  # end of block
-    extra_length[:, 64] = np.where(last < 63, codes[0x00][1], 0)
+    end_code, end_length = np.where(last < 63, codes[0x00][0], 0), np.where(last < 63, codes[0x00][1], 0).astype(np.int32)
     gaps = np.flatnonzero((set_.sum(axis=1) < last + 1))
+    if len(gaps):
+        zeros_code, zeros_length = np.zeros((n, 64), np.int32), np.zeros((n, 64), np.int32)
     for b in gaps:  # zeros between other values: rare in texts
         previous = 0
         for k in np.flatnonzero(set_[b])[1:]:
@@ -336,20 +346,26 @@ def _entropy(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 code[b, k], length[b, k] = (c << size) | x, m + size
                 z, zn = codes[0xF0]
                 for _ in range(run // 16):
-                    extra_code[b, k] = (extra_code[b, k] << zn) | z
-                    extra_length[b, k] += zn
-    codes_all, lengths_all = np.zeros((n, 130), np.int64), np.zeros((n, 130), np.int64)
-    codes_all[:, 0:128:2], codes_all[:, 1:129:2] = extra_code[:, :64], code
-    lengths_all[:, 0:128:2], lengths_all[:, 1:129:2] = extra_length[:, :64], length
-    codes_all[:, 128], lengths_all[:, 128] = extra_code[:, 64], extra_length[:, 64]
-    total = lengths_all.sum(axis=1)
+                    zeros_code[b, k] = (zeros_code[b, k] << zn) | z
+                    zeros_length[b, k] += zn
+    # each coefficient's code, the end of block, and ones up to a whole byte
+    total = length.sum(axis=1, dtype=np.int32) + end_length
+    if len(gaps):
+        total += zeros_length.sum(axis=1, dtype=np.int32)
     pad = -total % 8
-    codes_all[:, 129], lengths_all[:, 129] = (1 << pad) - 1, pad
+    codes_all, lengths_all = np.empty((n, 66), np.int32), np.empty((n, 66), np.int32)
+    codes_all[:, :64], codes_all[:, 64], codes_all[:, 65] = code, end_code, (1 << pad) - 1
+    lengths_all[:, :64], lengths_all[:, 64], lengths_all[:, 65] = length, end_length, pad
+    if len(gaps):  # the runs of 16 zeros before a coefficient
+        both_codes, both_lengths = np.zeros((n, 66, 2), np.int32), np.zeros((n, 66, 2), np.int32)
+        both_codes[:, :64, 0], both_codes[:, :, 1] = zeros_code, codes_all
+        both_lengths[:, :64, 0], both_lengths[:, :, 1] = zeros_length, lengths_all
+        codes_all, lengths_all = both_codes, both_lengths
     size = (total + pad) // 8
-    c, m = codes_all.ravel(), lengths_all.ravel()
-    some = m > 0
-    c, m = c[some], m[some]
-    at = np.cumsum(m) - m
+    m = lengths_all.ravel()
+    some = np.flatnonzero(m)
+    c, m = codes_all.ravel()[some], m[some]
+    at = np.cumsum(m, dtype=np.int64) - m
     word = at >> 5
     shifted = c.astype(np.uint64) << (64 - (at & 31) - m).astype(np.uint64)
     first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
@@ -370,7 +386,7 @@ def store(payloads: list[bytes]) -> list[bytes]:
     counts = [len(p) // BLOCK for p in payloads]
     padded = [-(-n // min(n, ROW)) * min(n, ROW) for n in counts]
     joined = b"".join(p + bytes(BLOCK * (m - n)) for p, n, m in zip(payloads, counts, padded, strict=True))
-    data, begin = _entropy(np.frombuffer(joined, np.uint8).reshape(-1, BLOCK).astype(np.int64))
+    data, begin = _entropy(np.frombuffer(joined, np.uint8).reshape(-1, BLOCK))
     dc, ac = _codes()[:2]
     tables = b"\xff\xdb\x00\x43\x00" + b"\x01" * 64 + b"".join(b"\xff\xc4" + struct.pack(">HB", 3 + len(t), k) + t for k, t in ((0x00, dc), (0x10, ac))) + b"\xff\xdd\x00\x04\x00\x01\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00"
     # restart markers: two bytes after each block but an image's last

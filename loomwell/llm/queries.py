@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.llm import jpeg_dc, license_rules, quality_rules, simhash, url_rules
+from loomwell.llm import jpeg_dc, license_rules, quality_rules, simhash, sp_wfst, url_rules
 from loomwell.llm.common import table
 
 # The rules of the URL query.
@@ -20,6 +20,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, rules)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_wfst.encode(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -40,6 +44,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash": op5_simhash,
     "op8_url_filters": op8_url_filters,
     "op9_jpeg_media": op9_jpeg_media,
