@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.llm import jpeg_dc, license_rules, quality_rules, simhash, sp_wfst, url_rules
+from loomwell.llm import arc_warc, jpeg_dc, license_rules, quality_rules, simhash, sp_wfst, url_rules
 from loomwell.llm.common import table
 
 # The rules of the URL query.
@@ -29,6 +29,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = arc_warc.pages_through_archives(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.url_verdicts(table(spark, sf_dir, "pages"), rules)
@@ -46,12 +51,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash": op5_simhash,
+    "op6_warc": op6_warc,
     "op8_url_filters": op8_url_filters,
     "op9_jpeg_media": op9_jpeg_media,
     "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS hex, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+           (('0x' || substr(hex, 1 + (i // 4) * 5, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d
+""",
     "op8_url_filters": f"""
 WITH rules(h, p, v) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
 urls AS (SELECT page_id, row_number() OVER () AS rn,
