@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.llm import arc_warc, jpeg_dc, license_rules, quality_rules, simhash, sp_wfst, url_rules
+from loomwell.llm import arc_warc, jpeg_dc, license_rules, quality_rules, reshard, simhash, sp_wfst, url_rules
 from loomwell.llm.common import table
 
 # The rules of the URL query.
@@ -34,6 +34,15 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 32 shards by text checksum, equal texts together, to 40 of near equal bytes."""
+    checksum = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    files, _ = reshard.reshard(table(spark, sf_dir, "documents"), checksum % 32, 40)
+    t = F.coalesce("text", F.lit(""))
+    size = (F.octet_length(t) + F.lit(reshard.ROW_OVERHEAD)).cast("long")
+    return files.select("doc_id", size.alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.url_verdicts(table(spark, sf_dir, "pages"), rules)
@@ -52,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash": op5_simhash,
     "op6_warc": op6_warc,
+    "op7_reshard": op7_reshard,
     "op8_url_filters": op8_url_filters,
     "op9_jpeg_media": op9_jpeg_media,
     "op10_license_scan": op10_license_scan,
