@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.llm import arc_warc, jpeg_dc, license_rules, quality_rules, reshard, simhash, sp_wfst, url_rules
+from loomwell.llm import arc_warc, html_crf, jpeg_dc, license_rules, mixing, quality_rules, reshard, simhash, sp_wfst, url_rules
 from loomwell.llm.common import table
 
 # The rules of the URL query.
@@ -20,6 +20,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, rules)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = table(spark, sf_dir, "labels").select("doc_id", mixing.domain_of_labels().alias("domain"))
+    return mixing.document_rates(table(spark, sf_dir, "documents"), labelled)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_wfst.encode(table(spark, sf_dir, "documents"))
 
@@ -58,6 +67,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_mixing": op3_mixing,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash": op5_simhash,
     "op6_warc": op6_warc,
