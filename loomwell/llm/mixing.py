@@ -74,7 +74,7 @@ class Membership:
         return scored.withColumn(into, vector_to_array("__probability")).drop("__tokens", "__features", "__raw", "__probability", "__prediction")
 
 
-def fit_membership(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_bound: int = 8_000, n_features: int = 1 << 15, rounds: int = 25) -> Membership:
+def fit_membership(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_bound: int = 8_000, n_features: int = 1 << 15, rounds: int = 40) -> Membership:
     """Fits the classifier on at most about ``sample_bound`` labelled ids, picked by hash.
 
     labelled: doc_id, domain. The bound is what makes the sample's ids small
@@ -93,7 +93,7 @@ def fit_membership(docs: DataFrame, labelled: DataFrame, domains: list[str], sam
         return Membership(present or domains[:1], None, n_features)
     index = F.coalesce(*[F.when(F.col("__domain") == d, F.lit(float(i))) for i, d in enumerate(present)])
     hashed = HashingTF(inputCol="__tokens", outputCol="__features", numFeatures=n_features, binary=True).transform(sample.select("__tokens", index.alias("__label")))
-    lr = LogisticRegression(featuresCol="__features", labelCol="__label", probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__prediction", family="multinomial", maxIter=rounds, regParam=0.01)
+    lr = LogisticRegression(featuresCol="__features", labelCol="__label", probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__prediction", family="multinomial", maxIter=rounds, regParam=0.003, elasticNetParam=0.5)
     return Membership(present, lr.fit(hashed.select("__features", "__label")), n_features)
 
 
@@ -123,7 +123,7 @@ class Rates:
         return F.aggregate(errors, rate, step)
 
 
-def solve(narrow: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, pull: float = 1e-3, most_steps: int = 60, tolerance: float = 1e-3, keep_every: int = 10) -> Rates:
+def solve(narrow: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, pull: float = 1e-3, most_steps: int = 40, tolerance: float = 2e-3, keep_every: int = 10) -> Rates:
     """Projected gradient for the rates of ``narrow`` (__tokens, __posterior).
 
     budget: tokens after mixing. Every ``keep_every`` steps the rates so far
@@ -151,7 +151,7 @@ def solve(narrow: DataFrame, domains: list[str], targets: dict[str, float], budg
         rate = out.column(p, F.col("__rate"), since)
         sums = table.withColumn("__r", rate).agg(*[F.sum(F.col("__r") * t * F.get(p, F.lit(d))) for d in dims]).first()
         before, out.reached = out.reached, [x / total for x in sums]
-        if max(abs(a - b) for a, b in zip(before, out.reached, strict=True)) <= tolerance * min(x for x in goals if x > 0) * 0.1:
+        if all(abs(a - b) <= tolerance * goal for a, b, goal in zip(before, out.reached, goals, strict=True)):
             break
     return out
 
