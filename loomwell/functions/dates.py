@@ -25,7 +25,7 @@ def hyphen_date(text: Column) -> Column:
 
 def period(text: Column) -> tuple[Column, Column]:
     """Start and end of 'a ~ b'. A hyphen parts too, so that hyphenated dates aren't found."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "~|–|-|to"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "~|–|-|to"), lambda x: F.trim(x)), lambda x: x != "")
     pick = lambda i, none: F.coalesce(F.nullif(hyphen_date(F.get(parts, F.lit(i))), F.lit("")), F.lit(none))
     return pick(0, NO_START), pick(1, NO_END)
 

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What Python calls white space, for Java's regular expressions.
 SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -21,12 +22,12 @@ def collapse(c: Column) -> Column:
     return F.regexp_replace(c, f"{SPACE}+", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """HTML character references decoded."""
     return texts.map(lambda t: t if t is None else html.unescape(t))

@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Mobile hosts by rule, in order: a URL that contains the first has the second replaced by the third.
 MOBILE_RULES = [("event.kt.com", "https://event.kt.com", "https://m.kt.com"), ("shop.kt.com", "https://shop.kt.com", "https://m.shop.kt.com"), ("product.kt.com", "https://product.kt.com", "https://m.product.kt.com")]
@@ -102,7 +103,7 @@ def urls_in_text(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;)\]}]+$", "")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def absolute(base: pd.Series, link: pd.Series) -> pd.Series:
     """A link resolved against its page."""
     return pd.Series([None if x is None else urljoin(b or "", x) for b, x in zip(base, link, strict=True)])

@@ -83,10 +83,14 @@ def structured(pages: DataFrame, key: str = "page_id", least_alt: int = 3, least
     return rows.mapInPandas(work, f"key {rows.schema['key'].dataType.simpleString()}, url string, {PAGE}").withColumnRenamed("key", key)
 
 
-@F.pandas_udf("array<array<array<string>>>")
-def table_grids(htmls: pd.Series) -> pd.Series:
+def table_grids(html: Column) -> Column:
     """Each table's rows of cell texts, spans filled in."""
-    return htmls.map(lambda h: [[[t for t, _ in row] for row in dom.grid(t)] for t in dom.tree(h).all("table")])
+
+    @F.pandas_udf("array<array<array<string>>>")
+    def grids(htmls: pd.Series) -> pd.Series:
+        return htmls.map(lambda h: [[[t for t, _ in row] for row in dom.grid(t)] for t in dom.tree(h).all("table")])
+
+    return grids(html)
 
 
 BLOCKS = "array<struct<id:int,type:string,title:string,data:string,headers:array<string>,rows:array<struct<row_id:int,data:map<string,string>>>>>"
@@ -126,9 +130,16 @@ def _blocks(markdown: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf(BLOCKS)
-def markdown_blocks(texts: pd.Series) -> pd.Series:
-    return texts.map(_blocks)
+def markdown_blocks(df: DataFrame, key: str, markdown: str) -> DataFrame:
+    """key, i and the typed block for each block of a Markdown column."""
+
+    def work(batches):
+        for b in batches:
+            yield pd.DataFrame({"key": b["key"], "blocks": [_blocks(x) for x in b["markdown"]]})
+
+    rows = df.select(F.col(key).alias("key"), F.col(markdown).alias("markdown"))
+    out = rows.mapInPandas(work, f"key {rows.schema['key'].dataType.simpleString()}, blocks {BLOCKS}")
+    return out.select(F.col("key").alias(key), F.posexplode("blocks").alias("i", "block"))
 
 
 def title_resolved(menu_path: Column, meta_title: Column, page_title: Column, default: str = "제목 없음") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def hierarchy(path: Column) -> Column:
     """The path's segments, trimmed, without blank ones."""
-    return F.filter(F.transform(F.split(F.coalesce(path, F.lit("")), r"\^"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(path, F.lit("")), r"\^"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def last_segment(path: Column) -> Column:
