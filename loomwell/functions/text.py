@@ -80,7 +80,7 @@ def safe_filename(c: Column, most: int = 100) -> Column:
     g = [F.regexp_extract(t, when, i) for i in range(8)]
     span = F.concat(two(g[1]), two(g[2]), g[3], F.lit("("), two(g[4]), g[5], F.lit("-"), two(g[6]), g[7], F.lit(")"))
     # the first span's text takes the place of all, as a replacement without group references
-    t = F.when(g[0] != "", F.array_join(F.split(t, when), span)).otherwise(t)
+    t = F.when(g[0] != "", F.call_function("array_join", F.split(t, when), span)).otherwise(t)
     for pattern, to in ((r"(\d{1,2}):(\d{2})", "$1$2"), (r"(\d{1,2})/(\d{1,2})", "$1$2"), (r"\s*~\s*", "to"), (r"\s+", " ")):
         t = F.regexp_replace(t, pattern, to)
     return strip(F.regexp_replace(F.substring(t, 1, most), r'[<>:"/\\|?*]', ""))
