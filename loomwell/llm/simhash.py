@@ -122,9 +122,10 @@ def trie_links(value: np.ndarray, starts: list[np.ndarray], bit: int, errors: in
 
 def _walk(batches: Iterator[pd.DataFrame], width: int, errors: int) -> Iterator[pd.DataFrame]:
     """Stars of one task's tries. Columns: job, depth, a, b (its two subtrees), turned, fp."""
-    rows = pd.concat(list(batches), ignore_index=True)
-    if rows.empty:
+    parts = [b for b in batches if len(b)]
+    if not parts:
         return
+    rows = pd.concat(parts, ignore_index=True)
     rows["turned"] = rows["turned"].to_numpy(np.int64).view(np.uint64)
     rows = rows.sort_values(["depth", "job", "a", "b", "turned"], kind="stable", ignore_index=True)
     fp, index = np.unique(rows["fp"].to_numpy(np.int64), return_inverse=True)
