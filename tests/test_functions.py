@@ -34,7 +34,7 @@ def test_file_names(spark):
 
 def test_cleaning(spark):
     md = "![](u)![alt](u) [t](javascript:x) [u](http://v) [](  )\\\\ <b>z</b>\n\n\n\n  -   item  \n=====\n닫기\n피해  사례"
-    assert one(spark, md, text.clean_info) == "alt t u [](  ) z\n\n- item\n\n피해사례"
+    assert one(spark, md, text.clean_info) == "alt t u [](  ) z\n- item\n\n피해사례"
     assert one(spark, "", text.clean_info) == "" and one(spark, None, text.clean_info) == ""
     kinds = values(spark, [("홈^공지사항", "x"), ("홈", "# 통신사기주의보"), ("홈", "x"), ("홈^공지사항", "")], "p string, t string", text.content_type(F.col("p"), F.col("t")))
     assert [k for k, in kinds] == ["notice", "notice", "info", "info"]

@@ -10,8 +10,11 @@ def test_stream_equals_batch(spark, tmp_path):
     for i in range(3):  # three files in order: three batches
         events.filter((F.col("ord") > n * i // 3 - (i == 0)) & (F.col("ord") <= n * (i + 1) // 3)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = p.reduce_stream(stream).writeStream.outputMode("update").format("memory").queryName("reduced").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = p.reduce_stream(stream).writeStream.outputMode("update").format("memory").queryName("reduced").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
     got = {}
     for r in spark.sql("SELECT * FROM reduced").collect():
         if r.task_id not in got or r.n_events >= got[r.task_id].n_events:
