@@ -92,8 +92,8 @@ def reduce_stream(events: DataFrame, idle_seconds: int = 300) -> DataFrame:
             return
         s = dict(zip(_NAMES, state.get, strict=True)) if state.exists else {"status": "running", "progress": 0, "success": 0, "failed": 0, "url": None, "message": None, "n_events": 0}
         rows = pd.concat(list(batches)).sort_values("ord")
-        for e in rows.astype(object).where(rows.notna(), None).to_dict("records"):
-            s = _step(s, e)
+        for e in rows.to_dict("records"):  # pandas turns null numbers into NaN, and the rest of their column into floats
+            s = _step(s, {k: None if pd.isna(v) else int(v) if isinstance(v, float) else v for k, v in e.items()})
         state.update(tuple(s[n] for n in _NAMES))
         state.setTimeoutDuration(idle_seconds * 1000)
         yield pd.DataFrame([{"task_id": key[0], **s}])
