@@ -139,9 +139,6 @@ def preview(c: Column, most: int = 200) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
 
 
-def unique_in_order(a: Column) -> Column:
-    return F.array_distinct(a)
-
 
 # Terms that a question with the first word is also searched for.
 EXPANSIONS = {"홈코노미": ["홈코노미", "홈코노미캠페인"], "eSIM": ["eSIM", "eSIM이동"], "듀얼번호": ["듀얼번호", "듀얼번호가입"], "데이터쉐어링": ["데이터쉐어링", "데이터쉐어링가입"]}
