@@ -122,7 +122,7 @@ def _placed(rows: DataFrame, offsets: DataFrame, cuts: dict[int, list[tuple[int,
     return rows.withColumn("__rank", F.col("__rank") + F.col("__rows_before") - 1).withColumn("__target", F.coalesce(target, F.element_at(own, -1)["to"]))
 
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int, key: str = "doc_id", text: str = "text", capacities: list[int] | None = None, block_rows: int = 20_000, path: str | None = None) -> tuple[DataFrame, list[Transfer]]:
+def reshard(docs: DataFrame, old_shard: Column, shards: int, key: str = "doc_id", text: str = "text", capacities: list[int] | None = None, block_rows: int = 1_000, path: str | None = None) -> tuple[DataFrame, list[Transfer]]:
     """``docs`` with columns size, text_crc32, shard and slot, from the new files; and the transfers.
 
     old_shard: the shard, from 0, where a row lies now. A block holds about
