@@ -66,12 +66,7 @@ class Transducer:
         self.output[self.unknown] = proto.trainer_spec.unk_surface.encode()
         self.byte_ids = frozenset(self.bytes.values())
         self.remember, self.paths, self.older, self.pairs = remember, {}, {}, {}
-        self.trie: dict = {}
-        for piece, i in self.arcs.items():
-            node = self.trie
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = i
+        self._build()
         self.parts = re.compile(self._cut_pattern())
 
     def _cut_pattern(self) -> str:
@@ -88,6 +83,47 @@ class Transducer:
             return "(?s)."
         return f"(?s)[{SPACE}{text}]+|." if after_text else f"(?s){SPACE}*[{text}]+|{SPACE}+|."
 
+    def _build(self) -> None:
+        """The automaton of the pieces: its state after a character is the longest end of the text that begins a piece.
+
+        ``ends`` has, for each state, the pieces that end there, longest first.
+        """
+        self.moves: list[dict[str, int]] = [{}]
+        own: list[int] = [-1]
+        for piece, i in self.arcs.items():
+            state = 0
+            for c in piece:
+                after = self.moves[state].get(c)
+                if after is None:
+                    after = self.moves[state][c] = len(self.moves)
+                    self.moves.append({})
+                    own.append(-1)
+                state = after
+            own[state] = i
+        self.shorter, self.ends = [0] * len(self.moves), [()] * len(self.moves)
+        level = [(0, c, s) for c, s in self.moves[0].items()]
+        while level:
+            further = []
+            for above, c, state in level:
+                fallback = self.shorter[above]
+                while above and fallback and c not in self.moves[fallback]:
+                    fallback = self.shorter[fallback]
+                self.shorter[state] = self.moves[fallback].get(c, 0) if above else 0
+                mine = ((own[state], len(self.surface[own[state]])),) if own[state] >= 0 else ()
+                self.ends[state] = mine + self.ends[self.shorter[state]]
+                further += [(state, x, s) for x, s in self.moves[state].items()]
+            level = further
+
+    def _move(self, state: int, c: str) -> int:
+        """The state after ``c`` where the trie has no such step; kept for states below the root."""
+        at = state
+        while at and c not in self.moves[at]:
+            at = self.shorter[at]
+        after = self.moves[at].get(c, 0)
+        if state and after:
+            self.moves[state][c] = after
+        return after
+
     def normalise(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
@@ -132,22 +168,15 @@ class Transducer:
         """
         n, fixed, pairs, unigram = len(part), len(self.surface), self.pairs, self.unigram
         total, back, last = [0.0] + [INFINITE] * n, [0] * (n + 1), [-1] * (n + 1)
+        moves, ends, state = self.moves, self.ends, 0
         for end in range(1, n + 1):
-            # pieces that end here, from the trie of reversed pieces; the last character alone always is an arc
-            node = self.trie.get(part[end - 1])
-            if node is None:
-                found = [(end - 1, fixed + ord(part[end - 1]))]
-            else:
-                found, begin = [(end - 1, node[""] if "" in node else fixed + ord(part[end - 1]))], end - 1
-                while begin:
-                    node = node.get(part[begin - 1])
-                    if node is None:
-                        break
-                    begin -= 1
-                    if "" in node:
-                        found.append((begin, node[""]))
-            while found:  # the longest first
-                begin, arc = found.pop()
+            c = part[end - 1]
+            state = moves[state].get(c) or self._move(state, c)
+            found = ends[state]
+            if not found or found[-1][1] > 1:  # a character that is no piece: byte fallback
+                found = (*found, (fixed + ord(c), 1))
+            for arc, length in found:
+                begin = end - length
                 before = last[begin]
                 w = None if unigram else pairs.get(before << 32 | arc)
                 if w is None:
