@@ -528,3 +528,46 @@ def test_pipeline_edges(spark, edge):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, cut.limit(0), SF).count() == 0
         assert stage(spark, cut, SF).count() <= len(EDGE) + 1
+
+
+def plain_near_copies(texts, least=0.8):
+    """The smallest index of each text's component, by all pairs' similarity."""
+    sets = []
+    for t in texts:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(a & sets[j])
+            if n >= least * (len(a) + len(sets[j]) - n) - 1e-9:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_pipeline_merges_near_copies(spark, edge, docs):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for k in range(40):
+        base = [word() for _ in range(204)]
+        texts.append(" ".join(base))
+        # so many words replaced, each far from the next: 5 shingles of 200 lost for each
+        for changed in (1, 4, 5):  # similarity 0.95, 0.82, 0.78
+            copy = list(base)
+            for c in range(changed):
+                copy[20 + 30 * c] = word()
+            texts.append(" ".join(copy).replace(" ", "  ").title() if k % 2 else " ".join(copy))
+    for df in (docs_of(spark, texts), docs, edge):
+        rows = sorted(df.select("doc_id", "text").distinct().collect())
+        comp = plain_near_copies([x.text for x in rows])
+        kept = corpus_pipeline.near_duplicates(spark, df, SF)
+        assert kept.columns == df.columns
+        assert sorted(x.doc_id for x in kept.collect()) == sorted({rows[c].doc_id for c in comp})
