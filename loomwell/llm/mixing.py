@@ -5,13 +5,12 @@ gives each document a probability for each domain. Each document then gets a
 nonnegative rate such that the expected tokens of the domains, the sum over
 documents of rate x tokens x probability, come as near the targets as can be:
 least squares on the relative errors, with a small pull of all rates towards 1
-that makes the solution unique, solved by projected gradient steps. A step needs
-one aggregate over all documents, a number for each domain; a document's rate
-follows from its own probabilities and those numbers, so rates are never joined
-or collected.
-
-The step's length is exact: with errors weighted by the domains' present shares,
-the largest curvature is 1, since probabilities sum to 1.
+that makes the solution unique. Where the projected gradient is zero, a document's
+rate follows from its own probabilities and the domains' errors alone; so it is
+the errors, a number for each domain, that are solved for, by Newton steps on the
+dual problem. A step needs one aggregate over all documents; rates are never
+joined or collected. Goals, what is reached and the distance from the optimum are
+in the result and in the log.
 
 The budget is by default the largest total that asks no domain for more tokens
 than it has, so that documents of the scarcest domain have a rate near 1.
@@ -28,8 +27,11 @@ with two underscores.
 
 from __future__ import annotations
 
+import logging
+import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -38,6 +40,8 @@ from pyspark.sql import functions as F
 
 from loomwell.llm.common import WORD, let, written
 
+log = logging.getLogger(__name__)
+
 # The domains of the labelled table and their target weights.
 TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
 
@@ -99,60 +103,81 @@ def fit_membership(docs: DataFrame, labelled: DataFrame, domains: list[str], sam
 
 @dataclass
 class Rates:
-    """A solved mix: the steps that lead from rate 1 to a document's rate."""
+    """A solved mix: each domain's weighted error at the optimum, which gives every document its rate."""
 
     domains: list[str]
-    steps: list[list[float]]  # in each step, the weighted error of each domain
+    errors: list[float]  # (reached - goal) / share of each domain
     pull: float
     shares: list[float]  # expected tokens of each domain before, of all tokens
     goals: list[float]  # targets, of all tokens before
     reached: list[float]  # expected tokens after, of all tokens before
+    residual: float = 0.0  # largest distance of ``reached`` from the optimum's, of the domain's goal
 
-    def column(self, posterior: Column, start: Column | None = None, since: int = 0) -> Column:
-        """The rate for these probabilities; ``start`` is the rate after ``since`` steps."""
-        rate = F.lit(1.0) if start is None else start
-        if not self.steps[since:]:
-            return rate
-        errors = F.array(*[F.array(*map(F.lit, s)) for s in self.steps[since:]])
-        size, pull = 1.0 / (1.0 + self.pull), self.pull
-
-        def step(r: Column, e: Column) -> Column:
-            slope = sum((F.get(posterior, F.lit(d)) * F.get(e, F.lit(d)) for d in range(len(self.domains))), F.lit(0.0))
-            return F.greatest(F.lit(0.0), r - F.lit(size) * (slope + F.lit(pull) * (r - F.lit(1.0))))
-
-        return F.aggregate(errors, rate, step)
+    def column(self, posterior: Column) -> Column:
+        """The rate for these probabilities: 1 less the pulled-back slope, projected on what isn't negative."""
+        if not any(self.errors):
+            return F.lit(1.0)
+        slope = sum((F.get(posterior, F.lit(d)) * F.lit(e) for d, e in enumerate(self.errors)), F.lit(0.0))
+        return F.greatest(F.lit(0.0), F.lit(1.0) - slope / F.lit(self.pull))
 
 
-def solve(narrow: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, pull: float = 1e-3, most_steps: int = 40, tolerance: float = 2e-3, keep_every: int = 10) -> Rates:
-    """Projected gradient for the rates of ``narrow`` (__tokens, __posterior).
+def solve(narrow: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, pull: float = 1e-3, most_steps: int = 60, tolerance: float = 1e-6) -> Rates:
+    """The least-squares rates of ``narrow`` (__tokens, __posterior), by Newton steps on the domains' errors.
 
-    budget: tokens after mixing. Every ``keep_every`` steps the rates so far
-    are written, so that a step's cost doesn't grow with the steps before it.
+    budget: tokens after mixing. A step is taken back by halves where it would
+    not lower the dual function. It ends where ``reached`` is the optimum's
+    within ``tolerance`` of each domain's goal, and warns if it can't get there.
     """
     t, p = F.col("__tokens").cast("double"), F.col("__posterior")
     dims = range(len(domains))
     first = narrow.agg(F.sum(t), *[F.sum(t * F.get(p, F.lit(d))) for d in dims]).first()
     total = first[0] or 0.0
     if not total:
-        return Rates(domains, [], pull, [0.0] * len(domains), [0.0] * len(domains), [0.0] * len(domains))
+        return Rates(domains, [0.0] * len(domains), pull, [0.0] * len(domains), [0.0] * len(domains), [0.0] * len(domains))
     shares = [x / total for x in first[1:]]
     weight = sum(targets[d] for d in domains)
     wanted = [targets[d] / weight for d in domains]
     most = min((s / w for s, w in zip(shares, wanted, strict=True) if w > 0 and s > 0), default=1.0)
     goals = [w * (most if budget is None else budget / total) for w in wanted]
-    out = Rates(domains, [], pull, shares, goals, list(shares))
-    table, since, rate = narrow.withColumn("__rate", F.lit(1.0)), 0, F.lit(1.0)
-    for k in range(most_steps):
-        error = [a - b for a, b in zip(out.reached, goals, strict=True)]
-        out.steps.append([e / s if s > 0 else 0.0 for e, s in zip(error, shares, strict=True)])
-        if len(out.steps) - since >= keep_every:
-            table = written(table.withColumn("__rate", out.column(p, F.col("__rate"), since)), "rates")
-            since = len(out.steps)
-        rate = out.column(p, F.col("__rate"), since)
-        sums = table.withColumn("__r", rate).agg(*[F.sum(F.col("__r") * t * F.get(p, F.lit(d))) for d in dims]).first()
-        before, out.reached = out.reached, [x / total for x in sums]
-        if all(abs(a - b) <= tolerance * goal for a, b, goal in zip(before, out.reached, goals, strict=True)):
-            break
+    out = Rates(domains, [0.0] * len(domains), pull, shares, goals, list(shares))
+    scale, goal = np.array([s if s > 0 else 1.0 for s in shares]), np.array([g if s > 0 else 0.0 for g, s in zip(goals, shares, strict=True)])
+    pairs = [(a, b) for a in dims for b in dims if a <= b]
+
+    def at(errors: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """The dual function at these errors, its slope and curvature, and what is reached."""
+        out.errors = errors.tolist()
+        rate, of = F.col("__r"), lambda d: F.get(p, F.lit(d))
+        rows = narrow.select(t.alias("__t"), p.alias("__posterior"), out.column(p).alias("__r"))
+        moving = F.when(rate > 0, F.col("__t")).otherwise(0.0)
+        sums = rows.agg(F.sum(F.col("__t") * rate * rate), *[F.sum(F.col("__t") * rate * of(d)) for d in dims], *[F.sum(moving * of(a) * of(b)) for a, b in pairs]).first()
+        sums = np.array(sums, float) / total
+        reached, curve = sums[1 : 1 + len(domains)], np.diag(scale)
+        for (a, b), x in zip(pairs, sums[1 + len(domains) :], strict=True):
+            curve[a, b] += x / pull
+            curve[b, a] = curve[a, b]
+        return float(errors @ (scale * errors) / 2 + goal @ errors + pull / 2 * sums[0]), scale * errors + goal - reached, curve, reached
+
+    errors = np.zeros(len(domains))
+    value, slope, curve, reached = at(errors)
+    far = lambda slope: float(np.max(np.abs(slope) / np.where(goal > 0, goal, 1.0)))
+    steps = 1
+    while far(slope) > tolerance and steps < most_steps:
+        step, length = np.linalg.solve(curve, -slope), 1.0
+        while steps < most_steps:
+            new = at(errors + length * step)
+            steps += 1
+            if new[0] <= value + 1e-4 * length * float(slope @ step) or far(new[1]) <= tolerance:
+                break
+            length /= 2
+        if far(new[1]) >= far(slope) and new[0] >= value:
+            break  # no step helps any more
+        errors = errors + length * step
+        value, slope, curve, reached = new
+    out.errors, out.reached, out.residual = errors.tolist(), reached.tolist(), far(slope)
+    said = f"mix after {steps} passes: goals {dict(zip(domains, goals, strict=True))}, reached {dict(zip(domains, out.reached, strict=True))}, residual {out.residual:.2g}"
+    log.info(said)
+    if out.residual > tolerance:
+        warnings.warn("the rates are not the optimum; " + said, stacklevel=2)
     return out
 
 

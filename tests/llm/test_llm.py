@@ -157,6 +157,30 @@ def test_mixing_meets_targets(spark):
     assert best(np.array(got)) <= best(x) + 1e-5
 
 
+def test_mixing_reaches_targets_of_soft_posteriors(spark):
+    """With the values that the queries use: overlapping posteriors, targets that can be met."""
+    r = random.Random(9)
+    rows = []
+    for _ in range(600):
+        low, toxic = 0.3 + 0.08 * r.random(), 0.2 + 0.05 * r.random()
+        rows.append((1.0 + r.randint(20, 60), [1 - low - toxic, low, toxic]))
+    narrow = spark.createDataFrame(rows, "__tokens double, __posterior array<double>").cache()
+    t, p = np.array([x[0] for x in rows]), np.array([x[1] for x in rows])
+    targets = dict(zip(("clean", "low", "toxic"), [float(x) for x in p[p[:, 1] < 0.31].mean(axis=0)], strict=True))
+    budget = float(t.sum() * 0.3)
+    rates = mixing.solve(narrow, list(targets), targets, budget=budget)
+    got = np.array([x[0] for x in narrow.select(rates.column(F.col("__posterior"))).collect()])
+    share, goal, pull = t @ p / t.sum(), np.array(rates.goals), rates.pull
+    reached = (got * t) @ p / t.sum()
+    assert got.min() >= 0 and np.allclose(reached, rates.reached, rtol=1e-9)
+    slope = p @ ((reached - goal) / share) + pull * (got - 1)
+    assert np.abs(got - np.maximum(0, got - slope)).max() < 1e-5  # the projected gradient
+    x = np.ones(len(t))
+    for _ in range(20000):  # the plain optimum of the same problem by many small steps
+        x = np.maximum(0, x - 0.9 * (p @ (((x * t) @ p / t.sum() - goal) / share) + pull * (x - 1)))
+    assert np.abs(reached - (x * t) @ p / t.sum()).max() < 1e-4 * goal.min() and rates.residual <= 1e-6
+
+
 def test_mixing_documents(spark, docs):
     labelled = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", mixing.domain_of_labels().alias("domain"))
     got = by_id(mixing.document_rates(docs, labelled))
