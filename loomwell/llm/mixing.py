@@ -12,8 +12,9 @@ dual problem. A step needs one aggregate over all documents; rates are never
 joined or collected. Goals, what is reached and the distance from the optimum are
 in the result and in the log.
 
-The budget is by default the largest total that asks no domain for more tokens
-than it has, so that documents of the scarcest domain have a rate near 1.
+The budget is by default the one that asks of the domain with the largest target
+just the tokens that it has, so that its documents have a rate near 1. A scarcer
+domain is then repeated, as far as least squares goes, and never makes the mix smaller.
 
 Defined cases: a null or empty text has no tokens and no words, its rate comes
 from the classifier's intercept like any other's; a domain without labelled
@@ -137,7 +138,8 @@ def solve(narrow: DataFrame, domains: list[str], targets: dict[str, float], budg
     shares = [x / total for x in first[1:]]
     weight = sum(targets[d] for d in domains)
     wanted = [targets[d] / weight for d in domains]
-    most = min((s / w for s, w in zip(shares, wanted, strict=True) if w > 0 and s > 0), default=1.0)
+    # the domain to be kept: the one with the largest target among those that have tokens
+    most = max(((w, s / w) for s, w in zip(shares, wanted, strict=True) if w > 0 and s > 0), default=(0.0, 1.0))[1]
     goals = [w * (most if budget is None else budget / total) for w in wanted]
     out = Rates(domains, [0.0] * len(domains), pull, shares, goals, list(shares))
     scale, goal = np.array([s if s > 0 else 1.0 for s in shares]), np.array([g if s > 0 else 0.0 for g, s in zip(goals, shares, strict=True)])

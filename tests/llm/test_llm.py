@@ -181,6 +181,15 @@ def test_mixing_reaches_targets_of_soft_posteriors(spark):
     assert np.abs(reached - (x * t) @ p / t.sum()).max() < 1e-4 * goal.min() and rates.residual <= 1e-6
 
 
+def test_mixing_keeps_clean_documents_where_others_are_rare(spark):
+    for low, toxic in ((2, 200), (200, 2), (2, 2), (0, 2)):
+        rows = [[0.998, 0.001, 0.001]] * 1000 + [[0.02, 0.97, 0.01]] * low + [[0.02, 0.01, 0.97]] * toxic
+        narrow = spark.createDataFrame([(30.0, p) for p in rows], "__tokens double, __posterior array<double>")
+        rates = mixing.solve(narrow, list(mixing.TARGETS), mixing.TARGETS)
+        got = [x[0] for x in narrow.select(rates.column(F.col("__posterior")), F.col("__posterior")[0]).collect() if x[1] > 0.9]
+        assert len(got) == 1000 and 0.9 < min(got) and max(got) < 1.1
+
+
 def test_mixing_documents(spark, docs):
     labelled = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", mixing.domain_of_labels().alias("domain"))
     got = by_id(mixing.document_rates(docs, labelled))
