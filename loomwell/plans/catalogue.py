@@ -473,3 +473,15 @@ def faq_document(spark, d):
     q = table(spark, d, "conversations").filter("role = 'user'")
     parts = F.sort_array(F.collect_list(F.struct("turn", F.concat(F.lit("Q: "), F.substring("text", 1, 20)).alias("q"))))
     return q.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["q"]), "\n").alias("document"), F.count(F.lit(1)).alias("questions"))
+
+
+@query("SELECT conv_id AS call_id, arg_min(role, turn) AS name, string_agg(text, '' ORDER BY turn) AS arguments FROM conversations GROUP BY 1")
+def tool_call_assembly_whole(spark, d):
+    return p.assembled(table(spark, d, "conversations").select(F.col("conv_id").alias("call_id"), F.col("turn").alias("ord"), F.col("role").alias("name"), F.col("text").alias("delta")))
+
+
+@query("SELECT conv_id, array_to_string(list('Q: ' || text ORDER BY turn), chr(10)) AS document, count(*) AS questions FROM conversations WHERE role = 'user' GROUP BY 1")
+def faq_document_whole(spark, d):
+    q = table(spark, d, "conversations").filter("role = 'user'")
+    parts = F.sort_array(F.collect_list(F.struct("turn", F.concat(F.lit("Q: "), F.col("text")).alias("q"))))
+    return q.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["q"]), "\n").alias("document"), F.count(F.lit(1)).alias("questions"))

@@ -19,6 +19,14 @@ def test_query(spark, name):
         assert df.count() > 0
 
 
+def test_conversations_go_whole_through_the_assembly(spark):
+    turns = sorted(spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect())
+    for r in QUERIES["tool_call_assembly_whole"](spark, SF).collect():
+        assert r.arguments == "".join(t.text for t in turns if t.conv_id == r.call_id and t.text is not None)
+    for r in QUERIES["faq_document_whole"](spark, SF).collect():
+        assert r.document == "\n".join("Q: " + t.text for t in turns if (t.conv_id, t.role) == (r.conv_id, "user") and t.text is not None)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
