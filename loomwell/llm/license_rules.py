@@ -1,7 +1,7 @@
 """Licence scans: known licence sentences, then ordered rules over their identifiers.
 
-A text is split into sentences, each is normalised, and those that are known
-licence sentences are mapped to their identifiers. The identifiers of one text, in order, are
+A text is split at stops and line ends, each piece is normalised, and the runs of
+pieces that are known licence sentences are mapped to their identifiers. The identifiers of one text, in order, are
 then matched against the licence rules in their order: a rule whose sequence
 occurs names its licences and uses its identifiers up, so that later, more
 general rules only see what is left. Identifiers that no rule uses are reported.
@@ -78,15 +78,17 @@ def normalised(sentence: Column) -> Column:
 
 
 def sentence_ids(sentences: Column) -> Column:
-    """Identifiers of the normalised sentences that are known, in order.
+    """Identifiers of the known sentences, in order, from the normalised pieces of a text.
 
-    The hash set passes by what can't be known; the map then decides by the
-    whole sentence.
+    A notice's sentence may be wrapped over lines or hold a stop or semicolon of
+    its own, so a known sentence is a run of whole pieces; of several that begin
+    at one piece the longest counts, and the next begins after it.
     """
     known = {text: sid for sid, text in SENTENCES}
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    hashes = [F.xxhash64(F.lit(x)) for x in known]
-    return F.array_compact(F.transform(F.filter(sentences, lambda s: F.xxhash64(s).isin(*hashes)), lambda s: F.try_element_at(table, s)))
+    any_of = "|".join(x.replace(" ", "[ \\n]") for x in sorted(known, key=len, reverse=True))
+    runs = F.regexp_extract_all(F.concat(F.lit("\n"), F.array_join(sentences, "\n"), F.lit("\n")), F.lit(f"(?<=\n)(?:{any_of})(?=\n)"), F.lit(0))
+    return F.transform(runs, lambda s: F.try_element_at(table, F.replace(s, F.lit("\n"), F.lit(" "))))
 
 
 def match_rules(ids: Column) -> Column:
@@ -123,7 +125,10 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def oracle_sql() -> str:
-    """The same scan of ``documents`` as DuckDB SQL, from the same tables of values."""
+    """The same scan of ``documents`` as DuckDB SQL, from the same tables of values.
+
+    It knows a sentence only where it is one piece, as in the given tables.
+    """
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({quote(t)}, {quote(sid)})" for t, sid in {t: sid for sid, t in SENTENCES}.items())
     levels, found = "SELECT doc_id, rn, n_sentences, n_known, sentence_ids, sentence_ids AS r0 FROM joined", []

@@ -430,6 +430,56 @@ def test_licenses(spark, edge):
     assert by_id(license_rules.license_scan(edge))[9].licenses == "MIT" and license_rules.license_scan(edge.limit(0)).count() == 0
 
 
+MIT_NOTICE = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY."""
+BSD_NOTICE = """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_NOTICE = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file, go on."""
+
+
+def test_wrapped_licences(spark):
+    texts = [MIT_NOTICE, BSD_NOTICE, GPL_NOTICE, " * " + GPL_NOTICE.replace("\n", "\r\n * "), MPL_NOTICE, "licensed under the\nmit licence"]
+    got = by_id(license_rules.license_scan(docs_of(spark, texts)))
+    assert [got[i].licenses for i in range(6)] == ["MIT", "BSD-3-Clause", "GPL-3.0-or-later", "GPL-3.0-or-later", "MPL-2.0", ""]
+    assert [got[i].sentence_ids for i in range(4)] == [";MITgrant;;MITnotice;;ASIS;", ";RESERVED;;BSDredist;;BSDendorse;", ";GPLfree;;GPLhope;", ";GPLfree;;GPLhope;"]
+    assert [got[i].unmatched for i in range(4)] == ["", ";RESERVED;", "", ""]
+
+
 # 9
 
 
