@@ -35,6 +35,8 @@ BLOCK_TAGS = frozenset("address article aside blockquote body button caption cen
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN_TAGS = frozenset("audio canvas head iframe math noframes noscript object script style svg template textarea title video".split())
 RAW_TAGS = frozenset("script style textarea title".split())
+#: Elements that may stand in head; any other start tag, or text, closes it.
+HEAD_TAGS = frozenset("base basefont bgsound command head html link meta noframes noscript script style template title".split())
 #: A start tag closes these open elements, if it meets one before the second kind.
 IMPLIED_END = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
@@ -127,6 +129,8 @@ def leaf_blocks(html: str) -> list[Block]:
         if tag is None:
             token = m[0]
             if token[0] != "<" or token == "<":
+                if stack[-1].tag == "head" and not token.isspace():
+                    stack.pop()
                 top = stack[-1]
                 if not top.hidden:
                     text = entities.unescape(token) if "&" in token else token
@@ -149,6 +153,13 @@ def leaf_blocks(html: str) -> list[Block]:
                 if stack[i].tag in BLOCK_TAGS and tag not in BLOCK_TAGS:
                     break  # an inline end tag doesn't close a block
             continue
+        if tag not in HEAD_TAGS and (tag == "body" or stack[-1].tag == "head"):  # the end tag of head is optional
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == "template":
+                    break
+                if stack[i].tag == "head":
+                    del stack[i:]
+                    break
         if tag in BLOCK_TAGS:
             close()
             kinds, border = IMPLIED_END.get(tag, ((), ()))

@@ -128,6 +128,17 @@ def test_html_pages(spark):
     assert all(r.text == "" and r.n_chars == 0 for r in got if r.page_id != 1)
 
 
+def test_html_head_without_end():
+    rest = "<article><h1>A title</h1><p>Some text.</p></article>"
+    expect = [b.text for b in html_crf.leaf_blocks(f"<html><head><title>no</title></head><body>{rest}")]
+    assert expect == ["A title", "Some text."]
+    for start in ("<html><head><title>no</title><meta charset=x><body>", "<head><title>no</title><style>p{}</style>", "<head><title>no</title><noscript><link href=x></noscript><script>x</script><BODY class=b>"):
+        assert [b.text for b in html_crf.leaf_blocks(start + rest)] == expect
+    assert [b.text for b in html_crf.leaf_blocks("<head><title>no</title><span>One</span> two")] == ["One two"]
+    assert [b.text for b in html_crf.leaf_blocks("<head><title>no</title> Plain text<p>two")] == ["Plain text", "two"]
+    assert [b.text for b in html_crf.leaf_blocks("<head><template><p>x</p></template><noscript><p>x</p><img src=x></noscript><title>no</title></head><p>two")] == ["two"]
+
+
 def test_html_of_the_tables(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in queries.op2_html_extraction(spark, SF).join(pages.select("page_id", "html"), "page_id").collect():
