@@ -61,18 +61,21 @@ def carried_forward(df: DataFrame, keys: list[str], order: list[Column], value:
     return df.withColumn(into, F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def walk(edges: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
+def walk(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """(start, step, node): follows node -> next from each start, all starts at once.
 
     Pointer doubling: after k rounds a table holds every node's 2^k-th follower,
     and positions fill in by powers of two, so a list of n nodes takes log n joins.
+    Lists are walked whole; ``most`` nodes of each at most, if given, which a list
+    with a cycle needs.
     """
     hop = edges.select("node", "next").filter("next is not null")
     found = starts.select(F.col("node").alias("start"), F.lit(0).alias("step"), "node")
     jump, span = hop, 1
-    while span < most:
+    while most is None or span < most:
         further = found.join(jump, "node").select("start", (F.col("step") + span).alias("step"), F.col("next").alias("node"))
-        found = written(found.unionByName(further).filter(F.col("step") < most), "walk")
+        both = found.unionByName(further)
+        found = written(both if most is None else both.filter(F.col("step") < most), "walk")
         span *= 2
         if further.isEmpty():
             break

@@ -43,6 +43,12 @@ def test_sequences(spark):
     assert max(r.step for r in sequence.walk(edges, spark.createDataFrame([(0,)], "node long"), 4).collect()) == 3
 
 
+def test_walk_goes_to_the_end(spark):
+    edges = spark.range(1500).selectExpr("id AS node", "id + 1 AS next")
+    walked = sequence.walk(edges, spark.createDataFrame([(0,)], "node long")).collect()
+    assert sorted((r.step, r.node) for r in walked) == [(k, k) for k in range(1501)]
+
+
 def test_tree_and_descendants(spark):
     links = spark.createDataFrame([(1, "a^b"), (2, "a^b"), (3, "a"), (4, " a ^ c "), (5, None), (6, "a^^d")], "id long, menu_path string")
     got = {r.node: (r.own, r.total, r.depth, r.parent) for r in tree.rollup(links).collect()}
