@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomwell.llm import arc_warc, html_crf, jpeg_dc, license_rules, mixing, quality_rules, queries, reshard, simhash, sp_wfst, url_rules
+from loomwell.llm import arc_warc, html_crf, jpeg_dc, license_rules, mixing, near_copies, quality_rules, queries, reshard, simhash, sp_wfst, url_rules
 from tests.harness import same
 
 SF = "/root/testdata/sf0.001"
@@ -548,6 +548,19 @@ def test_jpeg_store():
         assert re.fullmatch(r"\d+x\d+:[0-9a-f]{16}", feature)
 
 
+def test_jpeg_segments_behind_a_scan():
+    """A comment with bytes like a restart's, behind short and long scans alike."""
+    for n in (3, 100, 5000):
+        payload = bytes(random.Random(n).randrange(256) for _ in range(64 * n))
+        (plain,) = jpeg_dc.store([payload])
+        said = b"\xff\xfe" + struct.pack(">H", 14) + b"bytes=%06d" % (64 * n)
+        more = plain[:-2] + said[:-2] + b"\xff\xd0" + plain[-2:]
+        image = jpeg_dc.parse(more)
+        assert image.scans[0].end == len(plain) - 2
+        (found,) = jpeg_dc.decode([(more, image)])
+        assert found[0].astype(np.uint8).tobytes()[: len(payload)] == payload
+
+
 def test_jpeg_rows(edge):
     out = jpeg_dc.text_media(edge)
     assert out.count() == len(EDGE) + 1 and jpeg_dc.text_media(edge.limit(0)).count() == 0
@@ -607,7 +620,7 @@ def test_pipeline(spark, docs, tmp_path):
             assert r.doc_id in kept
     one = corpus_pipeline.near_duplicates(spark, out, SF).cache()
     rows = sorted(out.collect())
-    comp = plain_components([plain_fingerprint(r.text, 5) for r in rows])
+    comp = plain_near_copies([r.text for r in rows])
     assert sorted(r.doc_id for r in one.collect()) == sorted({rows[c].doc_id for c in comp})
     mix = corpus_pipeline.mix(spark, one, SF).cache()
     assert mix.columns == docs.columns and {r.doc_id for r in mix.collect()} <= {r.doc_id for r in one.collect()}
@@ -624,6 +637,39 @@ def test_pipeline_edges(spark, edge):
         assert stage(spark, cut, SF).count() <= len(EDGE) + 1
 
 
+def test_near_copies_in_parted_groups(spark):
+    """A hub with spokes that are alike only through it, and one text that only a spoke is near to."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(204)], []
+    for k in range(60):
+        copy = list(base)
+        for c in range(4):  # 0.82 to the base, about 0.7 to one another
+            copy[10 + 40 * c + r.randrange(30)] = word()
+        texts.append(" ".join(copy))
+    far = texts[7].split()
+    for c in range(3):
+        far[20 + 60 * c] = word()
+    texts += [" ".join(base), " ".join(far)]
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    texts = [texts[i] for i in order]
+    for some in (texts, [t for t in texts if t != " ".join(base)]):
+        df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+        comp = plain_near_copies(some)
+        found = near_copies.near_copies(df)
+        label = {x.id: x.label for x in found[1].collect()}
+        assert all((label[i] == label[j]) == (comp[i] == comp[j]) for i in label for j in label)
+        assert sorted(x.doc_id for x in near_copies.keep_one(df).collect()) == sorted(set(comp))
+
+
+def test_near_copies_of_equal_ids(spark):
+    rows = [(1, "a b c d e f", x) for x in ("p", "q", None)] + [(None, "a b c d e f", "r"), (None, None, "s"), (None, "", "t"), (2, "A  b c d e f", "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(3)
+    kept = [sorted(near_copies.keep_one(d).collect(), key=repr) for d in (df, df.repartition(5))]
+    assert kept[0] == kept[1] and [x.doc_id for x in kept[0]] == [None, 1]
+
+
 def plain_near_copies(texts, least=0.8):
     """The smallest index of each text's component, by all pairs' similarity."""
     sets = []
