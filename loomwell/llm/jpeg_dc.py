@@ -135,19 +135,13 @@ def parse(data: bytes) -> Jpeg:
         elif marker == 0xDA:
             ids = [c[0] for c in out.components]
             chosen = [(ids.index(body[1 + 2 * i]), body[2 + 2 * i]) for i in range(body[0])]
-            end = at
-            while True:  # the next marker that isn't a restart
-                end = data.find(b"\xff", end)
-                if end < 0 or end + 1 >= len(data):
-                    raise ValueError("no EOI marker")
-                if data[end + 1] != 0 and not 0xD0 <= data[end + 1] <= 0xD7:
-                    break
-                end += 2
-                if restart == 1 and end - at > 4096:  # long runs of small intervals: jump to the end
-                    tail = data.rfind(b"\xff\xd9")
-                    if len(out.components) == 1 and tail == len(data) - 2:
-                        end = tail
-                        break
+            tail = np.frombuffer(data, np.uint8)[at:]
+            ff = np.flatnonzero(tail[:-1] == 0xFF)
+            after = tail[ff + 1]
+            ends = ff[(after != 0) & ((after < 0xD0) | (after > 0xD7))]  # markers other than restarts
+            if not len(ends):
+                raise ValueError("no EOI marker")
+            end = at + int(ends[0])
             out.scans.append(Scan([c for c, _ in chosen], [tables.get(t >> 4, b"") for _, t in chosen], [tables.get(16 + (t & 15), b"") for _, t in chosen], restart, at, end))
             at = end
 
