@@ -211,9 +211,17 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, **options) -> DataFrame:
-    """Each row of ``docs`` as often as its rate says, with its own columns."""
-    membership, rates, _ = fit(docs, labelled, targets, **options)
-    scored = membership.with_posterior(docs)
-    count = let(F.col("__posterior"), lambda p: copies(rates.column(p), F.col("doc_id")))
-    repeated = scored.withColumn("__copies", count).filter("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Each row of ``docs`` as often as its rate says, with its own columns.
+
+    The rows are written with their probabilities, so that each text goes through
+    the classifier once; solving reads its two columns alone.
+    """
+    targets = targets or TARGETS
+    membership = fit_membership(docs, labelled, list(targets))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    scored = membership.with_posterior(docs.select(whole, F.col("doc_id").alias("__id"), F.col("text").alias("__text")), "__text")
+    rows = written(scored.select("__row", "__id", n_tokens(F.col("__text")).alias("__tokens"), "__posterior"), "posteriors")
+    rates = solve(rows.select("__tokens", "__posterior"), membership.domains, targets, **options)
+    count = let(F.col("__posterior"), lambda p: copies(rates.column(p), F.col("__id")))
+    repeated = rows.withColumn("__copies", count).filter("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))))
+    return repeated.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
