@@ -9,13 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; a temporary folder of this machine where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new path in ``spark.checkpoint.dir``.
+
+    Where that is unset a local session, as in tests, takes a temporary folder of
+    this machine; on a cluster it raises, as executors wouldn't share such a folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table, read again: its lineage ends there."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` as a table, read again: its lineage ends there, so that a lost executor costs one read and not the work before."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
