@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwell.sources.shared import shared_path, written
+
+__all__ = ["WORD", "hot_keys", "let", "shared_path", "table", "written"]
+
 #: A word of a text: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,27 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary folder of this machine takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: the lineage
-    ends there, so that a lost executor costs one read and not the work before."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hot_keys(df: DataFrame, key: str, total: int, share: int = 200) -> DataFrame:
     """Keys that hold at least 1/share of ``total`` rows: at most ``share`` rows."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") * share >= F.lit(total)).select(key)
