@@ -7,20 +7,26 @@ IP address, date, content type and length; version 2 also has result code,
 checksum, location, offset and file name. The converter reads the lines by the
 file's own version and synthesises WARC 1.1 records: an identifier from the
 record's place in its archive and its content, a timestamp from the 14-digit
-date, a type, and SHA-1 digests of block and payload. Of records with equal
+date, a type, and SHA-1 digests of block and payload. A version block gives a
+``warcinfo``, an HTTP response a ``response`` or ``revisit``, anything else, like a
+``dns:`` look-up, a ``resource`` whose payload is its block. Of responses with equal
 payloads that with the largest id is the response, the others revisit it.
 
-Archives are written by Spark's text sink, whose line separator is the formats'
-record separator, and read by its binary source, so that any file system that
-Spark knows will do. A file holds a bounded number of records.
+Records are bytes throughout, in any encoding. Archives are written by Spark's text
+sink, which puts out the bytes that it is given and whose line separator is the
+formats' record separator, and read by its binary source, so that any file system
+that Spark knows will do. A file is one gzip member and holds a bounded number of
+records.
 
 Defined cases: a null payload is empty, a null URL is ``urn:none``; spaces and
 controls in a URL are percent-encoded in the archives; a record without an id
 has a null one, and is the response of its payload only if no record has an id
 (then each is a response); rows that repeat an id and payload are one response
 and its revisits of the same id; a declared length that runs past the file, or a
-malformed line, raises ``ValueError``; an empty table gives empty archives;
-other columns of the table are never looked at.
+malformed line, raises ``ValueError``; an empty file has no records; an empty
+table gives empty archives; other columns of the table are never looked at. The
+``payload`` read back is text, with U+FFFD for bytes that aren't UTF-8; ``content``
+has the bytes themselves.
 """
 
 from __future__ import annotations
@@ -30,12 +36,13 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.llm.common import shared_path
+from loomwell.llm.common import shared_path, written
 
 # The field lists of ARC header lines by version, and of WARC.
 ARC_FIELDS = {
@@ -74,8 +81,8 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "202401
     fields = [F.col("url"), F.lit("0.0.0.0"), F.lit(date), F.lit("text/html")]
     fields += [F.lit("200"), F.lit("-"), F.lit("-"), F.lit("0"), F.lit("pages.arc")] if version == 2 else []
     record = F.concat(F.concat_ws(" ", *fields, F.octet_length("content").cast("string")), F.lit("\n"), F.col("content"))
-    rows = rows.select(record.alias("record"))
-    block = _filedesc(version, date)
+    rows = rows.select(record.cast("binary").alias("record"))
+    block = _filedesc(version, date).encode()
 
     def with_header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each file begins with its version block: one before every ``per_file`` - 1 records."""
@@ -90,7 +97,12 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "202401
                 yield part
                 at, room = at + len(part), room - len(part)
 
-    rows.mapInPandas(with_header, "record string").write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    _write(rows.mapInPandas(with_header, "record binary"), path, "\n", per_file)
+
+
+def _write(records: DataFrame, path: str, separator: str, per_file: int) -> None:
+    """Column ``record`` (bytes) as files of so many records; a cast to string doesn't touch the bytes."""
+    records.select(F.col("record").cast("string")).write.option("lineSep", separator).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -102,8 +114,11 @@ def _plain(content: bytes) -> bytes:
     return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
 
 
-def parse_arc(data: bytes) -> Iterator[dict]:
-    """The records of one ARC file, by its own version's header lines and the lengths they declare."""
+def parse_arc(data: bytes, infos: bool = False) -> Iterator[dict]:
+    """The records of one ARC file, by its own version's header lines and the lengths they declare.
+
+    infos: version blocks too.
+    """
     at, names = 0, None
     while at < len(data):
         end = data.find(b"\n", at)
@@ -115,7 +130,7 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         if len(body) != length:
             raise ValueError("an ARC record is cut off")
         if values[0].startswith("filedesc:"):
-            lines = body.decode().split("\n")
+            lines = body.decode("utf-8", "replace").split("\n")
             names = lines[1].split(" ")
             if ARC_FIELDS.get(int(lines[0].split(" ")[0])) != lines[1]:
                 raise ValueError(f"unknown ARC version block {lines[0]!r}")
@@ -123,8 +138,8 @@ def parse_arc(data: bytes) -> Iterator[dict]:
             raise ValueError("an ARC file begins without its version block")
         elif len(values) != len(names):
             raise ValueError(f"an ARC header line has {len(values)} fields, not {len(names)}")
-        else:
-            yield dict(zip(names, values, strict=True)) | {"offset": at, "block": body}
+        if infos or not values[0].startswith("filedesc:"):
+            yield dict(zip(ARC_FIELDS[1].split(" ")[:4], values, strict=False)) | {"offset": at, "block": body}
         at = end + 1 + length
         if data[at : at + 1] == b"\n":
             at += 1
@@ -137,74 +152,103 @@ def _http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, head + gap, payload
 
 
-RECORD = "page_id long, url string, date string, mime string, record_id string, http string, payload string, payload_length long, digest string"
+@dataclass(frozen=True)
+class Record:
+    """An ARC record with what the converter synthesises for it."""
 
+    kind: str
+    offset: int
+    url: str
+    date: str
+    mime: str
+    page_id: int | None
+    record_id: str
+    head: bytes
+    payload: bytes
+    digest: str
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of ARC files under ``path``, with synthesised identifiers, timestamps and digests."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows, size = [], 0
-                for r in parse_arc(_plain(content)):
-                    fields, head, payload = _http(r["block"])
-                    d = r["Archive-date"].ljust(14, "0")
-                    stamp = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-                    digest, own = base32_sha1(payload), fields.get("x-page-id")
-                    # the same archive and record give the same identifier again
-                    rid = uuid.uuid5(NAMESPACE, f"{name.rsplit('/', 1)[-1]}#{r['offset']} {r['URL']} {own} {digest}")
-                    rows.append((int(own) if own else None, r["URL"], stamp, r["Content-type"], f"<urn:uuid:{rid}>", head.decode("utf-8", "replace"), payload.decode("utf-8"), len(payload), digest))
-                    size += len(payload)
-                    if size > 8 << 20:
-                        yield _records(rows)
-                        rows, size = [], 0
-                yield _records(rows)
+def records(name: str, data: bytes) -> Iterator[Record]:
+    """The records of one ARC file: the same archive and record give the same identifier again."""
+    for r in parse_arc(data, infos=True):
+        kind, fields, head, payload = "resource", {}, b"", r["block"]
+        if r["URL"].startswith("filedesc:"):
+            kind = "warcinfo"
+        elif payload.startswith(b"HTTP/"):
+            kind, (fields, head, payload) = "response", _http(payload)
+        d = r["Archive-date"].ljust(14, "0")
+        stamp = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+        digest, own = base32_sha1(payload), fields.get("x-page-id")
+        rid = uuid.uuid5(NAMESPACE, f"{name.rsplit('/', 1)[-1]}#{r['offset']} {r['URL']} {own} {digest}")
+        yield Record(kind, r["offset"], r["URL"], stamp, r["Content-type"], int(own) if own else None, f"<urn:uuid:{rid}>", head, payload, digest)
+
+
+FACT = "path string, offset long, kind string, page_id long, record_id string, payload_length long, digest string"
 
-    return _files(spark, path).mapInPandas(work, RECORD)
 
+def _facts(files: DataFrame) -> DataFrame:
+    """One narrow row for each record: its place, id, and payload's length and digest."""
 
-def _records(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")])
-    return out.astype({"page_id": "Int64"})
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [x.split()[0] for x in FACT.split(", ")]
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                rows = [(name, r.offset, r.kind, r.page_id, r.record_id, len(r.payload), r.digest) for r in records(name, _plain(content))]
+                yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64"})
+
+    return files.mapInPandas(work, FACT)
+
+
+def _warc(r: Record, to: tuple[str, int] | None) -> bytes:
+    """The WARC record; ``to`` is the record and page that it revisits."""
+    block = r.head if to else r.head + r.payload
+    kind, mime = r.kind, {"response": "application/http; msgtype=response", "warcinfo": "application/warc-fields"}.get(r.kind, r.mime)
+    fields = [("WARC-Type", "revisit" if to else kind), ("WARC-Record-ID", r.record_id), ("WARC-Date", r.date)]
+    if kind == "warcinfo":
+        block = b"software: Loomwell\r\nformat: WARC File Format 1.1\r\ndescription: converted from an ARC file of version " + r.payload[:1] + b"\r\n"
+        fields.append(("WARC-Filename", r.url.removeprefix("filedesc://")))
+    else:
+        fields.append(("WARC-Target-URI", r.url))
+    if to:
+        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", to[0]), ("X-Refers-To-Page", str(to[1]))]
+    if kind != "warcinfo":
+        fields.append(("WARC-Payload-Digest", f"sha1:{r.digest}"))
+    fields += [("WARC-Block-Digest", "sha1hex:" + hashlib.sha1(block).hexdigest()), ("Content-Type", mime), ("Content-Length", str(len(block)))]
+    return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in fields), "\r\n"]).encode() + block
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0, per_file: int = 2000) -> None:
     """ARC files to WARC files. Payloads of ``least_bytes`` or more that are equal are stored once.
 
-    The winners of payloads that occur more than once are found from digests
-    alone; only they and their payload's other records are joined. A payload that
-    a large share of the records has is a hot key on one side of that join, which
-    adaptive execution splits.
+    Which records revisit which is found from a narrow table of digests, where a
+    payload that a large share of the records has is counted before the shuffle.
+    Each file's revisits then go to it as a list, no longer than its records;
+    payloads are never shuffled, only files as they are stored.
     """
-    records = read_arc(spark, arc_path)
-    keyed = F.col("payload_length") >= least_bytes
-    # the largest id; of rows that repeat it the smallest record identifier
-    order = F.struct("page_id", "record_id")
-    groups = records.filter(keyed & F.col("page_id").isNotNull()).groupBy("digest", "payload_length").agg(
-        F.max("page_id").alias("to_page"), F.max_by("record_id", order).alias("to_record"), F.count(F.lit(1)).alias("n")
-    )
-    winners = groups.filter("n > 1").select(F.col("digest").alias("d"), F.col("payload_length").alias("l"), "to_page", "to_record")
-    joined = records.join(winners, (F.col("digest") == F.col("d")) & (F.col("payload_length") == F.col("l")) & F.col("page_id").isNotNull() & keyed, "left")
-    revisit = F.col("to_record").isNotNull() & (F.col("to_record") != F.col("record_id"))
-    crlf = F.lit("\r\n")
-    block = F.when(revisit, F.col("http")).otherwise(F.concat("http", "payload"))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, crlf)
-    rows = joined.withColumn("revisit", revisit).withColumn("block", block)
-    header = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", F.col("record_id")),
-        line("WARC-Date", F.col("date")),
-        line("WARC-Target-URI", F.col("url")),
-        F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit(REVISIT)), line("WARC-Refers-To", F.col("to_record")), line("X-Refers-To-Page", F.col("to_page").cast("string")))).otherwise(F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        line("WARC-Block-Digest", F.concat(F.lit("sha1hex:"), F.sha1("block"))),
-        line("Content-Type", F.lit("application/http; msgtype=response")),
-        line("Content-Length", F.octet_length("block").cast("string")),
-        crlf,
-    )
-    rows.select(F.concat(header, F.col("block")).alias("record")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(warc_path)
+    files = _files(spark, arc_path)
+    facts = written(_facts(files), "records")
+    keyed = facts.filter((F.col("payload_length") >= least_bytes) & (F.col("kind") == "response") & F.col("page_id").isNotNull())
+    # the largest id; of rows that repeat it the largest record identifier
+    groups = keyed.groupBy("digest", "payload_length").agg(F.max(F.struct("page_id", "record_id")).alias("to"), F.count(F.lit(1)).alias("n"))
+    winners = groups.filter("n > 1").select("digest", "payload_length", "to")
+    revisits = keyed.join(winners, ["digest", "payload_length"]).filter(F.col("record_id") != F.col("to.record_id"))
+    listed = revisits.groupBy("path").agg(F.collect_list(F.struct("offset", "to.record_id", "to.page_id")).alias("revisits"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content, list_ in zip(batch["path"], batch["content"], batch["revisits"], strict=True):
+                to = {x["offset"]: (x["record_id"], x["page_id"]) for x in (list_ if list_ is not None else [])}
+                rows, size = [], 0
+                for r in records(name, _plain(content)):
+                    rows.append(_warc(r, to.get(r.offset)))
+                    size += len(rows[-1])
+                    if size > 8 << 20:
+                        yield pd.DataFrame({"record": pd.Series(rows, dtype=object)})
+                        rows, size = [], 0
+                yield pd.DataFrame({"record": pd.Series(rows, dtype=object)})
+
+    whole = files.join(listed, "path", "left").select("path", "content", "revisits")
+    _write(whole.mapInPandas(work, "record binary"), warc_path, "\r\n\r\n", per_file)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -225,26 +269,28 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += 4
 
 
-WARC = "page_id long, record_type string, record_id string, target_uri string, date string, payload string, payload_bytes long, payload_digest string, refers_to_record string, refers_to long, block_ok boolean"
+WARC = "page_id long, record_type string, record_id string, target_uri string, date string, content binary, payload_bytes long, payload_digest string, refers_to_record string, refers_to long, block_ok boolean"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of WARC files under ``path``. A revisit has no payload of its own (null);
-    its length is that of the HTTP response, its digest that of the full payload."""
+    its length is that of the HTTP response, its digest that of the full payload. A
+    ``warcinfo`` has the description of its archive, without target and digest."""
 
     def one(fields: dict[str, str], block: bytes) -> tuple:
-        http, _, payload = _http(block)
-        stored = fields["warc-type"] != "revisit"
+        kind = fields["warc-type"]
+        http, _, payload = _http(block) if kind in ("response", "revisit") else ({}, b"", block)
         ok = fields["warc-block-digest"] == "sha1hex:" + hashlib.sha1(block).hexdigest()
-        digest = base32_sha1(payload) if stored else fields["warc-payload-digest"].removeprefix("sha1:")
+        digest = fields["warc-payload-digest"].removeprefix("sha1:") if kind == "revisit" else base32_sha1(payload) if kind != "warcinfo" else None
         number = lambda x: int(x) if x else None
         return (
-            number(http.get("x-page-id")), fields["warc-type"], fields["warc-record-id"], fields["warc-target-uri"], fields["warc-date"],
-            payload.decode("utf-8") if stored else None, len(payload) if stored else number(http.get("content-length")), digest, fields.get("warc-refers-to"), number(fields.get("x-refers-to-page")), ok,
+            number(http.get("x-page-id")), kind, fields["warc-record-id"], fields.get("warc-target-uri"), fields["warc-date"],
+            None if kind == "revisit" else payload, number(http.get("content-length")) if kind == "revisit" else len(payload), digest, fields.get("warc-refers-to"), number(fields.get("x-refers-to-page")), ok,
         )
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [x.split()[0] for x in WARC.split(", ")]
+        framed = lambda rows: pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
         for batch in batches:
             for content in batch["content"]:
                 rows, size = [], 0
@@ -252,11 +298,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     rows.append(one(fields, block))
                     size += len(block)
                     if size > 8 << 20:
-                        yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
+                        yield framed(rows)
                         rows, size = [], 0
-                yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
+                yield framed(rows)
 
-    return _files(spark, path).mapInPandas(work, WARC)
+    return _files(spark, path).mapInPandas(work, WARC).withColumn("payload", F.make_valid_utf8(F.col("content").cast("string")))
 
 
 def pages_through_archives(pages: DataFrame, version: int = 1) -> DataFrame:
@@ -265,4 +311,4 @@ def pages_through_archives(pages: DataFrame, version: int = 1) -> DataFrame:
     arc, warc = shared_path(spark, "arc"), shared_path(spark, "warc")
     write_arc(pages, arc, version)
     convert(spark, arc, warc)
-    return read_warc(spark, warc)
+    return read_warc(spark, warc).filter(F.col("record_type").isin("response", "revisit"))
