@@ -3,18 +3,21 @@
 Old shard sizes are supplies, the new shards' capacities demands; staying costs
 nothing, each byte moved costs its arc's price. Successive shortest paths give
 the transfers between shards, on a graph of shards alone (its size is the number
-of shards, not of rows). Each old shard's rows have a fixed order, largest first,
-so that a transfer is a range of that order and its borders lie among small rows.
-Positions in the order are prefix sums in two steps, over blocks of bounded size
-and inside them, so that a shard with most of the rows is many tasks' work. The
-shards that rows enter or leave are written anew; others stay as they are.
+of shards, not of rows). Each old shard's rows have a fixed order, so that a transfer
+is a range of it: rows too large to even out come first, by class of size, then all
+others by a hash, so that every transfer gets rows of all sizes and the borders lie
+among small ones. Positions in the order are prefix sums in two steps, over stretches
+of the order of about 16 MB and inside them, so that a shard with most of the rows is
+many tasks' work and no task's grows with the table. The shards that rows enter or
+leave are written anew; others stay as they are.
 
 Defined cases: a null text is 0 bytes long with checksum 0; rows that repeat an
 id and text are placed one by one, alike but for their slots; null ids come
-first in the order; an old shard without rows supplies nothing; an empty table
-gives empty shards; capacities that sum to less than the rows raise
-``ValueError``; other columns ride along into the files, and only their names
-``shard`` and ``slot`` are replaced.
+are ids like any other; rows equal in id and text lie in one stretch; an old shard
+without rows supplies nothing; an empty table gives empty shards; capacities that
+sum to less than the rows raise ``ValueError``; other columns ride along into the
+files, and only their names ``size``, ``text_crc32``, ``shard`` and ``slot`` are
+replaced.
 """
 
 from __future__ import annotations
@@ -93,28 +96,26 @@ def sized(docs: DataFrame, old_shard: Column, text: str, key: str) -> DataFrame:
     return docs.select("*", F.struct(F.col(key).alias("id"), size.alias("size"), F.crc32(t.cast("binary")).alias("crc"), old_shard.cast("int").alias("old")).alias("__p"))
 
 
-def _in_blocks(rows: DataFrame, splits: DataFrame) -> DataFrame:
-    """Adds the block: rows of one old shard and class of size, dealt out by id where they are many."""
-    p = F.col("__p")
-    rows = rows.withColumn("__old", p["old"]).withColumn("__class", _class(p["size"]))
-    rows = rows.join(F.broadcast(splits), ["__old", "__class"])
-    return rows.withColumn("__sub", F.pmod(F.xxhash64(p["id"], p["crc"]), F.col("__blocks").cast("long")))
-
+def _class(size: Column, fine: int) -> Column:
+    """0 for rows of at most ``fine`` bytes, else smaller for larger rows; at most a hundred different values."""
+    return F.when(size <= fine, 0).otherwise(-F.floor(2 * F.log2(size.cast("double")))).cast("int")
 
-def _class(size: Column) -> Column:
-    """Smaller for larger rows; at most a hundred different values."""
-    return -F.floor(2 * F.log2(size.cast("double"))).cast("int")
 
-
-_BLOCK = ("__old", "__class", "__sub")
+def _stretched(rows: DataFrame, splits: DataFrame, fine: int) -> DataFrame:
+    """Adds the row's place: class, one of many slices of it by a hash, and the stretch of the order that holds the slice."""
+    p = F.col("__p")
+    rows = rows.withColumn("__old", p["old"]).withColumn("__class", _class(p["size"], fine))
+    rows = rows.join(F.broadcast(splits), ["__old", "__class"])
+    rows = rows.withColumn("__hash", F.xxhash64(p["id"], p["crc"])).withColumn("__slice", F.pmod("__hash", F.col("__slices").cast("long")))
+    return rows.withColumn("__part", F.col("__first") + F.floor((F.col("__before") + F.col("__bytes") * F.col("__slice") / F.col("__slices")) / F.col("__unit")).cast("int"))
 
 
 def _placed(rows: DataFrame, offsets: DataFrame, cuts: dict[int, list[tuple[int, int]]]) -> DataFrame:
     """Adds rank and target: the row's place in its old shard's order, and the new shard there."""
     p = F.col("__p")
-    inside = Window.partitionBy(*_BLOCK).orderBy(p["size"].desc(), p["id"], p["crc"])
+    inside = Window.partitionBy("__part").orderBy("__class", "__slice", "__hash", p["id"], p["crc"])
     rows = rows.select("*", F.sum(p["size"]).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("__sum"), F.row_number().over(inside).alias("__rank"))
-    rows = rows.join(offsets, list(_BLOCK))
+    rows = rows.join(offsets, "__part")
     middle = F.col("__bytes_before") + F.col("__sum") - p["size"] / 2
     table = F.create_map(*[x for i, c in cuts.items() for x in (F.lit(i), F.array(*[F.struct(F.lit(hi).cast("double").alias("hi"), F.lit(j).alias("to")) for hi, j in c]))])
     own = F.try_element_at(table, F.col("__old"))
@@ -122,41 +123,54 @@ def _placed(rows: DataFrame, offsets: DataFrame, cuts: dict[int, list[tuple[int,
     return rows.withColumn("__rank", F.col("__rank") + F.col("__rows_before") - 1).withColumn("__target", F.coalesce(target, F.element_at(own, -1)["to"]))
 
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int, key: str = "doc_id", text: str = "text", capacities: list[int] | None = None, block_rows: int = 1_000, path: str | None = None) -> tuple[DataFrame, list[Transfer]]:
+def reshard(docs: DataFrame, old_shard: Column, shards: int, key: str = "doc_id", text: str = "text", capacities: list[int] | None = None, block_rows: int = 1_000, path: str | None = None, unit: int = 16 << 20) -> tuple[DataFrame, list[Transfer]]:
     """``docs`` with columns size, text_crc32, shard and slot, from the new files; and the transfers.
 
-    old_shard: the shard, from 0, where a row lies now. A block holds about
-    ``block_rows`` rows at most. What comes to the driver are sizes and counts
-    for each shard and pair of shards; what is broadcast is one number for each
-    old shard and class of size (fewer than 100 classes).
+    old_shard: the shard, from 0, where a row lies now. A slice holds about
+    ``block_rows`` rows and an eighth of ``unit`` bytes at most, a stretch about
+    ``unit`` bytes; a task gets one stretch. What comes to the driver are sizes and
+    counts for each shard and pair of shards; what is broadcast is a few numbers for
+    each old shard and class of size (fewer than 100 classes).
     """
     spark = docs.sparkSession
     clean = docs.drop("shard", "slot", "size", "text_crc32")
-    narrow = written(sized(docs.select(key, text), old_shard, text, key).select("__p"), "sizes")
+    narrow = written(sized(clean, old_shard, text, key).select("__p"), "sizes")
     p = F.col("__p")
-    counts = narrow.groupBy(p["old"].alias("__old"), _class(p["size"]).alias("__class")).agg(F.count(F.lit(1)).alias("n"), F.sum(p["size"]).alias("bytes"))
-    counts = counts.collect()
-    old_count = max([r["__old"] for r in counts], default=-1) + 1
-    sizes = [sum(r["bytes"] for r in counts if r["__old"] == i) for i in range(old_count)]
+    total = narrow.agg(F.sum(p["size"])).first()[0] or 0
+    # rows that can spoil the balance by more than a 64th of a shard's share are evened out by class
+    fine = max(1, total // max(1, shards) // 64)
+    counts = narrow.groupBy(p["old"].alias("old"), _class(p["size"], fine).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.sum(p["size"]).alias("bytes"))
+    counts = sorted(counts.collect())
+    old_count = max([r["old"] for r in counts], default=-1) + 1
+    sizes = [sum(r["bytes"] for r in counts if r["old"] == i) for i in range(old_count)]
     transfers = min_cost_transfers(sizes, capacities or equal_capacities(sum(sizes), shards))
     cuts: dict[int, list[tuple[int, int]]] = {}
     for t in sorted(transfers, key=lambda t: (t.source, t.target != t.source, t.target)):
         before = cuts.setdefault(t.source, [])
         before.append(((before[-1][0] if before else 0) + t.size, t.target))
     cuts = cuts or {0: [(0, 0)]}
-    splits = spark.createDataFrame([(r["__old"], r["__class"], -(-r["n"] // block_rows)) for r in counts], "__old int, __class int, __blocks int")
-    # prefix sums over the blocks: one row for each block, so a few for each shard
-    blocks = _in_blocks(narrow, splits).groupBy(*_BLOCK).agg(F.sum(p["size"]).alias("b"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("__old").orderBy("__class", "__sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written(blocks.select(*_BLOCK, F.coalesce(F.sum("b").over(before), F.lit(0)).alias("__bytes_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__rows_before")), "blocks")
-    pieces = _placed(_in_blocks(narrow, splits), offsets, cuts).groupBy("__old", "__target").agg(F.count(F.lit(1)).alias("n"), F.min("__rank").alias("first")).collect()
+    places, parts = [], 0
+    for i in range(old_count):
+        before = 0
+        for r in (r for r in counts if r["old"] == i):
+            slices = max(-(-r["n"] // block_rows), -(-8 * r["bytes"] // unit))
+            places.append((i, r["class"], slices, parts, before, r["bytes"], unit))
+            before += r["bytes"]
+        parts += before // unit + 1
+    splits = spark.createDataFrame(places, "__old int, __class int, __slices int, __first int, __before long, __bytes long, __unit long")
+    # prefix sums over the stretches: one row for each
+    sums = _stretched(narrow, splits, fine).groupBy("__old", "__part").agg(F.sum(p["size"]).alias("b"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("__old").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written(sums.select("__part", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("__bytes_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__rows_before")), "stretches")
+    pieces = _placed(_stretched(narrow, splits, fine), offsets, cuts).groupBy("__old", "__target").agg(F.count(F.lit(1)).alias("n"), F.min("__rank").alias("first")).collect()
     # a new shard's slots: the pieces that it gets, one after the other
     start, filled = {}, dict.fromkeys(range(shards), 0)
     for r in sorted(pieces, key=lambda r: (r["__target"], r["__old"] != r["__target"], r["__old"])):
         start[r["__old"], r["__target"]] = filled[r["__target"]] - r["first"]
         filled[r["__target"]] += r["n"]
     shift = F.create_map(*[x for (i, j), v in (start or {(0, 0): 0}).items() for x in (F.lit(i * shards + j), F.lit(v).cast("long"))])
-    full = _placed(_in_blocks(sized(clean, old_shard, text, key), splits), offsets, cuts)
+    dealt = _stretched(sized(clean, old_shard, text, key), splits, fine).repartitionById(max(1, parts), F.col("__part"))
+    full = _placed(dealt, offsets, cuts)
     slot = F.col("__rank") + F.try_element_at(shift, F.col("__old") * shards + F.col("__target"))
     full = full.select(*[F.col(f"`{c}`") for c in clean.columns], p["size"].alias("size"), p["crc"].alias("text_crc32"), F.col("__target").alias("shard"), slot.alias("slot"))
     affected = sorted({x for t in transfers if t.source != t.target for x in (t.source, t.target)} | {r["__target"] for r in pieces if r["__old"] != r["__target"]})
