@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding as shortest paths through a transducer.
 
 A model file is compiled into the parts of one weighted transducer: the
-normaliser (dummy prefix, white space rules, spaces as U+2581), the pieces, and
-byte fallback for single characters. Composed with an input, it is a lattice
-whose arcs are the pieces between two places of the text; the encoding is the
-lattice's shortest path in the tropical semiring (weights add along a path, the
-least path wins).
+normaliser (its character map, which rewrites the longest source at each place and
+leaves user-defined symbols alone, then white space rules, dummy prefix and spaces
+as U+2581), the pieces, and byte fallback for single characters. Composed with an
+input, it is a lattice whose arcs are the pieces between two places of the text; the
+encoding is the lattice's shortest path in the tropical semiring (weights add along a
+path, the least path wins).
 
 * A unigram model weighs an arc by its piece's negative score.
 * A BPE model has no weights for pieces alone: it weighs pairs. A piece may
@@ -13,15 +14,17 @@ least path wins).
   back the two. A sequence all of whose neighbours pass is the encoding, and no
   other sequence passes: the first merge of the text that crosses a piece's
   border would cross it between these two alone as well. The pair arcs are
-  compiled when first met and kept.
+  compiled when first met and kept. User-defined symbols are forced arcs: the
+  lattice has no other way across them.
 
 Where no piece of several characters can lie across two neighbouring characters,
 all paths meet, and the text is cut there: the path is the sum of the parts'
-paths. Parts are kept with their paths in a bounded memory of each Python worker.
+paths. Parts are kept with their paths in a memory of about 50 MB in each Python worker.
 
 Defined cases: a null or empty text has no pieces and decodes to the empty text;
 texts of any length are encoded whole; U+2581 in a text stands for a space, as
-the format has it; repeated rows give equal results; an empty table gives an
+the format has it; a model whose normaliser rewrites texts gives back the rewritten
+text, so ``round_trip`` is false where it changed something; repeated rows give equal results; an empty table gives an
 empty result; other columns of the table are never looked at.
 """
 
@@ -30,6 +33,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,32 +44,97 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 INFINITE = float("inf")
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """Sources and targets of a normaliser's compiled character map.
+
+    The blob is the length of a double-array trie over UTF-8 bytes, the trie, and the
+    targets, each ended by a zero byte. The trie is walked level by level.
+    """
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, targets = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :]
+    offset = (units >> 10) << ((units & (1 << 9)) >> 6)
+    out, places, keys, byte = {}, offset[:1].copy(), [b""], np.arange(1, 256)
+    while len(places):
+        child = places[:, None] ^ byte[None, :]
+        inside = child < len(units)
+        label = units[np.where(inside, child, 0)] & ((1 << 31) | 0xFF)
+        row, column = np.nonzero(inside & (label == byte[None, :]))
+        at = child[row, column]
+        places, keys = at ^ offset[at], [keys[r] + bytes([c + 1]) for r, c in zip(row.tolist(), column.tolist(), strict=True)]
+        for i in np.flatnonzero((units[at] >> 8) & 1).tolist():
+            begin = int(units[places[i]] & 0x7FFFFFFF)
+            out[keys[i].decode()] = targets[begin : targets.index(b"\0", begin)].decode()
+    return out
+
+
+class Normaliser:
+    """The transducer before the pieces: character map, white space, dummy prefix, spaces as U+2581."""
+
+    def __init__(self, spec, symbols: list[str], suffix: bool):
+        self.map = character_map(spec.precompiled_charsmap)
+        self.longest: dict[str, int] = {}
+        for source in self.map:
+            self.longest[source[0]] = max(len(source), self.longest.get(source[0], 0))
+        self.first = re.compile("[" + "".join(map(re.escape, sorted(self.longest))) + "]") if self.map else None
+        self.symbols = re.compile("(" + "|".join(map(re.escape, sorted(symbols, key=len, reverse=True))) + ")") if symbols else None
+        self.dummy, self.squeeze, self.escape, self.suffix = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces, suffix
+
+    def rewritten(self, text: str) -> str:
+        """The character map applied, longest source first."""
+        out, at = [], 0
+        for m in self.first.finditer(text):
+            i = m.start()
+            if i < at:
+                continue
+            for n in range(self.longest[text[i]], 0, -1):
+                to = self.map.get(text[i : i + n])
+                if to is not None:
+                    out += (text[at:i], to)
+                    at = i + len(text[i : i + n])
+                    break
+        out.append(text[at:])
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        given = bool(text)
+        if self.map:
+            text = "".join(x if i % 2 else self.rewritten(x) for i, x in enumerate(self.symbols.split(text))) if self.symbols else self.rewritten(text)
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+            given = bool(text)
+        if given and self.dummy:
+            text = text + " " if self.suffix else " " + text
+        return text.replace(" ", SPACE) if self.escape else text
+
+
 class Transducer:
-    """A compiled model. ``remember`` bounds the parts that are kept with their paths."""
+    """A compiled model. ``remember`` bounds the bytes of parts that are kept with their paths."""
 
-    def __init__(self, model: bytes, remember: int = 300_000):
+    def __init__(self, model: bytes, remember: int = 25_000_000):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
-        if proto.normalizer_spec.precompiled_charsmap:
-            raise ValueError("models with a character map aren't supported: normalise the text first")
-        if any(p.type == USER for p in proto.pieces):
-            raise ValueError("models with user-defined symbols aren't supported")
+        symbols = [p.piece for p in proto.pieces if p.type == USER]
+        self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
+        self.normalise = Normaliser(proto.normalizer_spec, symbols, self.suffix)
         self.dummy_prefix = proto.normalizer_spec.add_dummy_prefix
-        self.squeeze = proto.normalizer_spec.remove_extra_whitespaces
-        self.escape = proto.normalizer_spec.escape_whitespaces
         self.unigram = proto.trainer_spec.model_type == 1
         self.surface = [p.piece for p in proto.pieces]
-        self.arcs = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (NORMAL, UNUSED)}
-        self.score = [p.score for p in proto.pieces]
+        # symbols: arcs of the lattice with the format's bonus, or, without piece weights, forced ones
+        self.forced = {} if self.unigram else {p.piece: i for i, p in enumerate(proto.pieces) if p.type == USER}
+        self.arcs = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (NORMAL, UNUSED) or p.type == USER and self.unigram}
+        top = max((p.score for p in proto.pieces if p.type == NORMAL), default=0.0)
+        self.score = [len(p.piece) * top - 0.1 if p.type == USER else p.score for p in proto.pieces]
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
         self.unknown_weight = 10.0 - min((p.score for p in proto.pieces if p.type == NORMAL), default=0.0)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.output = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
         self.output[self.unknown] = proto.trainer_spec.unk_surface.encode()
         self.byte_ids = frozenset(self.bytes.values())
-        self.remember, self.paths, self.older, self.pairs = remember, {}, {}, {}
+        self.remember, self.held, self.paths, self.older, self.pairs = remember, 0, {}, {}, {}
         self._build()
         self.parts = re.compile(self._cut_pattern())
 
@@ -124,13 +193,6 @@ class Transducer:
             self.moves[state][c] = after
         return after
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if text and self.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", SPACE) if self.escape else text
-
     def _merged(self, text: str) -> list[str]:
         """A BPE model's merges on a short text: the best-scored adjacent pair first, the leftmost of equals."""
         symbols = list(text)
@@ -150,7 +212,7 @@ class Transducer:
             return -self.score[piece] if piece < len(self.score) else self.unknown_weight
         parts = [self.label(i) for i in (before, piece) if i >= 0]
         w = 0.0 if self._merged("".join(parts)) == parts else INFINITE
-        if len(self.pairs) >= 2 * self.remember:
+        if len(self.pairs) >= 200_000:
             self.pairs.clear()
         self.pairs[before << 32 | piece] = w
         return w
@@ -207,26 +269,42 @@ class Transducer:
         out: list[int] = []
         if not text:
             return out
-        paths, extend = self.paths, out.extend
-        for part in self.parts.findall(self.normalise(text)):
+        whole = self.normalise(text)
+        if not self.forced:
+            return self._encoded(whole, out)
+        for i, part in enumerate(self.normalise.symbols.split(whole)):
+            if i % 2:
+                out.append(self.forced[part])
+            else:
+                self._encoded(part, out)
+        return out
+
+    def _encoded(self, text: str, out: list[int]) -> list[int]:
+        paths, extend, merge, unknown = self.paths, out.extend, not self.bytes, self.unknown
+        for part in self.parts.findall(text):
             ids = paths.get(part)
             if ids is None:
                 ids = self.older.get(part) or self.ids(part)
                 if len(part) <= 64:
-                    if len(paths) >= self.remember:  # parts met since the last turn stay for another
-                        self.older = paths
+                    if self.held >= self.remember:  # parts met since the last turn stay for another
+                        self.older, self.held = paths, 0
                         self.paths = paths = {}
                     paths[part] = ids
+                    self.held += 250 + 12 * len(part)  # about what the entry takes
+            if merge and out and out[-1] == ids[0] == unknown:  # a run of unknown characters is one
+                ids = ids[1:]
             extend(ids)
         return out
 
     def decode(self, ids: list[int]) -> str:
         output = self.output
         text = b"".join([output[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        if not self.dummy_prefix:
+            return text
+        return text.removesuffix(" ") if self.suffix else text.removeprefix(" ")
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"paths": {}, "older": {}, "pairs": {}}
+        return self.__dict__ | {"held": 0, "paths": {}, "older": {}, "pairs": {}}
 
 
 def compiled(df: DataFrame, model: str = MODEL):
