@@ -73,3 +73,22 @@ def show_date(text: Column) -> Column:
 def month_start(year: Column, month: Column) -> Column:
     """First day of a month; 1900-01-01 if either is null."""
     return F.coalesce(F.concat(year.cast("string"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-01")), F.lit("1900-01-01"))
+
+
+def recent_date(text: Column) -> Column:
+    """The first date of this century, parted by stops or hyphens, as YYYY-MM-DD; '' for none."""
+    return _ymd(F.coalesce(text, F.lit("")), r"(20\d{2})[.-]\s*(\d{1,2})[.-]\s*(\d{1,2})")
+
+
+def exact_period(text: Column) -> tuple[Column, Column]:
+    """Start and end of 'YYYY.MM.DD ~ YYYY.MM.DD'; both '' where the text has no such period."""
+    t, day = F.coalesce(text, F.lit("")), r"(\d{4})\.(\d{2})\.(\d{2})"
+    g = [F.regexp_extract(t, rf"{day}\s*~\s*{day}", i) for i in range(1, 7)]
+    return tuple(F.when(g[i] == "", "").otherwise(F.concat_ws("-", *g[i : i + 3])) for i in (0, 3))
+
+
+def iso(at: Column) -> Column:
+    """A timestamp as ISO 8601 with microseconds where it has any, without zone."""
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    part = F.date_format(at, "SSSSSS")
+    return F.when(part == "000000", whole).otherwise(F.concat(whole, F.lit("."), part))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from html import escape
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -16,10 +18,12 @@ class Node:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
     def walk(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+        """The elements below, in document order."""
+        todo = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while todo:
+            n = todo.pop()
+            yield n
+            todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
 
     def all(self, *tags: str) -> list[Node]:
         return [n for n in self.walk() if n.tag in tags]
@@ -28,13 +32,12 @@ class Node:
         return next((n for n in self.walk() if n.matches(selector)), None)
 
     def matches(self, selector: str) -> bool:
-        """tag, .class, #id, and tag with either."""
-        m = re.fullmatch(r"([a-z0-9]*)(?:([.#])([\w-]+))?", selector)
-        if not m or m[1] and m[1] != self.tag:
+        """A tag, ids and classes, and parts of attributes' values: ``a.b#c[style*='x']``; each may be absent."""
+        tag, marks, parts = _selector(selector)
+        if tag and tag != self.tag:
             return False
-        if m[2] == "#":
-            return self.attrs.get("id") == m[3]
-        return m[2] is None or m[3] in self.attrs.get("class", "").split()
+        classes = self.attrs.get("class", "").split()
+        return all(self.attrs.get("id") == m[1:] if m[0] == "#" else m[1:] in classes for m in marks) and all(x in self.attrs.get(k, "") for k, x in parts)
 
     def inside(self, *tags: str) -> bool:
         p = self.parent
@@ -58,8 +61,36 @@ class Node:
 
     def drop(self, *selectors: str) -> None:
         for n in [n for n in self.walk() if any(n.matches(s) for s in selectors)]:
-            if n.parent is not None and n in n.parent.children:
-                n.parent.children.remove(n)
+            if n.parent is not None:
+                n.parent.children = [c for c in n.parent.children if c is not n]
+
+    def inner_html(self) -> str:
+        """The markup of what the element holds."""
+        out: list[str] = []
+        todo: list = list(reversed(self.children))
+        while todo:
+            x = todo.pop()
+            if isinstance(x, Node):
+                out.append("<" + x.tag + "".join(f' {k}="{escape(v)}"' for k, v in x.attrs.items()) + ">")
+                if x.tag not in VOID:
+                    todo.append(_End(f"</{x.tag}>"))
+                    todo.extend(reversed(x.children))
+            else:
+                out.append(x if isinstance(x, _End) or self.tag in ("script", "style") else escape(x, quote=False))
+        return "".join(out)
+
+
+class _End(str):
+    """An end tag among the texts of an element."""
+
+
+@functools.cache
+def _selector(selector: str) -> tuple[str, tuple[str, ...], tuple[tuple[str, str], ...]]:
+    """A selector's tag, its .classes and #ids, and its [attribute*='part'] pairs."""
+    m = re.fullmatch(r"""([a-z0-9]*)((?:[.#][\w-]+)*)((?:\[[\w-]+\*=["'][^"']*["']\])*)""", selector)
+    if not m:
+        raise ValueError(f"selector {selector!r} is not understood")
+    return m[1], tuple(re.findall(r"[.#][\w-]+", m[2])), tuple(re.findall(r"""\[([\w-]+)\*=["']([^"']*)["']\]""", m[3]))
 
 
 class _Builder(HTMLParser):
@@ -126,9 +157,10 @@ def grid(table: Node) -> list[list[tuple[str, bool]]]:
         for c in (x for x in tr.children if isinstance(x, Node) and x.tag in ("td", "th")):
             fill()
             cell = (" ".join(c.text().split()), c.tag == "th")
-            for _ in range(_span(c, "colspan")):
-                if _span(c, "rowspan") > 1:
-                    held_next[len(row)] = (_span(c, "rowspan") - 1, cell)
+            down = _span(c, "rowspan", MOST_ROWS)
+            for _ in range(_span(c, "colspan", MOST_COLUMNS)):
+                if down > 1:
+                    held_next[len(row)] = (down - 1, cell)
                 row.append(cell)
         fill()
         held = held | held_next
@@ -143,9 +175,13 @@ def _owner(n: Node) -> Node | None:
     return n
 
 
-def _span(n: Node, name: str) -> int:
+# The largest spans that the HTML standard lets a cell have.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+
+def _span(n: Node, name: str, most: int) -> int:
     v = n.attrs.get(name, "1")
-    return max(1, min(1000, int(v))) if v.isdigit() else 1
+    return max(1, min(most, int(v))) if v.isascii() and v.isdigit() else 1
 
 
 def table_markdown(rows: list[list[tuple[str, bool]]]) -> str:
@@ -167,45 +203,94 @@ def table_markdown(rows: list[list[tuple[str, bool]]]) -> str:
     return "\n".join(lines + ["| " + " | ".join(esc(t) for t, _ in r) + " |" for r in cells[head:]])
 
 
+# The signs around emphasised and code text.
+MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`"}
+
+
+def inline(node: Node) -> str:
+    """An element's text with its links, images, emphasis and code as Markdown."""
+    frames: list[tuple[Node, list, list[str]]] = [(node, list(reversed(node.children)), [])]
+    while True:
+        n, todo, parts = frames[-1]
+        while todo:
+            c = todo.pop()
+            if isinstance(c, str):
+                parts.append(c)
+            elif c.tag == "br":
+                parts.append(" ")
+            elif c.tag == "img":
+                if c.attrs.get("alt", "").strip():
+                    parts.append(f"![{c.attrs['alt'].strip()}]({c.attrs.get('src', '')})")
+            elif c.tag not in ("script", "style"):
+                frames.append((c, list(reversed(c.children)), []))
+                break
+        else:
+            frames.pop()
+            t, bare = "".join(parts), " ".join("".join(parts).split())
+            if n.tag == "a" and bare and n.attrs.get("href"):
+                t = f"[{bare}]({n.attrs['href']})"
+            elif n.tag in MARKS and bare:
+                t = f"{MARKS[n.tag]}{bare}{MARKS[n.tag]}"
+            if not frames:
+                return " ".join(t.split())
+            if n.tag in ENDS_P or n.tag in ("p", "li", "td", "th"):
+                t = f" {t} "
+            frames[-1][2].append(t)
+
+
 def markdown(node: Node) -> str:
-    """Headings, paragraphs, lists and tables of an element as Markdown blocks."""
+    """Headings, paragraphs, lists and tables of an element as Markdown blocks, links and emphasis inside them."""
     out: list[str] = []
+    frames: list[tuple[list, list[str]]] = [(list(reversed(node.children)), [])]
 
-    def visit(n: Node) -> None:
-        inline: list[str] = []
+    def flush(run: list[str]) -> None:
+        t = " ".join("".join(run).split())
+        if t:
+            out.append(t)
+        run.clear()
 
-        def flush() -> None:
-            t = " ".join(" ".join(inline).split())
-            if t:
-                out.append(t)
-            inline.clear()
-
-        for c in n.children:
+    while frames:
+        todo, run = frames[-1]
+        while todo:
+            c = todo.pop()
             if isinstance(c, str):
-                inline.append(c)
+                run.append(c)
             elif c.tag in ("script", "style"):
                 continue
             elif re.fullmatch("h[1-6]", c.tag):
-                flush()
+                flush(run)
                 t = " ".join(c.text().split())
                 if t:
                     out.append("#" * int(c.tag[1]) + " " + t)
             elif c.tag == "table":
-                flush()
+                flush(run)
                 t = table_markdown(grid(c))
                 if t:
                     out.append(t)
             elif c.tag in ("ul", "ol"):
-                flush()
-                items = [" ".join(li.text().split()) for li in c.children if isinstance(li, Node) and li.tag == "li"]
+                flush(run)
+                items = [inline(li) for li in c.children if isinstance(li, Node) and li.tag == "li"]
                 if any(items):
                     out.append("\n".join(f"- {i}" for i in items if i))
             elif c.tag in ENDS_P or c.tag in ("p", "body", "html", "li", "td", "figure"):
-                flush()
-                visit(c)
+                flush(run)
+                frames.append((list(reversed(c.children)), []))
+                break
             else:
-                inline.append(c.text())
-        flush()
-
-    visit(node)
+                # the element itself, so that its own link or emphasis shows
+                holder = Node("", {}, None)
+                holder.children = [c]
+                edge = (" " if _edge(c, 0) else "", " " if _edge(c, -1) else "")
+                run.append(edge[0] + inline(holder) + edge[1])
+        else:
+            frames.pop()
+            flush(run)
     return "\n\n".join(out)
+
+
+def _edge(n: Node, at: int) -> bool:
+    """Whether an inline element begins or ends with white space."""
+    while n.children and isinstance(n.children[at], Node):
+        n = n.children[at]
+    x = n.children[at] if n.children else ""
+    return bool(x) and x[at].isspace()

@@ -16,6 +16,9 @@ SHOP = ("https://shop.kt.com", "https://m.shop.kt.com:444/m")
 BLOG = ("https://gigagenie.kt.com/blog/", "https://gigagenie.kt.com/m/blog/")
 ROAMING = ("globalroaming.kt.com", "m.globalroaming.kt.com", "/news/view.asp")
 
+# The numbers of the accessory lists.
+ACCESSORY_NUMBERS = ["042901", "042902", "042903", "043002", "043004", "043005", "043006", "043007", "043101", "043102", "043103", "043104", "043105", "043401", "043402", "043501", "043502", "043503", "043504"]
+
 # Page handlers in the order of their patterns.
 ROUTES = [
     ("membership_partners", r"https?://membership\.kt\.com/discount/partner/PartnerList\.do"),
@@ -26,7 +29,18 @@ ROUTES = [
     ("assistant_detail", r"https?://gigagenie\.kt\.com/whyGenieServiceDetail\.do\?serviceCate=.*"),
     ("assistant_faq", r"https?://gigagenie\.kt\.com/whyGenieFaq\.do.*"),
     ("assistant_news", r"https?://gigagenie\.kt\.com/whyGenieNews\.do"),
+    ("shop_popups", r"https?://shop\.kt\.com/direct/directEsim\.do"),
+    ("shop_popups", r"https?://shop\.kt\.com/direct/directUsim\.do"),
+    ("shop_popups", r"https?://shop\.kt\.com/direct/quickUsim\.do"),
+    ("shop_popups", r"https?://shop\.kt\.com/unify/mobile\.do\?.*category=changePhone"),
+    ("shop_popups", r"https?://shop\.kt\.com/direct/directPhoneOrder\.do"),
+    ("shop_popups", r"https?://shop\.kt\.com/direct/directAddUsim\.do"),
+    ("shop_popups", r"https?://shop\.kt\.com/direct/directDual\.do"),
+    ("shop_popups", r"https?://shop\.kt\.com/unify/mobile\.do\?.*category=usim"),
+    ("shop_popups", r"https?://shop\.kt\.com/direct/directSmart\.do"),
+    ("shop_popups", r"https?://shop\.kt\.com/direct/directEsimMove\.do"),
     ("shop_products", r"https?://shop\.kt\.com/mobile/products\.do\?category=.*"),
+    *[("accessories", rf"https?://shop\.kt\.com/display/olhsStore\.do\?dispNo=STOR{n}") for n in ACCESSORY_NUMBERS],
     ("trade_in", r"https?://shop\.kt\.com/goodbye/phoneView\.do.*"),
     ("store_plans", r"https?://shop\.kt\.com/display/olhsStore\.do\?dispNo=STOR05&subDispNo=STOR0501.*"),
     ("store_plans", r"https?://shop\.kt\.com/display/olhsStore\.do\?dispNo=STOR05&subDispNo=STOR0503.*"),
@@ -103,10 +117,18 @@ def urls_in_text(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;)\]}]+$", "")))
 
 
+def joined(base: str | None, link: str | None) -> str | None:
+    """A link resolved against its page; as it stands where either is malformed."""
+    try:
+        return None if link is None else urljoin(base or "", link)
+    except ValueError:
+        return link
+
+
 @F.pandas_udf(T.StringType())
 def absolute(base: pd.Series, link: pd.Series) -> pd.Series:
     """A link resolved against its page."""
-    return pd.Series([None if x is None else urljoin(b or "", x) for b, x in zip(base, link, strict=True)])
+    return pd.Series([joined(b, x) for b, x in zip(base, link, strict=True)])
 
 
 def query_value(url: Column, name: str) -> Column:
