@@ -15,17 +15,30 @@ def count_words(text: str) -> int:
 
 
 def _packed(parts: list[str], gap: str, most: int, count: Callable[[str], int]) -> list[str]:
-    """Neighbouring parts joined while the count stays within ``most``; a larger part is alone."""
+    """Neighbouring parts joined while the count stays within ``most``; a larger part is alone.
+
+    Words are counted once, part by part. Of another counter it is taken that a
+    joined text counts no more than its parts and gaps; only where these sum to
+    more than ``most`` is the joined text itself counted.
+    """
+    words = count is count_words
+    total = (lambda n: n * 13 // 10) if words else (lambda n: n)
+    size = (lambda t: len(t.split())) if words else count
+    between = 0 if words else count(gap)
     out: list[str] = []
-    now = ""
+    run: list[str] = []
+    now = 0
     for part in parts:
-        longer = now + gap + part if now else part
-        if count(longer) > most and now:
-            out.append(now)
-            now = part
-        else:
-            now = longer
-    return out + [now] if now else out
+        n = size(part)
+        longer = now + between + n if run else n
+        if run and total(longer) > most:
+            joined = None if words else gap.join([*run, part])
+            if joined is None or (longer := count(joined)) > most:
+                out.append(gap.join(run))
+                run, longer = [], n
+        run.append(part)
+        now = longer
+    return out + [gap.join(run)] if run else out
 
 
 def chunked(text: str | None, target: int = 2000, cap: int = 8000, forced: int = 1000, count: Callable[[str], int] = count_words) -> list[str]:

@@ -3,17 +3,42 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.functions import dom
+from loomwell.functions.urls import joined
 
 # Where a page's main content is looked for, in order, and what is removed from it.
 MAIN = ("#main-content", ".wiki-content", "main", "body")
-REMOVED = ("script", "style", "nav", "footer", "div.ad")
+REMOVED = (
+    "header", "footer", "nav", "aside", "sidebar", ".header", ".footer", ".nav", ".aside", ".sidebar", ".navigation", ".menu",
+    "div.aui-page-header-actions", "div.page-actions", "div.aui-toolbar2", "div.comment-container", "div.like-button-container",
+    "div.page-labels", "div.comment-actions", "span.st-table-filter", "svg", "div.confluence-information-macro", "div.aui-message",
+    "div.page-metadata-modification-info", ".aui-page-header-actions", ".like-button-container", ".page-labels",
+    "div#page-metadata-banner", "ul.banner", "script", "style", "div.ad",
+)
+
+# What is taken out of scraped pages before they become Markdown: frames of the site, sharing and
+# banners, hidden elements and layers, scripts.
+EXCLUDED = (
+    "#cfmClHeader", "#cfmClFooter", "#cfmClSkip",
+    ".header", ".footer", ".header-area", ".footer-area",
+    ".nav", ".navigation", ".sidebar", ".advertisement",
+    ".banner", ".popup", ".modal", ".overlay", ".sns-share", ".sns-list",
+    ".sns.twitter", ".sns.facebook", ".sns.kakao", ".sns.youtube",
+    ".swiper-controls-wrapper", ".opage-hashtag-arrow", ".swiper-button-next", ".swiper-button-prev",
+    ".icon.kakao", ".icon.facebook", ".icon.twitter", ".icon.youtube",
+    ".btn-twitter", ".btn-facebook", ".btn-kakao", ".btn-youtube",
+    ".location", ".sns-area", ".opener", "a[onclick*='KT_trackClicks']",
+    ".find-center",
+    ".N-compare-suggest-list", ".top-three-box",
+    "#kt_mb", ".kt_mb", ".sticky", ".quickMenu", "#kt-head", ".kt-head",
+    ".bnr_info", ".share_wrap", "#popupVideo", "#popupVideoNo", "#popupShortsNo", "#popupDownload", "#popupConsulting",
+    "[style*='display:none']", ".invisible", ".layerPop", "script", "style", "noscript",
+)
 
 PAGE = "title string, meta_title string, breadcrumbs array<string>, headings array<struct<level:int,text:string>>, links array<struct<text:string,href:string>>, images array<struct<alt:string,src:string>>, text string, markdown string, clean_html string, nodes array<struct<node_id:int,parent_id:int,depth:int,text:string,href:string,page_id:string>>"
 
@@ -33,11 +58,11 @@ def _page(html: str | None, url: str | None, least_alt: int, least_text: int) ->
     base = url or ""
     links, seen = [], set()
     for n in root.all("a"):
-        text, href = _squeezed(n.text()), urljoin(base, n.attrs.get("href", ""))
+        text, href = _squeezed(n.text()), joined(base, n.attrs.get("href", ""))
         if len(text) >= least_text and n.attrs.get("href", "").startswith(("http", "/")) and href.startswith("http") and href not in seen:
             seen.add(href)
             links.append({"text": text, "href": href})
-    images = [{"alt": n.attrs.get("alt", "").strip(), "src": urljoin(base, n.attrs.get("src", ""))} for n in root.all("img") if not n.inside("header", "footer") and len(n.attrs.get("alt", "").strip()) >= least_alt]
+    images = [{"alt": n.attrs.get("alt", "").strip(), "src": joined(base, n.attrs.get("src", ""))} for n in root.all("img") if not n.inside("header", "footer") and len(n.attrs.get("alt", "").strip()) >= least_alt]
     nodes: list[dict] = []
     listed = root.first("div.ia-secondary-content") or root.first("nav")
     if listed:
@@ -56,7 +81,8 @@ def _page(html: str | None, url: str | None, least_alt: int, least_text: int) ->
     main.drop(*REMOVED)
     body = dom.markdown(main)
     text = _squeezed(main.text())
-    clean = f"<html><head><title>{title}</title></head><body>{text}</body></html>" if text else ""
+    parts = [f"<h1>{heading.inner_html()}</h1>" if heading else "", f"<nav aria-label='이동 경로'>{crumbs.inner_html()}</nav>" if crumbs else "", main.inner_html().strip()]
+    clean = "\n".join(x for x in parts if x) if text else ""
     return {
         "title": title, "meta_title": meta.get("og:title") or meta.get("title") or (_squeezed(titles[0].text()) if titles else ""),
         "breadcrumbs": [_squeezed(n.text()) for n in crumbs.all("li")] if crumbs else [], "headings": headings, "links": links, "images": images, "text": text, "markdown": body, "clean_html": clean, "nodes": nodes,
@@ -83,6 +109,43 @@ def structured(pages: DataFrame, key: str = "page_id", least_alt: int = 3, least
     return rows.mapInPandas(work, f"key {rows.schema['key'].dataType.simpleString()}, url string, {PAGE}").withColumnRenamed("key", key)
 
 
+def cleaned(pages: DataFrame, key: str = "page_id", selectors: tuple[str, ...] = EXCLUDED, include: str | None = None) -> DataFrame:
+    """key, html, markdown, text of each page without the elements of ``selectors``; ``include`` alone where the page has it.
+
+    Null and empty pages give empty texts; a page's malformed markup is read as far as it goes.
+    """
+
+    def one(html: str | None) -> tuple[str, str, str]:
+        root = dom.tree(html)
+        only = root.first(include) if include else None
+        if only:
+            root = dom.Node("", {}, None)
+            root.children = [only]
+        root.drop(*selectors)
+        return root.inner_html(), dom.markdown(root), _squeezed(root.text())
+
+    def work(batches):
+        for b in batches:
+            out = pd.DataFrame([one(h) for h in b["html"]], columns=["html", "markdown", "text"])
+            out.insert(0, "key", b["key"].to_numpy())
+            yield out
+
+    rows = pages.select(F.col(key).alias("key"), "html")
+    return rows.mapInPandas(work, f"key {rows.schema['key'].dataType.simpleString()}, html string, markdown string, text string").withColumnRenamed("key", key)
+
+
+def joined_markdown(pages: DataFrame, order: str, markdown: str = "markdown", batch: str | None = None) -> DataFrame:
+    """One text for each batch of uploaded files: their Markdown in file order, a blank line between. A batch is an upload, so a few files."""
+    keys = [batch] if batch else []
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(markdown, F.lit("")).alias("m"))))
+    return pages.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["m"]), "\n\n").alias("markdown"), F.count(F.lit(1)).alias("files"))
+
+
+def table_widths(html: Column) -> Column:
+    """The columns of each table's widest row."""
+    return F.transform(table_grids(html), lambda t: F.coalesce(F.array_max(F.transform(t, F.size)), F.lit(0)))
+
+
 def table_grids(html: Column) -> Column:
     """Each table's rows of cell texts, spans filled in."""
 

@@ -43,13 +43,39 @@ def update_status(queue: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def timeout_seconds(handler: Column) -> Column:
-    """Null for no limit."""
+    """Null for no limit. A blank handler is none."""
     multi = F.lower(handler).rlike("|".join(MULTI_PAGE))
-    return F.when(handler.isNull(), F.lit(PLAIN_SECONDS)).when(multi, F.lit(None).cast("int")).otherwise(F.lit(HANDLER_SECONDS))
+    return F.when(F.coalesce(handler, F.lit("")) == "", F.lit(PLAIN_SECONDS)).when(multi, F.lit(None).cast("int")).otherwise(F.lit(HANDLER_SECONDS))
 
 
 def crawl_summary(results: DataFrame, *keys: str) -> DataFrame:
-    """success, failed, total of each run, and the failed items joined by ', '."""
+    """success, failed, total of each run; which items failed is ``failed_items``."""
     failed = F.col("status") == "failed"
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(failed, F.col("id")))), lambda x: x.cast("string")), ", ")
-    return results.groupBy(*keys).agg(F.count_if(F.col("status") == "success").alias("success"), F.count_if(failed).alias("failed"), F.count(F.lit(1)).alias("total"), ids.alias("failed_ids"))
+    return results.groupBy(*keys).agg(F.count_if(F.col("status") == "success").alias("success"), F.count_if(failed).alias("failed"), F.count(F.lit(1)).alias("total"))
+
+
+def failed_items(results: DataFrame, *keys: str) -> DataFrame:
+    """(keys, id) of the failed items of each run, a row each, so that a run may have any number."""
+    return results.filter((F.col("status") == "failed") & F.col("id").isNotNull()).select(*keys, "id")
+
+
+def joined_ids(ids: Column) -> Column:
+    """The ids of one request's list by ', ', null ones left out."""
+    return F.array_join(F.transform(F.array_compact(ids), lambda x: x.cast("string")), ", ")
+
+
+def listed_ids(text: Column) -> Column:
+    """The whole numbers of a text box, parted by white space or commas; anything else is left out."""
+    return F.array_compact(F.transform(F.split(F.coalesce(text, F.lit("")), r"[\s,]+"), lambda x: F.regexp_extract(x, r"^([+-]?\d+)", 1).try_cast("long")))
+
+
+def by_ids(queue: DataFrame, ids: list[int], key: str = "id") -> DataFrame:
+    """The rows with those ids: no row for no ids."""
+    return queue.filter(F.col(key).isin(*ids)) if ids else queue.limit(0)
+
+
+def exactly_one(df: DataFrame, holds: Column) -> DataFrame:
+    """The row for which ``holds``, or none; more than one raises when the result is read."""
+    found = df.filter(holds).limit(2)
+    several = found.agg(F.count(F.lit(1)).alias("__n")).select(F.when(F.col("__n") > 1, F.raise_error(F.lit("more than one row fits"))).otherwise(F.lit(True)).cast("boolean").alias("__one"))
+    return found.join(F.broadcast(several), F.col("__one"))

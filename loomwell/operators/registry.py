@@ -80,6 +80,32 @@ def update_links(links: DataFrame, changes: DataFrame, columns: tuple[str, ...]
     return joined.select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in given else F.col(c) for c in links.columns])
 
 
+def create_links(links: DataFrame, new: DataFrame, at: Column) -> DataFrame:
+    """``links`` with the new rows (ord and any of the columns) behind them: next ids in their order, created at ``at``.
+
+    New rows without a menu path raise when the result is read.
+    """
+    first = links.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
+    rows = numbered(new, ["ord"], "id", first + 1)
+    path = F.when(strip(F.coalesce(F.col("menu_path"), F.lit(""))) == "", F.raise_error(F.lit("a link needs a menu path"))).otherwise(F.col("menu_path"))
+    given = {c: F.col(c) for c in rows.columns} | {"menu_path": path, "created_at": at}
+    return links.unionByName(rows.select(*[given.get(c, F.lit(None)).cast(links.schema[c].dataType).alias(c) for c in links.columns]))
+
+
+def create_managers(links: DataFrame, managers: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The managers with those new ones that may be added, and the others with their rule: no such link, one already, several new ones."""
+    facts = new.join(links.select(F.col("id").alias("menu_id"), F.lit(True).alias("__link")), "menu_id", "left")
+    facts = facts.join(managers.select("menu_id", F.lit(True).alias("__has")).distinct(), "menu_id", "left").join(new.groupBy("menu_id").agg(F.count(F.lit(1)).alias("__n")), "menu_id")
+    rule = F.when(F.col("__link").isNull(), "manager of no link").when(F.col("__has").isNotNull() | (F.col("__n") > 1), "several managers")
+    judged = facts.withColumn("rule", rule)
+    return managers.unionByName(judged.filter("rule is null").select(*managers.columns)), judged.filter("rule is not null").select("menu_id", "rule").distinct()
+
+
+def matching_suffix(column: str, like: str, pattern: str) -> Column:
+    """Whether an id is LIKE the wildcard and then matches the whole pattern."""
+    return F.col(column).like(like) & F.col(column).rlike(f"^(?:{pattern})$")
+
+
 def url_lookup(urls: DataFrame, links: DataFrame) -> DataFrame:
     """(url, id, menu_path): the link of each URL; of several with one URL the one with the largest id."""
     one = links.groupBy(F.col("pc_url").alias("url")).agg(F.max_by(F.struct("id", "menu_path"), "id").alias("link"))

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwell.sources.shared import written
+
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -19,17 +21,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size)
 
 
-def vector_topk(vectors: DataFrame, query: list[float], k: int, threshold: float | None = None, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def vector_topk(vectors: DataFrame, query: list[float], k: int | None, threshold: float | None = None, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(key, score): the k nearest by cosine; vectors that are null or of another dimension are left out.
 
     One pass; each task keeps k rows, so that k rows a task are all that moves.
     """
     usable = vectors.filter(F.col(column).isNotNull() & (F.size(column) == len(query)))
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = usable.select(key, cosine(F.col(column), q).alias("score"))
-    if threshold is not None:
-        scored = scored.filter(F.col("score") >= threshold)
-    return scored.orderBy(F.col("score").desc(), F.col(key)).limit(k)
+    return best(usable.select(key, cosine(F.col(column), q).alias("score")), key, k, threshold)
 
 
 def tokens(text: Column) -> Column:
@@ -37,32 +36,41 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_BREAK), lambda w: w != "")
 
 
-def bm25(docs: DataFrame, query: str, fields: dict[str, float], k: int, min_score: float = 0.1, key: str = "id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def query_terms(query: str) -> list[str]:
+    return sorted({t for t in re.split(r"[\W_]+", query.lower()) if t})
+
+
+def _okapi(tf: Column, df: Column, n: Column, dl: Column, avg: Column, boost: float, k1: float, b: float) -> Column:
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    return F.when(tf > 0, boost * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avg))).otherwise(0.0)
+
+
+def best(scores: DataFrame, key: str, k: int | None, min_score: float | None) -> DataFrame:
+    """The k rows with the largest scores, ``key`` for ties; all in no order where k is None."""
+    if min_score is not None:
+        scores = scores.filter(F.col("score") >= min_score)
+    return scores if k is None else scores.orderBy(F.col("score").desc(), F.col(key)).limit(k)
+
+
+def bm25(docs: DataFrame, query: str, fields: dict[str, float], k: int | None, min_score: float = 0.1, key: str = "id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score): Okapi scores summed over boosted fields; at least one term must match.
 
-    One pass counts only the query's terms in each document, in place; the corpus
-    statistics are one row. No posting of a term that isn't asked for is made.
+    One pass counts only the query's terms in each text, in place, and writes the
+    counts; the corpus statistics, one row, and the scores come from that narrow
+    table. No posting of a term that isn't asked for is made. Null texts are empty.
     """
-    terms = sorted({t for t in re.split(r"[\W_]+", query.lower()) if t})
+    terms = query_terms(query)
+    letter = r"[\p{L}\p{N}]"
     columns = []
     for f in fields:
-        words = tokens(F.col(f))
-        columns.append(F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("dl"), F.array(*[_count(w, t) for t in terms]).alias("tf")))[0].alias(f"__{f}"))
-    counted = docs.select(key, *columns)
-    facts = counted.agg(F.count(F.lit(1)).alias("__n"), *[F.avg(F.col(f"__{f}.dl")).alias(f"__{f}_avg") for f in fields], *[F.count_if(F.get(F.col(f"__{f}.tf"), F.lit(i)) > 0).alias(f"__{f}_df{i}") for f in fields for i in range(len(terms))])
+        t = F.lower(F.coalesce(f, F.lit("")))
+        columns.append(F.regexp_count(t, F.lit(f"{letter}+")).alias(f"__{f}_dl"))
+        columns += [F.regexp_count(t, F.lit(rf"(?<!{letter})\Q{x}\E(?!{letter})")).alias(f"__{f}_tf{i}") for i, x in enumerate(terms)]
+    counted = written(docs.select(key, *columns), "term-counts")
+    facts = counted.agg(F.count(F.lit(1)).alias("__n"), *[F.avg(f"__{f}_dl").alias(f"__{f}_avg") for f in fields], *[F.count_if(F.col(f"__{f}_tf{i}") > 0).alias(f"__{f}_df{i}") for f in fields for i in range(len(terms))])
     joined = counted.crossJoin(facts)  # the facts are one row
-    score = F.lit(0.0)
-    for f, boost in fields.items():
-        for i in range(len(terms)):
-            tf, df, n = F.get(F.col(f"__{f}.tf"), F.lit(i)), F.col(f"__{f}_df{i}"), F.col("__n")
-            idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-            norm = k1 * (1 - b + b * F.col(f"__{f}.dl") / F.col(f"__{f}_avg"))
-            score = score + F.when(tf > 0, boost * idf * tf * (k1 + 1) / (tf + norm)).otherwise(0.0)
-    return joined.select(key, score.alias("score")).filter(F.col("score") >= min_score).filter("score > 0").orderBy(F.col("score").desc(), F.col(key)).limit(k)
-
-
-def _count(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == F.lit(term)))
+    score = sum((_okapi(F.col(f"__{f}_tf{i}"), F.col(f"__{f}_df{i}"), F.col("__n"), F.col(f"__{f}_dl"), F.col(f"__{f}_avg"), boost, k1, b) for f, boost in fields.items() for i in range(len(terms))), F.lit(0.0))
+    return best(joined.select(key, score.alias("score")).filter("score > 0"), key, k, min_score)
 
 
 def fuse(vector: DataFrame, text: DataFrame, weights: tuple[float, float] = (0.7, 0.3), normalize: bool = False) -> DataFrame:
@@ -100,6 +108,29 @@ def search_api(vector: DataFrame, text: DataFrame, limit: int, score_mode: str =
     return merged.orderBy(F.col("similarity_score").desc(), "late", "rank").limit(limit).select("id", "similarity_score", "search_type")
 
 
+def score_range(hits: DataFrame) -> DataFrame:
+    """One row: the largest and smallest score of a list, 1 and 0 for an empty one."""
+    return hits.agg(F.coalesce(F.max("score"), F.lit(1.0)).alias("most"), F.coalesce(F.min("score"), F.lit(0.0)).alias("least"))
+
+
+def min_max(hits: DataFrame) -> DataFrame:
+    """Scores of a list of k hits put between 0 and 1; 1 where all are equal."""
+    w = Window.partitionBy(F.lit(1))
+    most, least = F.max("score").over(w), F.min("score").over(w)
+    return hits.withColumn("score", F.when(most > least, (F.col("score") - least) / (most - least)).otherwise(1.0))
+
+
+def tools_of_intents(intents: DataFrame, mapping: DataFrame, available: DataFrame, fallback: int = 10) -> DataFrame:
+    """(question, tool): the available tools of a question's intents; the first ``fallback`` ones where none fits.
+
+    intents: question, intent; mapping: intent, tool; available: ord, tool, a list of at most some hundred.
+    """
+    fitting = intents.join(mapping, "intent").join(available.select("tool"), "tool", "left_semi").select("question", "tool").distinct()
+    first = available.orderBy("ord").limit(fallback).select("tool")
+    none = intents.select("question").distinct().join(fitting.select("question").distinct(), "question", "left_anti")
+    return fitting.unionByName(none.join(F.broadcast(first), F.lit(True)))
+
+
 def context(hits: DataFrame, keyword: str, max_results: int, budget: float = 15000.0) -> DataFrame:
     """Rows of (id, title, content, place) that fit the context: keyword hits first, 2 x max_results at most, then the token budget.
 

@@ -8,19 +8,27 @@ from pyspark.sql import functions as F
 from loomwell.sources.shared import written
 
 
+def _tie(df: DataFrame) -> Column:
+    """Parts rows of equal order: a hash of their columns (maps can't be hashed and don't count). Rows equal in all are alike."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*plain) if plain else F.lit(0)
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key by ``order``; ties must be excluded by the order itself.
+    """The first row of each key by ``order``; of rows with equal order one, told by a hash of all columns.
 
     min_by combines before the shuffle, so a key with most of the rows is no hot task.
+    Null keys are a key like any other; an empty table gives an empty result.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    best = df.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("__row"))
+    best = df.groupBy(*keys).agg(F.min_by(row, F.struct(*order, _tie(df))).alias("__row"))
     return best.select(*[F.col("__row")[c].alias(c) for c in df.columns])
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The last row of each key by ``order``; ties as in ``first_wins``."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    best = df.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("__row"))
+    best = df.groupBy(*keys).agg(F.max_by(row, F.struct(*order, _tie(df))).alias("__row"))
     return best.select(*[F.col("__row")[c].alias(c) for c in df.columns])
 
 
@@ -50,6 +58,22 @@ def stop_after_run(df: DataFrame, keys: list[str], order: list[Column], bad: Col
     return reached.withColumn("__before", before).filter("__before = 0").drop("__bad", "__island", "__hit", "__before")
 
 
+def stop_at_repeat(df: DataFrame, keys: list[str], order: list[Column], value: Column) -> DataFrame:
+    """Each key's rows before the first whose value an earlier one had: a walk that has come back to where it was. Null values never repeat."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    seen = df.withColumn("__value", value)
+    again = F.row_number().over(Window.partitionBy(*keys, "__value").orderBy(*order)) > 1
+    marked = seen.withColumn("__again", (again & F.col("__value").isNotNull()).cast("int"))
+    return marked.withColumn("__ended", F.max("__again").over(w)).filter("__ended = 0").drop("__value", "__again", "__ended")
+
+
+def capped(df: DataFrame, keys: list[str], kind: str, order: list[Column], caps: dict[str, int]) -> DataFrame:
+    """The first rows of each kind under each key, as many as its cap; kinds without a cap are left out."""
+    place = F.row_number().over(Window.partitionBy(*keys, kind).orderBy(*order))
+    cap = F.try_element_at(F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]), F.col(kind))
+    return df.filter(F.col(kind).isin(*caps)).withColumn("__place", place).filter(F.col("__place") <= cap).drop("__place")
+
+
 def control_break(df: DataFrame, keys: list[str], order: list[Column], value: str, into: str = "is_break") -> DataFrame:
     """Marks rows whose value differs from the one before them: where a heading goes."""
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,31 @@ def descendants(links: DataFrame, nodes: DataFrame, path: str = "menu_path") ->
     """(node, id): the links at or below each of the nodes, by equality with one of a path's prefixes."""
     expanded = links.select("id", F.explode(F.array_distinct(prefixes(hierarchy(F.col(path))))).alias("node"))
     return nodes.select("node").distinct().join(expanded, "node")
+
+
+def rooted(nodes: DataFrame, root: str = "") -> DataFrame:
+    """A rollup with a root above the first level: levels from 2 on, the root's own row at 1 with the sum of all."""
+    below = nodes.select("node", F.coalesce("parent", F.lit(root)).alias("parent"), (F.col("depth") + 1).alias("level"), "own", "total")
+    top = nodes.filter(F.col("depth") == 1).agg(F.coalesce(F.sum("total"), F.lit(0)).cast("long").alias("total"))
+    return below.unionByName(top.select(F.lit(root).alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(1).alias("level"), F.lit(0).cast("long").alias("own"), "total"))
+
+
+def node_count(nodes: DataFrame) -> DataFrame:
+    """One row: the number of different nodes."""
+    return nodes.agg(F.count_distinct("node").alias("nodes"))
+
+
+def managed(links: DataFrame, managers: DataFrame, path: str = "menu_path") -> DataFrame:
+    """(node, managers): the links with a manager at each node or below; a link with several counts for each."""
+    both = links.select("id", path).join(managers.select(F.col("menu_id").alias("id")), "id")
+    nodes = both.groupBy(hierarchy(F.col(path)).alias("segments")).agg(F.count(F.lit(1)).alias("n")).select("n", F.explode(prefixes(F.col("segments"))).alias("node"))
+    return nodes.groupBy("node").agg(F.sum("n").alias("managers"))
+
+
+def in_display_order(nodes: DataFrame, first_seen: DataFrame) -> DataFrame:
+    """Nodes with their place among their parent's children: larger totals first, then whichever was seen first.
+
+    first_seen: node, seen. Window partitions are the children of one node.
+    """
+    w = Window.partitionBy("parent").orderBy(F.col("total").desc(), "seen")
+    return nodes.join(first_seen, "node").withColumn("place", F.row_number().over(w))

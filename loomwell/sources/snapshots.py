@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwell.operators.diff import hierarchy_items
+
 DOCUMENT = T.StructType(
     [
         T.StructField("docId", T.StringType()),
@@ -25,12 +28,55 @@ DOCUMENT = T.StructType(
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT) -> DataFrame:
     """A snapshot file (one JSON array, with or without a byte order mark): its documents, numbered in ``ord``.
 
-    A file whose top level is no array raises.
+    A hierarchy may be a list, an object of levels or a scalar: ``hierarchy`` is its
+    path, ``hierarchy_json`` the JSON itself. A file whose top level is no array raises.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", "^\\uFEFF", "").alias("json"))
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\uFEFF", "").alias("json"))
     checked = whole.withColumn("json", F.when(F.ltrim("json").startswith("["), F.col("json")).otherwise(F.raise_error(F.lit("the snapshot's top level is not an array"))))
-    parsed = checked.select(F.from_json("json", T.ArrayType(schema), {"mode": "FAILFAST"}).alias("docs"))
-    return parsed.select(F.posexplode("docs").alias("ord", "d")).select("ord", "d.*")
+    open_ = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "hierarchy" else f for f in schema.fields])
+    parsed = checked.select(F.from_json("json", T.ArrayType(open_), {"mode": "FAILFAST"}).alias("docs"))
+    rows = parsed.select(F.posexplode("docs").alias("ord", "d")).select("ord", "d.*")
+    if "hierarchy" not in rows.columns:
+        return rows
+    return rows.withColumn("hierarchy_json", F.col("hierarchy")).withColumn("hierarchy", hierarchy_items(F.col("hierarchy_json")))
+
+
+def read_upload(spark: SparkSession, path: str) -> DataFrame:
+    """An uploaded ``.json`` file's documents, each object with what it has; ``error`` says what is wrong with an item, null for a good one.
+
+    Items that aren't objects, or have no id, stay as rows with an error. Another
+    kind of file raises.
+    """
+    if not path.rstrip("/").lower().endswith(".json"):
+        raise ValueError("only .json files can be uploaded")
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\uFEFF", "").alias("json"))
+    listed = whole.select(F.posexplode(F.from_json("json", T.ArrayType(T.StringType()), {"mode": "FAILFAST"})).alias("ord", "item"))
+    row = F.from_json("item", T.StructType([T.StructField(f.name, T.StringType()) for f in DOCUMENT.fields]))
+    error = F.when(~F.coalesce(F.ltrim("item").startswith("{"), F.lit(False)), "the item is not an object").when(F.coalesce("d.docId", F.lit("")) == "", "the document has no docId")
+    return listed.select("ord", "item", row.alias("d")).select("ord", "d.*", error.alias("error"))
+
+
+def write_snapshot(docs: DataFrame, path: str, order: str = "ord") -> bool:
+    """One JSON array in one file, in order, non-ASCII characters as they are; nothing is written for no rows.
+
+    For snapshots that one task can hold, as their readers expect one file; larger
+    ones go to ``write_lines``.
+    """
+    if docs.isEmpty():
+        return False
+    fields = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != order])
+    lines = docs.coalesce(1).sortWithinPartitions(order).select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"))
+
+    def framed(batches):
+        before = "["
+        for b in batches:
+            for x in b["value"]:
+                yield pd.DataFrame({"value": [before + x]})
+                before = ","
+        yield pd.DataFrame({"value": ["]"]})
+
+    lines.mapInPandas(framed, "value string").write.text(path)
+    return True
 
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT) -> DataFrame:

@@ -122,3 +122,36 @@ def with_gap(events: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Seconds since the key's event before: where a heartbeat would have come."""
     w = Window.partitionBy(*keys).orderBy(at)
     return events.withColumn("gap_s", F.col(at).cast("long") - F.lag(F.col(at).cast("long")).over(w))
+
+
+def throttled_by_time(events: DataFrame, keys: list[str], at: str, seconds: float = 2.0) -> DataFrame:
+    """Of each key's events the first in every stretch of so many seconds since the key's own first, and the last."""
+    w = Window.partitionBy(*keys)
+    since = F.col(at).cast("double") - F.min(F.col(at).cast("double")).over(w)
+    stretch = events.withColumn("__stretch", F.floor(since / seconds)).withColumn("__last", F.max(at).over(w))
+    place = F.row_number().over(Window.partitionBy(*keys, "__stretch").orderBy(at))
+    return stretch.withColumn("__place", place).filter((F.col("__place") == 1) | (F.col(at) == F.col("__last"))).drop("__stretch", "__last", "__place")
+
+
+def heartbeats(events: DataFrame, keys: list[str], at: str, idle: int = 30) -> DataFrame:
+    """(keys, at): where a silent stream would have sent a heartbeat: every ``idle`` seconds of a gap between two events."""
+    w = Window.partitionBy(*keys).orderBy(at)
+    gaps = events.select(*keys, F.lag(at).over(w).alias("__from"), F.col(at).alias("__to")).filter(F.col("__to").cast("double") - F.col("__from").cast("double") > idle)
+    beats = F.sequence(F.col("__from") + F.expr(f"INTERVAL {idle} SECONDS"), F.col("__to") - F.expr("INTERVAL 1 MICROSECOND"), F.expr(f"INTERVAL {idle} SECONDS"))
+    return gaps.select(*keys, F.explode(beats).alias("at"))
+
+
+def recovered(tasks: DataFrame, results: DataFrame) -> DataFrame:
+    """Task rows (those of STATE) with the stored results of tasks whose end a client missed: only tasks that still run change.
+
+    results: task_id, status, success, failed, message. Applied again it changes
+    nothing, so a stream may call it for each batch it sees.
+    """
+    r = results.select("task_id", *[F.col(c).alias(f"__{c}") for c in ("status", "success", "failed", "message")])
+    joined = tasks.join(r, "task_id", "left")
+    ended = (F.col("status") == "running") & F.col("__status").isin("completed", "failed")
+    new = {
+        "status": F.col("__status"), "progress": F.when(F.col("__status") == "completed", F.lit(100).cast("long")).otherwise(F.col("progress")),
+        "success": F.coalesce("__success", "success"), "failed": F.coalesce("__failed", "failed"), "message": F.coalesce("__message", "message"),
+    }
+    return joined.select(*[F.when(ended, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in tasks.columns])
