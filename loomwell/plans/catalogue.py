@@ -1,11 +1,12 @@
 """All registered queries of the library and their DuckDB SQL.
 
-A query has the name that its SQL has, if SQL can express it.
+A query has the name that its SQL has, if SQL can express it. Those over texts, URLs
+and dates and those of sites and stores are in modules of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,24 +14,10 @@ from pyspark.sql import functions as F
 from loomwell.functions import dates, text, urls
 from loomwell.operators import build, chunks, diff, html, queue, registry, retrieval, sequence, tree
 from loomwell.plans import tables as t
+from loomwell.plans.registered import ORACLE_SQL, QUERIES, query
 from loomwell.plans.tables import LINKS, MANAGERS, MENU_PAGES, PROGRESS, QUEUE, SNAPSHOTS, table
 from loomwell.streaming import progress as p
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Snapshot comparison
 
 
@@ -46,7 +33,7 @@ SELECT *, CASE WHEN old_total > 0 THEN printf('%.1f%%', round(100.0 * removed /
   CASE WHEN old_total > 0 THEN printf('%.1f%%', round(100.0 * modified / old_total, 1)) ELSE 'N/A' END AS modified_share, CASE WHEN old_total > 0 THEN printf('%.1f%%', round(100.0 * unchanged / old_total, 1)) ELSE 'N/A' END AS unchanged_share,
   CASE WHEN new_total > 0 THEN printf('%.1f%%', round(100.0 * keyword_pages / new_total, 1)) ELSE 'N/A' END AS keyword_pages_share FROM c, k""")
 def snapshot_diff_summary(spark, d):
-    return diff.summary(_pairs(spark, d), t.new_snapshot(spark, d))
+    return diff.summarised(t.old_snapshot(spark, d), t.new_snapshot(spark, d))
 
 
 @query(f"WITH {SNAPSHOTS} SELECT object_key, field, type, md5(old_value) AS old_md5, md5(new_value) AS new_md5 FROM changes")
@@ -166,8 +153,7 @@ def queue_status_update(spark, d):
     return queue.update_status(q, results).select("id", "last_status", "handler_name", queue.timeout_seconds(F.col("handler_name")).alias("timeout"))
 
 
-@query(f"""WITH {QUEUE} SELECT priority, count(*) FILTER (last_status = 'success') AS success, count(*) FILTER (last_status = 'failed') AS failed, count(*) AS total,
-array_to_string(list_sort(list(id) FILTER (last_status = 'failed')), ', ') AS failed_ids FROM queue GROUP BY priority""")
+@query(f"""WITH {QUEUE} SELECT priority, count(*) FILTER (last_status = 'success') AS success, count(*) FILTER (last_status = 'failed') AS failed, count(*) AS total FROM queue GROUP BY priority""")
 def crawl_summary(spark, d):
     return queue.crawl_summary(t.queue(spark, d).withColumnRenamed("last_status", "status"), "priority")
 
@@ -463,15 +449,15 @@ def task_history(spark, d):
     return p.task_history(table(spark, d, "events").filter("event_type = 'error'").select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("completed_at")))
 
 
-@query("SELECT conv_id AS call_id, arg_min(role, turn) AS name, string_agg(substr(text, 1, 5), '' ORDER BY turn) AS arguments FROM conversations GROUP BY 1")
+@query("SELECT conv_id AS call_id, arg_min(role, turn) AS name, string_agg(text, '' ORDER BY turn) AS arguments FROM conversations GROUP BY 1")
 def tool_call_assembly(spark, d):
-    return p.assembled(table(spark, d, "conversations").select(F.col("conv_id").alias("call_id"), F.col("turn").alias("ord"), F.col("role").alias("name"), F.substring("text", 1, 5).alias("delta")))
+    return p.assembled(table(spark, d, "conversations").select(F.col("conv_id").alias("call_id"), F.col("turn").alias("ord"), F.col("role").alias("name"), F.col("text").alias("delta")))
 
 
-@query("SELECT conv_id, array_to_string(list('Q: ' || substr(text, 1, 20) ORDER BY turn), chr(10)) AS document, count(*) AS questions FROM conversations WHERE role = 'user' GROUP BY 1")
+@query("SELECT conv_id, array_to_string(list('Q: ' || text ORDER BY turn), chr(10)) AS document, count(*) AS questions FROM conversations WHERE role = 'user' GROUP BY 1")
 def faq_document(spark, d):
     q = table(spark, d, "conversations").filter("role = 'user'")
-    parts = F.sort_array(F.collect_list(F.struct("turn", F.concat(F.lit("Q: "), F.substring("text", 1, 20)).alias("q"))))
+    parts = F.sort_array(F.collect_list(F.struct("turn", F.concat(F.lit("Q: "), F.col("text")).alias("q"))))
     return q.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["q"]), "\n").alias("document"), F.count(F.lit(1)).alias("questions"))
 
 
@@ -485,3 +471,7 @@ def faq_document_whole(spark, d):
     q = table(spark, d, "conversations").filter("role = 'user'")
     parts = F.sort_array(F.collect_list(F.struct("turn", F.concat(F.lit("Q: "), F.col("text")).alias("q"))))
     return q.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["q"]), "\n").alias("document"), F.count(F.lit(1)).alias("questions"))
+
+
+# Those of the other modules register themselves
+from loomwell.plans import catalogue_sites, catalogue_texts  # noqa: E402, F401
