@@ -281,15 +281,15 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 150, l2: flo
 
 #: Names that site builders give to parts of a page, by role.
 BOILERPLATE_NAMES = {
-    "menu": "nav menu navbar navigation breadcrumb breadcrumbs topnav mainmenu submenu sitemap pager pagination toc skip",
-    "header": "header masthead topbar banner logo branding site-header page-header tagline",
-    "footer": "footer site-footer copyright legal colophon bottom credits imprint",
-    "sidebar": "sidebar side aside widget related recommended popular trending archive tags categories more-stories",
-    "notice": "cookie cookies consent notice alert gdpr popup modal overlay disclaimer warning toast announcement",
-    "advert": "ad ads advert advertisement adsense sponsor sponsored promo promotion commercial banner-ad",
-    "form": "newsletter subscribe signup login search register contact form feedback poll",
-    "comments": "comment comments comment-list respond reply discussion disqus thread user-comments responses",
-    "share": "share social follow sharing toolbar actions",
+    "menu": "nav menu navbar navigation breadcrumb breadcrumbs topnav mainmenu submenu sitemap pager pagination toc skip menue navegacion",
+    "header": "header masthead topbar banner logo branding site-header page-header tagline kopfzeile entete cabecera",
+    "footer": "footer site-footer copyright legal colophon bottom credits imprint fusszeile impressum pied-de-page mentions-legales pie-de-pagina",
+    "sidebar": "sidebar side aside widget related recommended popular trending archive tags categories more-stories seitenleiste barre-laterale barra-lateral",
+    "notice": "cookie cookies consent notice alert gdpr popup modal overlay disclaimer warning toast announcement hinweis bandeau aviso",
+    "advert": "ad ads advert advertisement adsense sponsor sponsored promo promotion commercial banner-ad anzeige werbung publicite publicidad anuncio",
+    "form": "newsletter subscribe signup login search register contact form feedback poll formular anmeldung suche formulaire recherche formulario buscar",
+    "comments": "comment comments comment-list respond reply discussion disqus thread user-comments responses kommentar kommentare commentaire commentaires comentario comentarios",
+    "share": "share social follow sharing toolbar actions teilen partager compartir",
 }
 BOILERPLATE_TAGS = {"menu": ("nav", "div", "ul"), "header": ("header", "div"), "footer": ("footer", "div"), "sidebar": ("aside", "div", "section"), "notice": ("div", "section", "dialog"), "advert": ("div", "aside", "section"), "form": ("form", "div"), "comments": ("section", "div", "ol"), "share": ("div", "ul")}
 CONTENT_NAMES = "content article post entry story main body text page-content article-body post-content entry-content story-body main-content"
@@ -319,6 +319,12 @@ class _Writer:
 
     def boilerplate(self, role: str) -> None:
         r, tag = self.r, self.r.choice(BOILERPLATE_TAGS[role])
+        if role == "menu" and r.random() < 0.1:  # a layout of tables
+            self.parts.append("<table><tr>")
+            for _ in range(r.randint(1, 6)):
+                self.block("td", f'<a href="/x">{self.words(1, 3)}</a>', 0)
+            self.parts.append("</tr></table>")
+            return
         own = tag in ("nav", "header", "footer", "aside", "form", "dialog")  # such a tag says enough without a name
         self.parts.append(f"<{tag}{'' if own and r.random() < 0.6 else ' class=%r' % r.choice(BOILERPLATE_NAMES[role].split())}>".replace("'", '"'))
         if role in ("menu", "share") or role in ("sidebar", "footer", "header") and r.random() < 0.5:
@@ -404,7 +410,7 @@ def labelled_pages(count: int, seed: int = 0) -> list[tuple[str, list[int]]]:
 
 
 @functools.cache
-def default_chain(count: int = 600, seed: int = 0) -> Chain:
+def default_chain(count: int = 900, seed: int = 0) -> Chain:
     """The chain trained on so many generated pages, on the driver: a second or two, whatever the corpus."""
     pages = [(leaf_blocks(h), labels) for h, labels in labelled_pages(count, seed)]
     return train([(b, y) for b, y in pages if len(b) == len(y)])
