@@ -171,7 +171,9 @@ def stars(distinct: DataFrame, errors: int = 3, heavy: int = 2048) -> DataFrame:
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, depth) - 1")), lambda q: F.bit_count(q.bitwiseXOR(F.col("own"))) <= errors)
     rows = rows.withColumn("own", F.when(F.col("depth") > 0, own).otherwise(F.lit(0).cast("long"))).withColumn("q", F.explode(others))
     rows = rows.select("job", "depth", F.least("own", "q").alias("a"), F.greatest("own", "q").alias("b"), "turned", "fp")
-    return rows.repartition("job", "a", "b").mapInPandas(lambda it: _walk(it, width, errors), "u long, v long")
+    # a task holds its tries in memory: about half a million of a small table's rows, whatever the table's size
+    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() * blocks // 500_000))
+    return rows.repartition(tasks, "job", "a", "b").mapInPandas(lambda it: _walk(it, width, errors), "u long, v long")
 
 
 def components(links: DataFrame, name: str = "labels") -> DataFrame:
@@ -207,12 +209,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", er
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", errors: int = 3, size: int = 3) -> DataFrame:
     """One row of each component of ``docs``, with its own columns: the one whose id names the component.
 
-    Of rows that repeat both id and fingerprint one stays. A component whose ids
-    are all null keeps the row with its smallest fingerprint.
+    Of rows that repeat both id and fingerprint that with the smallest hash of its
+    columns stays. A component whose ids are all null keeps the row with its smallest
+    fingerprint.
     """
     found = near_duplicates(docs, key, text, errors, size)
     chosen = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min("component_id").alias("__id"), F.min("fp").alias("__fp"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(key).alias("__id"), simhash(F.col(text), size).alias("__fp"))
     kept = keyed.join(chosen.withColumnsRenamed({"__id": "__c", "__fp": "__f"}), F.col("__id").eqNullSafe(F.col("__c")) & (F.col("__fp") == F.col("__f")), "left_semi")
-    one = kept.groupBy("__id", "__fp").agg(F.first("__row").alias("__row"))
+    one = kept.groupBy("__id", "__fp").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
     return one.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
