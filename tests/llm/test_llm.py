@@ -139,6 +139,12 @@ def test_html_head_without_end():
     assert [b.text for b in html_crf.leaf_blocks("<head><template><p>x</p></template><noscript><p>x</p><img src=x></noscript><title>no</title></head><p>two")] == ["two"]
 
 
+def test_html_of_other_languages_and_tables():
+    body = "<article><h1>Titel</h1><p>Ein langer Absatz mit vielen Worten und einem Ende.</p><p>Noch einer, der ebenso lang ist wie jener davor.</p></article>"
+    page = f'<body><table><tr><td><a href=/>Home</a></td><td><a href=/b>Produkte</a></td></tr></table>{body}<div class="kommentare"><h3>Kommentare</h3><p>Das gefaellt mir sehr.</p></div><div class="impressum"><p>Firma und Sitz.</p></div></body>'
+    assert html_crf.main_text(page, html_crf.default_chain()) == "Titel\n\nEin langer Absatz mit vielen Worten und einem Ende.\n\nNoch einer, der ebenso lang ist wie jener davor."
+
+
 def test_html_of_the_tables(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in queries.op2_html_extraction(spark, SF).join(pages.select("page_id", "html"), "page_id").collect():
@@ -212,6 +218,23 @@ def test_mixing_documents(spark, docs):
     assert np.mean(by["clean"]) > 3 * np.mean(by["low"] + by["toxic"])
 
 
+def test_rates_of_the_query_by_brute_force(spark):
+    """op3's rates on the whole table: the plain optimum from its own probabilities, many small steps."""
+    rows = queries.op3_mixing(spark, SF).collect()
+    t, p, got = np.array([r.n_tokens for r in rows], float), np.array([[r.p_clean, r.p_low, r.p_toxic] for r in rows]), np.array([r.rate for r in rows])
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(rows) == len(texts) and all(r.n_tokens == len(WORD.findall(texts[r.doc_id] or "")) for r in rows)
+    share = t @ p / t.sum()
+    target = np.array([mixing.TARGETS[d] for d in ("clean", "low", "toxic")])
+    goal = target * share[0] / target[0]
+    x = np.ones(len(t))
+    for _ in range(60000):
+        x = np.maximum(0, x - 0.9 * (p @ (((x * t) @ p / t.sum() - goal) / share) + 1e-3 * (x - 1)))
+    reached = lambda y: (y * t) @ p / t.sum()
+    assert got.min() >= 0 and np.abs(reached(got) - reached(x)).max() < 1e-3 * goal.min()
+    assert np.abs(reached(got) - goal).max() < 0.05 * goal[0]
+
+
 def test_mixing_edges(spark, edge):
     one = spark.createDataFrame([(4, "clean"), (5, "clean"), (None, "low"), (6, None), (7, "low"), (7, "clean")], "doc_id long, domain string")
     for labelled in (one, one.limit(0)):
@@ -543,6 +566,27 @@ def test_wrapped_licences(spark):
     assert [got[i].unmatched for i in range(4)] == ["", ";RESERVED;", "", ""]
 
 
+def test_wrapped_licences_by_sql(spark, tmp_path):
+    texts = [MIT_NOTICE, BSD_NOTICE, GPL_NOTICE, MPL_NOTICE, APACHE_NOTICE, None, "", "SPDX-License-Identifier: LGPL-2.1-or-later\nAll rights reserved. Released under the MIT License"]
+    docs_of(spark, texts).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = license_rules.license_scan(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    same(got, queries.ORACLE_SQL["op10_license_scan"], str(tmp_path))
+    assert [by_id(got)[i].licenses for i in (4, 7)] == ["Apache-2.0", "LGPL-2.1-or-later,MIT"]
+
+
+APACHE_NOTICE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License."""
+
+
 # 9
 
 
