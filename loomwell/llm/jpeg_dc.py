@@ -13,7 +13,8 @@ as the coefficient), entropy-coded by the standard's method with quantiser 1 and
 one block for each restart interval; a comment segment tells the byte count.
 
 Defined cases: a null text is empty, and its payload is 64 zero bytes; texts of
-any length are stored whole, in rows of at most 1024 blocks; bytes that aren't a
+any length are stored whole, in rows of 1024 blocks, or more where the image would be
+too high for its format (texts over 537 MB); bytes that aren't a
 readable baseline JPEG give null dimensions and an ``error``; repeated rows give
 equal values; an empty table gives an empty result; other columns are never read.
 """
@@ -33,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK, ROW = 64, 1024
+#: Rows of blocks that an image can have.
+HIGHEST = 65535 // 8
 
 # Huffman codes of stored payloads, as symbols in order of rising code length.
 # A symbol is 16 times the run of zero coefficients before the value plus the value's bits;
@@ -375,10 +378,15 @@ def _entropy(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return stuffed, np.append(begin + before[begin], len(stuffed))
 
 
+def blocks_wide(n: int) -> int:
+    """Blocks in a row of an image of n blocks."""
+    return max(min(n, ROW), -(-n // HIGHEST))
+
+
 def store(payloads: list[bytes]) -> list[bytes]:
     """A JPEG for each payload, a positive multiple of 64 bytes long."""
     counts = [len(p) // BLOCK for p in payloads]
-    padded = [-(-n // min(n, ROW)) * min(n, ROW) for n in counts]
+    padded = [-(-n // blocks_wide(n)) * blocks_wide(n) for n in counts]
     joined = b"".join(p + bytes(BLOCK * (m - n)) for p, n, m in zip(payloads, counts, padded, strict=True))
     data, begin = _entropy(np.frombuffer(joined, np.uint8).reshape(-1, BLOCK))
     dc, ac = _codes()[:2]
@@ -392,7 +400,7 @@ def store(payloads: list[bytes]) -> list[bytes]:
         scan[index] = data[lo[0] : lo[-1]]
         marks = lo[1:-1] - lo[0] + 2 * np.arange(m - 1)
         scan[marks], scan[marks + 1] = 0xFF, 0xD0 + np.arange(m - 1) % 8
-        wide = min(n, ROW)
+        wide = blocks_wide(n)
         comment = b"bytes=%d" % (n * BLOCK)
         frame = struct.pack(">HBHHBBBB", 11, 8, 8 * (m // wide), 8 * wide, 1, 1, 0x11, 0)
         out.append(b"\xff\xd8\xff\xfe" + struct.pack(">H", 2 + len(comment)) + comment + b"\xff\xc0" + frame + tables + scan.tobytes() + b"\xff\xd9")

@@ -657,6 +657,12 @@ def test_jpeg_segments_behind_a_scan():
         assert found[0].astype(np.uint8).tobytes()[: len(payload)] == payload
 
 
+def test_jpeg_of_long_texts():
+    for n in (1, 1024, 1025, 1024 * 8191, 1024 * 8191 + 1, 2**31 // 64):
+        wide = jpeg_dc.blocks_wide(n)
+        assert 8 * wide <= 65535 and 8 * -(-n // wide) <= 65535 and (wide == min(n, 1024) or n > 1024 * 8191)
+
+
 def test_jpeg_rows(edge):
     out = jpeg_dc.text_media(edge)
     assert out.count() == len(EDGE) + 1 and jpeg_dc.text_media(edge.limit(0)).count() == 0
