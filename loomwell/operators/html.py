@@ -193,14 +193,18 @@ def _blocks(markdown: str | None) -> list[dict]:
     return out
 
 
-def markdown_blocks(df: DataFrame, key: str, markdown: str) -> DataFrame:
-    """key, i and the typed block for each block of a Markdown column."""
+def _plain_block(text: str | None) -> list[dict]:
+    return [{"id": 1, "type": "text", "title": "", "data": text.strip(), "headers": None, "rows": None}] if text and text.strip() else []
+
+
+def markdown_blocks(df: DataFrame, key: str, markdown: str, fallback: str | None = None) -> DataFrame:
+    """key, i and the typed block for each block of a Markdown column; where it has none, the ``fallback`` column's text as one block."""
 
     def work(batches):
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "blocks": [_blocks(x) for x in b["markdown"]]})
+            yield pd.DataFrame({"key": b["key"], "blocks": [_blocks(x) or _plain_block(y) for x, y in zip(b["markdown"], b["fallback"], strict=True)]})
 
-    rows = df.select(F.col(key).alias("key"), F.col(markdown).alias("markdown"))
+    rows = df.select(F.col(key).alias("key"), F.col(markdown).alias("markdown"), (F.col(fallback) if fallback else F.lit(None).cast("string")).alias("fallback"))
     out = rows.mapInPandas(work, f"key {rows.schema['key'].dataType.simpleString()}, blocks {BLOCKS}")
     return out.select(F.col("key").alias(key), F.posexplode("blocks").alias("i", "block"))
 
