@@ -1,4 +1,8 @@
-"""What batches came to: successes and failures of two stores, rates, pages."""
+"""What batches came to: successes and failures of two stores, rates, pages.
+
+Defined cases: an id that failed often counts once; null counts and times give 0; empty
+tables give counts of 0, or no groups.
+"""
 
 from __future__ import annotations
 

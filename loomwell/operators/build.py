@@ -1,4 +1,9 @@
-"""From crawled pages to snapshot documents: routing, cleaning, building."""
+"""From crawled pages to snapshot documents: routing, cleaning, building.
+
+Defined cases: null texts, titles and URLs are empty; a result with fewer menus than data
+has null ones; details are unique by their key; repeated rows stay; empty tables give empty
+results; a page's own columns other than those named are not carried on.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Chunking: paragraphs packed to a token target, sentences and words where one is too large."""
+"""Chunking: paragraphs packed to a token target, sentences and words where one is too large.
+
+Defined cases: a null, empty or blank text has no chunk and gives no row; texts of any
+length are chunked whole; a word larger than a chunk is one; repeated rows give repeated
+chunks; an empty table gives an empty result; columns other than key and text are dropped.
+"""
 
 from __future__ import annotations
 

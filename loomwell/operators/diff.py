@@ -1,4 +1,10 @@
-"""Snapshot comparison: what was added, removed and changed between two snapshots."""
+"""Snapshot comparison: what was added, removed and changed between two snapshots.
+
+Defined cases: a null or missing url or hierarchy is empty; a null field differs from an
+empty one; of rows that repeat a key the one with the largest ``ord`` counts; empty
+snapshots have no keys, and shares of nothing are N/A; whole texts are compared; columns
+other than those named are never looked at.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""HTML and Markdown structuring: one helper call a page in Arrow batches, results as nested columns."""
+"""HTML and Markdown structuring: one helper call a page in Arrow batches, results as nested columns.
+
+Defined cases: a null or empty page has empty texts and lists; unclosed tags are read as
+far as they go, to any depth; a malformed link stays as it stands; repeated pages give equal
+rows; an empty table gives an empty result; columns other than key, url and html are dropped.
+"""
 
 from __future__ import annotations
 

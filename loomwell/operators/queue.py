@@ -1,4 +1,10 @@
-"""The crawl queue: what to crawl, how it went."""
+"""The crawl queue: what to crawl, how it went.
+
+Defined cases: a null status is pending, a null ``is_active`` is not active; a result for
+an id that isn't in the queue is left out, and ids are unique on both sides; an empty
+queue has no rows, and counts of 0. Names of this module's own columns begin with two
+underscores; other columns ride along.
+"""
 
 from __future__ import annotations
 

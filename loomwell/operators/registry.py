@@ -1,4 +1,9 @@
-"""The menu registry: links, their managers, search, paging, changes."""
+"""The menu registry: links, their managers, search, paging, changes.
+
+Defined cases: a null column never holds a searched term; null ids match nothing; links
+with one URL are told by their id; repeated managers are a violation, not an error; empty
+tables give empty results. Names of this module's own columns begin with two underscores.
+"""
 
 from __future__ import annotations
 

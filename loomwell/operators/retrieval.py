@@ -1,4 +1,9 @@
-"""Retrieval: vector search, BM25, fusion, context."""
+"""Retrieval: vector search, BM25, fusion, context.
+
+Windows without a key run over lists of k hits alone, which ``best`` bounds. Defined cases:
+null vectors, and those of another dimension, are no hits; null texts have no words; equal
+scores are ordered by key; an id in both lists is one hit; empty lists give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,11 @@
-"""First and last of a key, take-while, runs, control breaks: loops over ordered rows as windows."""
+"""First and last of a key, take-while, runs, control breaks: loops over ordered rows as windows.
+
+Defined cases: null keys are a key like any other; of rows with equal order, first and last
+are told by a hash of all columns, while windows take them in any order, so their order has
+to tell rows apart; empty tables give empty results. Names of this module's own columns begin
+with two underscores; all others ride along. Windows run inside one key, which is one
+conversation, list or task.
+"""
 
 from __future__ import annotations
 

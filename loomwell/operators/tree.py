@@ -1,4 +1,9 @@
-"""Menu trees: paths parted by ^, counted at each node without recursion."""
+"""Menu trees: paths parted by ^, counted at each node without recursion.
+
+Defined cases: a null, empty or blank path has no node; blank segments are dropped unless
+told otherwise; rows with equal paths each count; an empty table has no nodes (a rooted
+tree its root); columns other than those named are never looked at.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Snapshots: JSON arrays of documents, read and written; HTML file sources; uploads."""
+"""Snapshots: JSON arrays of documents, read and written; HTML file sources; uploads.
+
+Defined cases: absent fields are null; a file without documents has no rows; what isn't an
+array raises; items of an upload that can't be used stay as rows with their error.
+"""
 
 from __future__ import annotations
 

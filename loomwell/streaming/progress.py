@@ -1,4 +1,9 @@
-"""Progress events of tasks: a batch reducer, and the same as a stateful stream."""
+"""Progress events of tasks: a batch reducer, and the same as a stateful stream.
+
+Defined cases: null counts keep the value before; events of a task are told apart by ``ord``;
+a task without events has no row; events without a task are the null task's; unknown types
+count as events and change nothing else.
+"""
 
 from __future__ import annotations
 

@@ -188,3 +188,12 @@ def test_stream_helpers(spark):
     stored = spark.createDataFrame([("t", "completed", 7, None, None), ("d", "completed", 7, None, None)], "task_id string, status string, success long, failed long, message string")
     once = progress.recovered(tasks, stored)
     assert sorted(map(tuple, progress.recovered(once, stored).collect())) == sorted(map(tuple, once.collect())) == [("d", "failed", 5, 0, 0, None, "m", 1), ("t", "completed", 100, 7, 0, None, "m", 1)]
+
+
+def test_markdown_files_and_plain_blocks(spark, tmp_path):
+    pages = spark.createDataFrame([("A b", "u", "now", "body"), (None, "http://x/y", "now", "b"), ("c", "u", "now", " ")], "title string, url string, at string, body string")
+    build.write_markdown(pages, str(tmp_path / "md"))
+    assert sorted(p.name for p in (tmp_path / "md").iterdir() if p.is_dir()) == ["stem=A_b", "stem=x_y"]
+    rows = spark.createDataFrame([(1, "# h\n\nx", "h x"), (2, "", "only text"), (3, None, None)], "page_id int, markdown string, text string")
+    got = html.markdown_blocks(rows, "page_id", "markdown", "text").select("page_id", "block.type", "block.title", "block.data").collect()
+    assert sorted(map(tuple, got)) == [(1, "text", "h", "x"), (2, "text", "", "only text")]
