@@ -381,6 +381,35 @@ def html_tables(spark, d):
     return html.structured(pages).join(pages.select("page_id", html.table_widths(F.col("html")).alias("widths")), "page_id").select("page_id", "widths", "markdown")
 
 
+@query("""SELECT page_id, 'T' || page_id AS title, 'OG' AS meta_title, 'A > B' AS crumbs, '1:T' || page_id || ',2:b,2:d,3:c' AS headings, 'one http://h/x?pageId=' || page_id || ',two http://h/y' AS links, 'abc http://h/i.png,abcd http://h/j.png' AS images, 'ab,abc,abcd' AS short_alts,
+'0  one ' || page_id || ',1 0 two ,2  three ' AS nodes, 'Menu' AS resolved FROM pages""")
+def html_pieces(spark, d):
+    page = F.concat(
+        F.lit('<title>t</title><meta property="og:title" content="OG"><header><img alt="header" src="/h.png"></header><h1 id="title-text">T'), "page_id",
+        F.lit('</h1><ol id="breadcrumbs"><li>A<li>B</ol><div class="ia-secondary-content"><ul><li><a href="/x?pageId='), "page_id",
+        F.lit('">one</a><ul><li><a href="/y">two</a></ul><li>three</ul></div><div id="main-content"><h3>c</h3><h2>b</h2><h2>d</h2><a href="/y">again</a><a href="#z">frag</a><a href="mailto:x">mail</a><a href="/w">w</a><img alt="abc" src="i.png"><img alt="ab" src="/k.png"><img alt=" abcd " src="/j.png"></div>'),
+    )
+    pages = table(spark, d, "pages").select("page_id", F.lit("http://h/p").alias("url"), page.alias("html"))
+    s, loose = html.structured(pages), html.structured(pages, least_alt=2).select("page_id", F.array_join(F.array_sort("images.alt"), ",").alias("short_alts"))
+    text_of = lambda c, f: F.array_join(F.transform(c, f), ",")
+    node = lambda n: F.concat(n["node_id"], F.lit(" "), F.coalesce(n["parent_id"].cast("string"), F.lit("")), F.lit(" "), n["text"], F.lit(" "), F.coalesce(n["page_id"], F.lit("")))
+    return s.join(loose, "page_id").select(
+        "page_id", "title", "meta_title", F.array_join("breadcrumbs", " > ").alias("crumbs"), text_of("headings", lambda h: F.concat(h["level"], F.lit(":"), h["text"])).alias("headings"),
+        text_of("links", lambda x: F.concat(x["text"], F.lit(" "), x["href"])).alias("links"), text_of("images", lambda x: F.concat(x["alt"], F.lit(" "), x["src"])).alias("images"), "short_alts",
+        text_of("nodes", node).alias("nodes"), html.title_resolved(F.lit("Home^Menu"), F.col("meta_title"), F.col("title")).alias("resolved"),
+    )
+
+
+@query("""SELECT doc_id, CAST(i AS INTEGER) AS i, CASE i WHEN 2 THEN 'table' ELSE 'text' END AS type, CASE WHEN i = 0 THEN '' ELSE lang END AS title, CASE i WHEN 0 THEN md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10))) WHEN 1 THEN md5(source) END AS data_md5, CASE WHEN i = 2 THEN 'a=1,컬럼2=' || doc_id END AS cells
+FROM documents, range(3) r(i) WHERE NOT regexp_matches(text, '(?m)^#{1,6}\\s|^\\s*\\|')""")
+def typed_blocks(spark, d):
+    docs = table(spark, d, "documents").filter(~F.col("text").rlike(r"(?md)^#{1,6}\s|^\s*\|"))
+    md = F.concat("text", F.lit("\n\n## "), "lang", F.lit("\n"), "source", F.lit("\n\n| a |  |\n|---|---|\n| 1 | "), "doc_id", F.lit(" |"))
+    out = html.markdown_blocks(docs.select("doc_id", md.alias("markdown")), "doc_id", "markdown")
+    cells = F.transform(F.array_sort(F.map_entries(F.col("block.rows")[0]["data"])), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.select("doc_id", "i", "block.type", "block.title", F.md5("block.data").alias("data_md5"), F.when(F.col("block.type") == "table", F.array_join(cells, ",")).alias("cells"))
+
+
 _SENTENCES = r"list_filter(list_transform(string_split(text, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 
 
