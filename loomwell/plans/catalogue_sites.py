@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwell.operators import accounting, build, chunks, diff, html, queue, registry, retrieval, sequence, sites, store, tree
+from loomwell.plans import catalogue as catalogue  # some SQL here builds on its own
 from loomwell.plans import tables as t
 from loomwell.plans.registered import ORACLE_SQL, query
 from loomwell.plans.tables import LINKS, MANAGERS, MENU_PAGES, QUEUE, SNAPSHOTS, table
@@ -343,7 +344,7 @@ def markdown_files(spark, d):
 
 # What follows is counted and read by patterns in the given pages, whose markup is regular.
 _ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
-_BLOCKS = rf"list_filter(list_transform(regexp_split_to_array({_ARTICLE}, '</?(?:p|h1)>'), lambda x: regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '[\s\p{{Z}}]+', ' ', 'g'), '^\s|\s$', '', 'g')), lambda x: x <> '')"
+_BLOCKS = rf"list_filter(list_transform(regexp_split_to_array({_ARTICLE}, '</?(?:p|h1)>'), lambda x: regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '[\s\p{{Z}}]+', ' ', 'g'), '^\s|\s$', '', 'g')), lambda x: x <> '')"
 
 
 @query(rf"""SELECT page_id, regexp_replace(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g'), '^\s|\s$', '', 'g') AS meta_title, len(regexp_extract_all(html, '<li><a href=')) AS items, 'h1' AS heading, {_BLOCKS}[1] AS heading_text, md5(array_to_string({_BLOCKS}, ' ')) AS words_md5,

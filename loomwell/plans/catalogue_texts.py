@@ -65,7 +65,7 @@ def metadata_diff(spark, d):
     return diff.metadata_changes(_metadata(spark, d), None).select("object_key", "field", "type", "old_size", "new_size")
 
 
-@query(f"WITH {_META} SELECT doc_id AS object_key, 'metadata.페이지 내용' AS field, md5('\"' || replace(text, chr(10), '\\n') || ' plus\"') AS new_md5 FROM meta JOIN documents USING (doc_id) WHERE longer")
+@query(f"WITH {_META} SELECT doc_id AS object_key, 'metadata.페이지 내용' AS field, md5(CAST(to_json(text || ' plus') AS VARCHAR)) AS new_md5 FROM meta JOIN documents USING (doc_id) WHERE longer")
 def metadata_diff_page_text(spark, d):
     return diff.metadata_changes(_metadata(spark, d)).select("object_key", "field", F.md5("new_value").alias("new_md5"))
 
@@ -111,7 +111,7 @@ def text_shapes(spark, d):
 
 @query(r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\s*\S+') AS words, length(text) AS n FROM documents)
 SELECT doc_id, md5(CASE WHEN len(words) > 100 THEN array_to_string(words[1:100], '') ELSE text END) AS cut, n > 2000 AS large,
-md5(CASE WHEN n > 2000 THEN '{"success":true,"message":"결과가 너무 커서 요약됨 (원본 크기: ' || format('{:,}', n) || ' 문자)","truncated":true,"sample":"' || replace(substr(text, 1, 1000), chr(10), '\n') || '..."}' ELSE text END) AS guarded FROM w""")
+md5(CASE WHEN n > 2000 THEN '{"success":true,"message":"결과가 너무 커서 요약됨 (원본 크기: ' || format('{:,}', n) || ' 문자)","truncated":true,"sample":' || CAST(to_json(substr(text, 1, 1000) || '...') AS VARCHAR) || '}' ELSE text END) AS guarded FROM w""")
 def text_limits(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", F.md5(text.truncated(t, 130)).alias("cut"), (F.length(t) > 2000).alias("large"), F.md5(text.guarded_result(t, 2000)).alias("guarded"))
