@@ -247,7 +247,9 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
                         rows, size = [], 0
                 yield pd.DataFrame({"record": pd.Series(rows, dtype=object)})
 
-    whole = files.join(listed, "path", "left").select("path", "content", "revisits")
+    # a task for each file, however many there are
+    tasks = max(1, facts.agg(F.count_distinct("path")).first()[0])
+    whole = files.repartition(tasks, "path").join(listed, "path", "left").select("path", "content", "revisits")
     _write(whole.mapInPandas(work, "record binary"), warc_path, "\r\n\r\n", per_file)
 
 
