@@ -208,7 +208,7 @@ MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`"}
 
 
 def inline(node: Node) -> str:
-    """An element's text with its links, images, emphasis and code as Markdown."""
+    """An element's text with its links, emphasis and code as Markdown; images are columns of their own."""
     frames: list[tuple[Node, list, list[str]]] = [(node, list(reversed(node.children)), [])]
     while True:
         n, todo, parts = frames[-1]
@@ -218,9 +218,6 @@ def inline(node: Node) -> str:
                 parts.append(c)
             elif c.tag == "br":
                 parts.append(" ")
-            elif c.tag == "img":
-                if c.attrs.get("alt", "").strip():
-                    parts.append(f"![{c.attrs['alt'].strip()}]({c.attrs.get('src', '')})")
             elif c.tag not in ("script", "style"):
                 frames.append((c, list(reversed(c.children)), []))
                 break
