@@ -19,7 +19,7 @@ path, the least path wins).
 
 Where no piece of several characters can lie across two neighbouring characters,
 all paths meet, and the text is cut there: the path is the sum of the parts'
-paths. Parts are kept with their paths in a memory of about 50 MB in each Python worker.
+paths. Parts are kept with their paths in a memory of at most about 250 MB in each Python worker.
 
 Defined cases: a null or empty text has no pieces and decodes to the empty text;
 texts of any length are encoded whole; U+2581 in a text stands for a space, as
@@ -112,7 +112,7 @@ class Normaliser:
 class Transducer:
     """A compiled model. ``remember`` bounds the bytes of parts that are kept with their paths."""
 
-    def __init__(self, model: bytes, remember: int = 25_000_000):
+    def __init__(self, model: bytes, remember: int = 100_000_000):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -212,7 +212,7 @@ class Transducer:
             return -self.score[piece] if piece < len(self.score) else self.unknown_weight
         parts = [self.label(i) for i in (before, piece) if i >= 0]
         w = 0.0 if self._merged("".join(parts)) == parts else INFINITE
-        if len(self.pairs) >= 200_000:
+        if len(self.pairs) >= 600_000:
             self.pairs.clear()
         self.pairs[before << 32 | piece] = w
         return w
