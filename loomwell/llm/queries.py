@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.llm import arc_warc, html_crf, jpeg_dc, license_rules, mixing, quality_rules, reshard, simhash, sp_wfst, url_rules
+from loomwell.llm import alignment, arc_warc, html_crf, importance, jpeg_dc, license_rules, mixing, packing, quality_rules, reshard, simhash, sp_wfst, url_rules
 from loomwell.llm.common import table
 
 # The rules of the URL query.
@@ -65,6 +65,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked(table(spark, sf_dir, "documents")).documents.withColumnRenamed("digest", "groups_sha256")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extraction": op2_html_extraction,
@@ -76,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_jpeg_media": op9_jpeg_media,
     "op10_license_scan": op10_license_scan,
+    "op11_alignment": op11_alignment,
+    "op12_packing": op12_packing,
+    "op13_importance": op13_importance,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -99,4 +115,5 @@ hits AS (SELECT rn, arg_max(h || p, length(h || p) * 100000 + length(p)) AS rule
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM urls LEFT JOIN hits USING (rn)
 """,
     "op10_license_scan": license_rules.oracle_sql(),
+    "op13_importance": importance.oracle_sql(),
 }
