@@ -20,9 +20,11 @@ records.
 
 Defined cases: a null payload is empty, a null URL is ``urn:none``; spaces and
 controls in a URL are percent-encoded in the archives; a record without an id
-has a null one, and is the response of its payload only if no record has an id
-(then each is a response); rows that repeat an id and payload are one response
-and its revisits of the same id; a declared length that runs past the file, or a
+has a null one, revisits the response of its payload like any other, and is a
+response itself only if no record of that payload has an id; an id header that
+isn't a number is no id; rows that repeat an id and payload are one response
+and its revisits of the same id; an HTTP header may end in bare line feeds, and
+its own ``Content-Length`` is never relied on for records of this converter; a declared length that runs past the file, or a
 malformed line, raises ``ValueError``; an empty file has no records; an empty
 table gives empty archives; other columns of the table are never looked at. The
 ``payload`` read back is text, with U+FFFD for bytes that aren't UTF-8; ``content``
@@ -34,6 +36,8 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -109,24 +113,27 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("path", "content")
 
 
-def _plain(content: bytes) -> bytes:
-    content = bytes(content)
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+def _opened(content: bytes) -> io.BufferedReader:
+    """A file's plain bytes, unzipped as they are read: a task holds the file as it is stored, and one record."""
+    raw = io.BytesIO(bytes(content))
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw) if raw.getvalue()[:2] == b"\x1f\x8b" else raw, 1 << 16)
 
 
-def parse_arc(data: bytes, infos: bool = False) -> Iterator[dict]:
+def parse_arc(file: bytes | io.BufferedReader, infos: bool = False) -> Iterator[dict]:
     """The records of one ARC file, by its own version's header lines and the lengths they declare.
 
     infos: version blocks too.
     """
+    file = _opened(file) if isinstance(file, bytes) else file
     at, names = 0, None
-    while at < len(data):
-        end = data.find(b"\n", at)
-        if end < 0:
+    while line := file.readline():
+        if not line.endswith(b"\n"):
             raise ValueError("an ARC header line has no end")
-        values = data[at:end].decode("utf-8", "replace").split(" ")
+        values = line[:-1].decode("utf-8", "replace").split(" ")
+        if not values[-1].isdecimal():
+            raise ValueError("an ARC header line has no length")
         length = int(values[-1])
-        body = data[end + 1 : end + 1 + length]
+        body = file.read(length)
         if len(body) != length:
             raise ValueError("an ARC record is cut off")
         if values[0].startswith("filedesc:"):
@@ -140,16 +147,24 @@ def parse_arc(data: bytes, infos: bool = False) -> Iterator[dict]:
             raise ValueError(f"an ARC header line has {len(values)} fields, not {len(names)}")
         if infos or not values[0].startswith("filedesc:"):
             yield dict(zip(ARC_FIELDS[1].split(" ")[:4], values, strict=False)) | {"offset": at, "block": body}
-        at = end + 1 + length
-        if data[at : at + 1] == b"\n":
-            at += 1
+        at += len(line) + length
+        if file.peek(1)[:1] == b"\n":
+            at += len(file.read(1))
+
+
+_HEADER_END = re.compile(rb"\r?\n\r?\n")
 
 
 def _http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
     """Header fields, the header with its blank line, and the payload of an HTTP response."""
-    head, gap, payload = block.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
-    return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, head + gap, payload
+    found = _HEADER_END.search(block)
+    head, payload = (block[: found.end()], block[found.end() :]) if found else (block, b"")
+    lines = head.decode("utf-8", "replace").splitlines()[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, head, payload
+
+
+def _number(x: str | None) -> int | None:
+    return int(x) if x and len(x) < 19 and re.fullmatch("-?[0-9]+", x) else None
 
 
 @dataclass(frozen=True)
@@ -168,9 +183,9 @@ class Record:
     digest: str
 
 
-def records(name: str, data: bytes) -> Iterator[Record]:
+def records(name: str, file: bytes | io.BufferedReader) -> Iterator[Record]:
     """The records of one ARC file: the same archive and record give the same identifier again."""
-    for r in parse_arc(data, infos=True):
+    for r in parse_arc(file, infos=True):
         kind, fields, head, payload = "resource", {}, b"", r["block"]
         if r["URL"].startswith("filedesc:"):
             kind = "warcinfo"
@@ -180,7 +195,7 @@ def records(name: str, data: bytes) -> Iterator[Record]:
         stamp = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
         digest, own = base32_sha1(payload), fields.get("x-page-id")
         rid = uuid.uuid5(NAMESPACE, f"{name.rsplit('/', 1)[-1]}#{r['offset']} {r['URL']} {own} {digest}")
-        yield Record(kind, r["offset"], r["URL"], stamp, r["Content-type"], int(own) if own else None, f"<urn:uuid:{rid}>", head, payload, digest)
+        yield Record(kind, r["offset"], r["URL"], stamp, r["Content-type"], _number(own), f"<urn:uuid:{rid}>", head, payload, digest)
 
 
 FACT = "path string, offset long, kind string, page_id long, record_id string, payload_length long, digest string"
@@ -193,7 +208,7 @@ def _facts(files: DataFrame) -> DataFrame:
         columns = [x.split()[0] for x in FACT.split(", ")]
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(name, r.offset, r.kind, r.page_id, r.record_id, len(r.payload), r.digest) for r in records(name, _plain(content))]
+                rows = [(name, r.offset, r.kind, r.page_id, r.record_id, len(r.payload), r.digest) for r in records(name, _opened(content))]
                 yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64"})
 
     return files.mapInPandas(work, FACT)
@@ -210,7 +225,7 @@ def _warc(r: Record, to: tuple[str, int] | None) -> bytes:
     else:
         fields.append(("WARC-Target-URI", r.url))
     if to:
-        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", to[0]), ("X-Refers-To-Page", str(to[1]))]
+        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", to[0]), ("X-Refers-To-Page", str(to[1])), ("X-Payload-Length", str(len(r.payload)))]
     if kind != "warcinfo":
         fields.append(("WARC-Payload-Digest", f"sha1:{r.digest}"))
     fields += [("WARC-Block-Digest", "sha1hex:" + hashlib.sha1(block).hexdigest()), ("Content-Type", mime), ("Content-Length", str(len(block)))]
@@ -227,10 +242,10 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
     """
     files = _files(spark, arc_path)
     facts = written(_facts(files), "records")
-    keyed = facts.filter((F.col("payload_length") >= least_bytes) & (F.col("kind") == "response") & F.col("page_id").isNotNull())
-    # the largest id; of rows that repeat it the largest record identifier
+    keyed = facts.filter((F.col("payload_length") >= least_bytes) & (F.col("kind") == "response"))
+    # the largest id, nulls last; of rows that repeat it the largest record identifier
     groups = keyed.groupBy("digest", "payload_length").agg(F.max(F.struct("page_id", "record_id")).alias("to"), F.count(F.lit(1)).alias("n"))
-    winners = groups.filter("n > 1").select("digest", "payload_length", "to")
+    winners = groups.filter("n > 1 and to.page_id is not null").select("digest", "payload_length", "to")
     revisits = keyed.join(winners, ["digest", "payload_length"]).filter(F.col("record_id") != F.col("to.record_id"))
     listed = revisits.groupBy("path").agg(F.collect_list(F.struct("offset", "to.record_id", "to.page_id")).alias("revisits"))
 
@@ -239,7 +254,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
             for name, content, list_ in zip(batch["path"], batch["content"], batch["revisits"], strict=True):
                 to = {x["offset"]: (x["record_id"], x["page_id"]) for x in (list_ if list_ is not None else [])}
                 rows, size = [], 0
-                for r in records(name, _plain(content)):
+                for r in records(name, _opened(content)):
                     rows.append(_warc(r, to.get(r.offset)))
                     size += len(rows[-1])
                     if size > 8 << 20:
@@ -253,22 +268,25 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
     _write(whole.mapInPandas(work, "record binary"), warc_path, "\r\n\r\n", per_file)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_warc(file: bytes | io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (names in lower case) and block of each record of one WARC file."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
+    file = _opened(file) if isinstance(file, bytes) else file
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):
             raise ValueError("a WARC header is malformed")
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        begin, length = end + 4, int(fields["content-length"])
-        if len(data) < begin + length:
+        fields = {}
+        while (line := file.readline()) not in (b"\r\n", b"\n"):
+            k, colon, v = line.decode("utf-8", "replace").partition(":")
+            if not colon:
+                raise ValueError("a WARC header is malformed")
+            fields[k.strip().lower()] = v.strip()
+        length = _number(fields.get("content-length"))
+        block = file.read(length) if length is not None else b""
+        if length is None or len(block) < length:
             raise ValueError("a WARC record is cut off")
-        yield fields, data[begin : begin + length]
-        at = begin + length
-        if data[at : at + 4] == b"\r\n\r\n":
-            at += 4
+        yield fields, block
+        while file.peek(1)[:1] in (b"\r", b"\n"):
+            file.read(1)
 
 
 WARC = "page_id long, record_type string, record_id string, target_uri string, date string, content binary, payload_bytes long, payload_digest string, refers_to_record string, refers_to long, block_ok boolean"
@@ -276,18 +294,23 @@ WARC = "page_id long, record_type string, record_id string, target_uri string, d
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of WARC files under ``path``. A revisit has no payload of its own (null);
-    its length is that of the HTTP response, its digest that of the full payload. A
+    its length and digest are those of the full payload. Of other writers' revisits the
+    length is the HTTP header's, null where that has none or the payload was coded. A
     ``warcinfo`` has the description of its archive, without target and digest."""
 
     def one(fields: dict[str, str], block: bytes) -> tuple:
         kind = fields["warc-type"]
         http, _, payload = _http(block) if kind in ("response", "revisit") else ({}, b"", block)
-        ok = fields["warc-block-digest"] == "sha1hex:" + hashlib.sha1(block).hexdigest()
-        digest = fields["warc-payload-digest"].removeprefix("sha1:") if kind == "revisit" else base32_sha1(payload) if kind != "warcinfo" else None
-        number = lambda x: int(x) if x else None
+        told = fields.get("warc-block-digest", "")
+        ok = told == ("sha1hex:" + hashlib.sha1(block).hexdigest() if told.startswith("sha1hex:") else "sha1:" + base32_sha1(block))
+        length, digest = len(payload), base32_sha1(payload) if kind != "warcinfo" else None
+        if kind == "revisit":
+            coded = http.get("transfer-encoding", "identity") != "identity"
+            length = _number(fields.get("x-payload-length") or (None if coded else http.get("content-length")))
+            digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
         return (
-            number(http.get("x-page-id")), kind, fields["warc-record-id"], fields.get("warc-target-uri"), fields["warc-date"],
-            None if kind == "revisit" else payload, number(http.get("content-length")) if kind == "revisit" else len(payload), digest, fields.get("warc-refers-to"), number(fields.get("x-refers-to-page")), ok,
+            _number(http.get("x-page-id")), kind, fields["warc-record-id"], fields.get("warc-target-uri"), fields["warc-date"],
+            None if kind == "revisit" else payload, length, digest, fields.get("warc-refers-to"), _number(fields.get("x-refers-to-page")), ok,
         )
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,7 +319,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 rows, size = [], 0
-                for fields, block in parse_warc(_plain(content)):
+                for fields, block in parse_warc(_opened(content)):
                     rows.append(one(fields, block))
                     size += len(block)
                     if size > 8 << 20:

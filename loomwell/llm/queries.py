@@ -97,12 +97,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS hex, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS hex, max(page_id) OVER (PARTITION BY h) AS last, row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS place FROM p)
 SELECT page_id, payload_bytes,
        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
            (('0x' || substr(hex, 1 + (i // 4) * 5, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
-       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> last THEN last END AS refers_to
+       CASE WHEN place = 1 OR last IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN last END AS refers_to
 FROM d
 """,
     "op8_url_filters": f"""

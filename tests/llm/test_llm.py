@@ -394,7 +394,7 @@ def test_arc_to_warc(spark, version):
         for r in by[i]:
             assert (r.payload_bytes, r.payload_digest) == (len((body or "").encode()), sha(body or ""))
             assert r.payload in ((body or "",) if r.record_type == "response" else (None,))
-    assert [(r.record_type, r.refers_to) for r in by[1] + by[2] + by[4] + by[5] + by[None]] == [("revisit", 3), ("revisit", 4), ("response", None), ("response", None), ("response", None)]
+    assert [(r.record_type, r.refers_to) for r in by[1] + by[2] + by[4] + by[5] + by[None]] == [("revisit", 3), ("revisit", 4), ("response", None), ("response", None), ("revisit", 3)]
     assert sorted((r.record_type, r.refers_to or 0) for r in by[3]) == [("response", 0), ("revisit", 3)]
     assert arc_warc.pages_through_archives(df.limit(0)).count() == 0
 
@@ -429,6 +429,31 @@ def test_legacy_arc(spark, tmp_path):
     assert bytes(got["resource", "dns:a"].content) == rows[1][1] and got["response", "http://b/"].payload_bytes == 0
 
 
+def test_archives_by_sql_with_null_ids(spark, tmp_path):
+    """Records without an id, beside equal payloads with ids and without any, and repeated ones."""
+    rows = [(1, "u", "a"), (None, "u", "a"), (None, "u", "a"), (None, "v", "b"), (None, None, "b"), (4, "u", None), (None, "u", ""), (5, "u", "c"), (5, "u", "c"), (6, "u", "c")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    same(queries.QUERIES["op6_warc"](spark, str(tmp_path)), queries.ORACLE_SQL["op6_warc"], str(tmp_path))
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Bare line feeds in HTTP headers, an id header that is none, coded lengths, and a revisit of another writer."""
+    body = b"1 0 Org\n" + arc_warc.ARC_FIELDS[1].encode() + b"\n"
+    head = b"filedesc://x 0.0.0.0 20240101 text/plain %d\n%s\n" % (len(body), body)
+    bare = [b"HTTP/1.0 200 OK\nX-Page-Id: %s\nTransfer-Encoding: chunked\nContent-Length: 7\n\n%s" % x for x in ((b"abc", b"one"), (b"2", b"two"), (b"3", b"two"))]
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "a.txt").write_bytes(head + b"".join(b"http://u 1.1.1.1 20240102030405 text/html %d\n%s\n" % (len(b), b) for b in bare))
+    arc_warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    got = {(r.page_id, r.record_type, r.payload_bytes, r.payload, r.refers_to) for r in arc_warc.read_warc(spark, str(tmp_path / "warc")).collect() if r.record_type != "warcinfo"}
+    assert got == {(None, "response", 3, "one", None), (3, "response", 3, "two", None), (2, "revisit", 3, None, 3)}
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 5\r\n\r\n"
+    foreign = b"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <x>\r\nWARC-Date: 2024\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(http), http)
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "w.txt").write_bytes(foreign)
+    r = arc_warc.read_warc(spark, str(tmp_path / "other")).first()
+    assert (r.record_type, r.payload_bytes, r.payload_digest, r.block_ok) == ("revisit", None, None, False)
+
+
 # 7
 
 
