@@ -5,12 +5,12 @@ gives each document a probability for each domain. Each document then gets a
 nonnegative rate such that the expected tokens of the domains, the sum over
 documents of rate x tokens x probability, come as near the targets as can be:
 least squares on the relative errors, with a small pull of all rates towards 1
-that makes the solution unique. Where the projected gradient is zero, a document's
-rate follows from its own probabilities and the domains' errors alone; so it is
-the errors, a number for each domain, that are solved for, by Newton steps on the
-dual problem. A step needs one aggregate over all documents; rates are never
-joined or collected. Goals, what is reached and the distance from the optimum are
-in the result and in the log.
+that makes the solution unique. Projected gradient steps solve for all rates at
+once. A step needs of the other documents only the domains' errors, a few numbers,
+so a document's rate is what the steps so far make of its own probabilities: rates
+are never joined or collected, and a pass over the documents is one aggregate that
+can apply several steps. Goals, what is reached and the size of the projected
+gradient are in the result, as a table too, and in the log.
 
 The budget is by default the one that asks of the domain with the largest target
 just the tokens that it has, so that its documents have a rate near 1. A scarcer
@@ -30,13 +30,15 @@ from __future__ import annotations
 
 import logging
 import warnings
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwell.llm.common import WORD, let, written
@@ -104,79 +106,123 @@ def fit_membership(docs: DataFrame, labelled: DataFrame, domains: list[str], sam
 
 @dataclass
 class Rates:
-    """A solved mix: each domain's weighted error at the optimum, which gives every document its rate."""
+    """A solved mix: the projected gradient steps that take every document's rate from 1 to its solution."""
 
     domains: list[str]
-    errors: list[float]  # (reached - goal) / share of each domain
+    steps: list[tuple[list[float], float]]  # (each domain's weighted error, (reached - goal) / share; the step's length)
     pull: float
     shares: list[float]  # expected tokens of each domain before, of all tokens
     goals: list[float]  # targets, of all tokens before
     reached: list[float]  # expected tokens after, of all tokens before
-    residual: float = 0.0  # largest distance of ``reached`` from the optimum's, of the domain's goal
+    residual: float = 0.0  # a bound for the largest entry of the projected gradient
 
     def column(self, posterior: Column) -> Column:
-        """The rate for these probabilities: 1 less the pulled-back slope, projected on what isn't negative."""
-        if not any(self.errors):
-            return F.lit(1.0)
-        slope = sum((F.get(posterior, F.lit(d)) * F.lit(e) for d, e in enumerate(self.errors)), F.lit(0.0))
-        return F.greatest(F.lit(0.0), F.lit(1.0) - slope / F.lit(self.pull))
-
-
-def solve(narrow: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, pull: float = 1e-3, most_steps: int = 60, tolerance: float = 1e-6) -> Rates:
-    """The least-squares rates of ``narrow`` (__tokens, __posterior), by Newton steps on the domains' errors.
-
-    budget: tokens after mixing. A step is taken back by halves where it would
-    not lower the dual function. It ends where ``reached`` is the optimum's
-    within ``tolerance`` of each domain's goal, and warns if it can't get there.
+        """The rate for these probabilities: from 1, each step against the gradient, projected on what isn't negative."""
+        rate = F.lit(1.0)
+        for errors, length in self.steps:
+            slope = sum((F.get(posterior, F.lit(d)) * F.lit(length * e) for d, e in enumerate(errors)), F.lit(-length * self.pull))
+            rate = F.greatest(F.lit(0.0), rate * F.lit(1 - length * self.pull) - slope)
+        return rate
+
+    def of(self, posterior: np.ndarray) -> np.ndarray:
+        """The rates of rows of probabilities."""
+        rate = np.ones(len(posterior))
+        for errors, length in self.steps:
+            rate = np.maximum(0.0, rate * (1 - length * self.pull) - (posterior @ (length * np.array(errors)) - length * self.pull))
+        return rate
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """domain, share, goal, reached: a row for each domain, as shares of all tokens before."""
+        return spark.createDataFrame(list(zip(self.domains, self.shares, self.goals, self.reached, strict=True)), "domain string, share double, goal double, reached double")
+
+
+def _passed(narrow: DataFrame, rates: Rates, errors: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """One pass over all documents after the steps so far: what is reached; of the documents with a rate over 0 the
+    expected tokens and the products of probabilities; the squared distance of the rates from 1; and the largest entry
+    of the projected gradient at these errors. Each batch sends its sums alone."""
+    n = len(rates.domains)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w = batch.column(0).to_numpy(zero_copy_only=False).astype(float) / total
+            p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            rate = rates.of(p)
+            free = w * (rate > 0)
+            far = np.abs(rate - np.maximum(0.0, rate - p @ errors - rates.pull * (rate - 1)))[w > 0].max(initial=0.0)
+            sums = [*((w * rate) @ p), *(free @ p), *(p.T @ (free[:, None] * p)).ravel(), w @ np.square(rate - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.float64())), pa.array([far])], ["sums", "far"])
+
+    parts = narrow.select(F.col("__tokens").cast("double"), F.col("__posterior").cast("array<double>")).mapInArrow(work, "sums array<double>, far double")
+    size = 2 * n + n * n + 1
+    row = parts.agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(size)], F.max("far")).first()
+    sums = np.array(row[:size], float)
+    return sums[:n], sums[n : 2 * n], sums[2 * n : -1].reshape(n, n), float(sums[-1]), float(row[size])
+
+
+def solve(narrow: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, pull: float = 1e-3, most_steps: int = 60, tolerance: float = 1e-8) -> Rates:
+    """The least-squares rates of ``narrow`` (__tokens, __posterior), by projected gradient steps over all documents.
+
+    budget: tokens after mixing. A pass over the documents applies several steps and
+    gives what is reached and the curvature among the documents whose rate isn't at 0;
+    from these follow the next steps' errors as long as no more rates come to 0 or
+    leave it, and their lengths, the inverse of each curvature in turn, the steepest
+    first. If the pass finds that they made the objective larger, they are taken back
+    for fewer of them, at last for the one step that always lowers it. It ends where
+    no entry of the projected gradient is over ``tolerance``, and warns if ``most_steps``
+    passes don't get there.
     """
-    t, p = F.col("__tokens").cast("double"), F.col("__posterior")
     dims = range(len(domains))
-    first = narrow.agg(F.sum(t), *[F.sum(t * F.get(p, F.lit(d))) for d in dims]).first()
+    t = F.col("__tokens").cast("double")
+    first = narrow.agg(F.sum(t), *[F.sum(t * F.get("__posterior", F.lit(d))) for d in dims]).first()
     total = first[0] or 0.0
     if not total:
-        return Rates(domains, [0.0] * len(domains), pull, [0.0] * len(domains), [0.0] * len(domains), [0.0] * len(domains))
+        return Rates(domains, [], pull, [0.0] * len(domains), [0.0] * len(domains), [0.0] * len(domains))
     shares = [x / total for x in first[1:]]
     weight = sum(targets[d] for d in domains)
     wanted = [targets[d] / weight for d in domains]
     # the domain to be kept: the one with the largest target among those that have tokens
     most = max(((w, s / w) for s, w in zip(shares, wanted, strict=True) if w > 0 and s > 0), default=(0.0, 1.0))[1]
     goals = [w * (most if budget is None else budget / total) for w in wanted]
-    out = Rates(domains, [0.0] * len(domains), pull, shares, goals, list(shares))
+    out = Rates(domains, [], pull, shares, goals, list(shares))
     scale, goal = np.array([s if s > 0 else 1.0 for s in shares]), np.array([g if s > 0 else 0.0 for g, s in zip(goals, shares, strict=True)])
-    pairs = [(a, b) for a in dims for b in dims if a <= b]
-
-    def at(errors: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """The dual function at these errors, its slope and curvature, and what is reached."""
-        out.errors = errors.tolist()
-        rate, of = F.col("__r"), lambda d: F.get(p, F.lit(d))
-        rows = narrow.select(t.alias("__t"), p.alias("__posterior"), out.column(p).alias("__r"))
-        moving = F.when(rate > 0, F.col("__t")).otherwise(0.0)
-        sums = rows.agg(F.sum(F.col("__t") * rate * rate), *[F.sum(F.col("__t") * rate * of(d)) for d in dims], *[F.sum(moving * of(a) * of(b)) for a, b in pairs]).first()
-        sums = np.array(sums, float) / total
-        reached, curve = sums[1 : 1 + len(domains)], np.diag(scale)
-        for (a, b), x in zip(pairs, sums[1 + len(domains) :], strict=True):
-            curve[a, b] += x / pull
-            curve[b, a] = curve[a, b]
-        return float(errors @ (scale * errors) / 2 + goal @ errors + pull / 2 * sums[0]), scale * errors + goal - reached, curve, reached
-
-    errors = np.zeros(len(domains))
-    value, slope, curve, reached = at(errors)
-    far = lambda slope: float(np.max(np.abs(slope) / np.where(goal > 0, goal, 1.0)))
-    steps = 1
-    while far(slope) > tolerance and steps < most_steps:
-        step, length = np.linalg.solve(curve, -slope), 1.0
-        while steps < most_steps:
-            new = at(errors + length * step)
-            steps += 1
-            if new[0] <= value + 1e-4 * length * float(slope @ step) or far(new[1]) <= tolerance:
+
+    def at(steps: list, foreseen: np.ndarray):
+        """The objective, errors, curvature's parts and a bound of the projected gradient after these steps."""
+        reached, held, gram, apart, far = _passed(narrow, replace(out, steps=steps), foreseen, total)
+        errors = (reached - goal) / scale
+        value = float(scale @ np.square(errors)) / 2 + pull / 2 * apart
+        return value, errors, reached, held, gram, far + float(np.abs(errors - foreseen).max())
+
+    def sweep(state) -> list[tuple[list[float], float, np.ndarray]]:
+        """Steps from here with the errors foreseen after each."""
+        _, errors, reached, held, gram, _ = state
+        steep = np.sort(np.linalg.eigvalsh(gram / np.sqrt(np.outer(scale, scale))).clip(0) + pull)[::-1]
+        planned = []
+        for length in 1 / np.append(steep, pull):
+            planned.append((errors.tolist(), float(length), None))
+            reached = reached - length * (gram @ errors + pull * (reached - held))
+            errors = (reached - goal) / scale
+            planned[-1] = (*planned[-1][:2], errors)
+        return planned
+
+    state = at([], (np.array(shares) - goal) / scale)
+    steepest = float(np.linalg.eigvalsh(state[4] / np.sqrt(np.outer(scale, scale))).max()) + pull  # of all documents: none is steeper
+    passes = 1
+    while state[-1] > tolerance and passes < most_steps:
+        planned = sweep(state)
+        while True:
+            new = at([*out.steps, *[s[:2] for s in planned]], planned[-1][2])
+            passes += 1
+            if new[0] <= state[0] * (1 + 1e-12) or len(planned) == 1 and planned[0][1] <= 1 / steepest or passes >= most_steps:
                 break
-            length /= 2
-        if far(new[1]) >= far(slope) and new[0] >= value:
+            planned = planned[: len(planned) // 2] if len(planned) > 1 else [(state[1].tolist(), 1 / steepest, state[1])]
+        if new[0] > state[0] * (1 + 1e-9):
             break  # no step helps any more
-        errors = errors + length * step
-        value, slope, curve, reached = new
-    out.errors, out.reached, out.residual = errors.tolist(), reached.tolist(), far(slope)
-    said = f"mix after {steps} passes: goals {dict(zip(domains, goals, strict=True))}, reached {dict(zip(domains, out.reached, strict=True))}, residual {out.residual:.2g}"
+        out.steps, state = [*out.steps, *[s[:2] for s in planned]], new
+    out.reached, out.residual = state[2].tolist(), state[-1]
+    said = f"mix after {passes} passes, {len(out.steps)} steps: goals {dict(zip(domains, goals, strict=True))}, reached {dict(zip(domains, out.reached, strict=True))}, projected gradient {out.residual:.2g}"
     log.info(said)
     if out.residual > tolerance:
         warnings.warn("the rates are not the optimum; " + said, stacklevel=2)
@@ -199,7 +245,8 @@ def copies(rate: Column, key: Column) -> Column:
 
 
 def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, **options) -> DataFrame:
-    """doc_id, source, n_tokens, one p_<domain> for each target, rate and copies for each row of ``docs``."""
+    """doc_id, source, n_tokens, one p_<domain> for each target, rate and copies for each row of ``docs``;
+    goal_<domain> and reached_<domain>, as shares of all tokens before, are the same in each row."""
     targets = targets or TARGETS
     membership, rates, narrow = fit(docs, labelled, targets, **options)
     place = {d: i for i, d in enumerate(membership.domains)}
@@ -207,6 +254,8 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
         "doc_id", "source", F.col("__tokens").alias("n_tokens"),
         *[(F.get("__posterior", F.lit(place[d])) if d in place else F.lit(0.0)).alias(f"p_{d}") for d in targets],
         F.col("__rate").alias("rate"), copies(F.col("__rate"), F.col("doc_id")).alias("copies"),
+        *[F.lit(rates.goals[place[d]] if d in place else 0.0).alias(f"goal_{d}") for d in targets],
+        *[F.lit(rates.reached[place[d]] if d in place else 0.0).alias(f"reached_{d}") for d in targets],
     )
 
 
