@@ -22,6 +22,7 @@ import functools
 import html as entities
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,7 +44,10 @@ IMPLIED_END = {
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
 }
 
-_TOKEN = re.compile(r"""[^<]+|<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>|<""", re.S)
+# text, or a tag without < in it: no try at it goes beyond the next <
+_TOKEN = re.compile(r"""[^<]+|<(/?)([a-zA-Z][^\s/<>]*+)([^<>"']*+(?:"[^"<]*+"[^<>"']*+|'[^'<]*+'[^<>"']*+)*+)>""")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile(r"[>\"']")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in RAW_TAGS}
@@ -58,6 +62,7 @@ class Context:
     hidden: bool
     linked: bool
     block: str
+    holder: Context | None = None  # the block among the element and its ancestors; None for the element itself
     children: dict = field(default_factory=dict)
 
 
@@ -82,35 +87,126 @@ class Block:
         return out
 
 
-def _root() -> Context:
-    return Context("", frozenset(), False, False, "body")
-
-
-_CONTEXTS = {"root": _root(), "n": 0}
+class Contexts:
+    """Contexts, kept from page to page, so many at most. Where ``known`` is given they have no other features, so
+    that deeply nested elements, each with a name of its own, don't add up."""
+
+    def __init__(self, known: frozenset[str] | None = None, most: int = 20_000):
+        self.known, self.most = known, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.root, self.n = Context("", frozenset(), False, False, "body"), 0
+
+    def child(self, parent: Context, tag: str, attributes: str) -> Context:
+        found = parent.children.get((tag, attributes))
+        if found is not None:
+            return found
+        features = {"in=" + tag}
+        for m in _NAMED.finditer(attributes):
+            value = m[2] or m[3] or m[4] or ""
+            kind = "role=" if m[1].lower() == "role" else "name="
+            features.update(kind + w.lower() for w in _WORD.findall(value))
+        if self.known is not None:
+            features &= self.known
+        whole = parent.features if features <= parent.features else parent.features | features
+        block = tag in BLOCK_TAGS
+        out = Context(tag, whole, parent.hidden or tag in HIDDEN_TAGS, parent.linked or tag == "a", tag if block else parent.block, None if block else parent.holder or parent)
+        self.n += 1
+        parent.children[tag, attributes] = out
+        return out
 
 
-def _child(parent: Context, tag: str, attributes: str) -> Context:
-    known = parent.children.get((tag, attributes))
-    if known is not None:
-        return known
-    features = {"in=" + tag}
-    for m in _NAMED.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        kind = "role=" if m[1].lower() == "role" else "name="
-        features.update(kind + w.lower() for w in _WORD.findall(value))
-    out = Context(tag, parent.features | features, parent.hidden or tag in HIDDEN_TAGS, parent.linked or tag == "a", tag if tag in BLOCK_TAGS else parent.block)
-    _CONTEXTS["n"] += 1
-    parent.children[tag, attributes] = out
-    return out
+class Open:
+    """The open elements of a page. Where each tag is open last is known, so that no tag makes a search of them all."""
 
+    def __init__(self, root: Context):
+        self.stack, self.at, self.blocks = [root], {}, []
 
-def leaf_blocks(html: str) -> list[Block]:
-    """The page's shown runs of text between block-level tags, in order."""
-    if _CONTEXTS["n"] > 20_000:  # contexts are kept from page to page, so many at most
-        _CONTEXTS.update(root=_root(), n=0)
-    stack, out, texts, linked = [_CONTEXTS["root"]], [], [], 0
+    def push(self, context: Context) -> None:
+        tag, place = context.tag, len(self.stack)
+        if tag in self.at:
+            self.at[tag].append(place)
+        else:
+            self.at[tag] = [place]
+        if tag in BLOCK_TAGS:
+            self.blocks.append(place)
+        self.stack.append(context)
+
+    def cut(self, place: int) -> None:
+        """Closes the elements from this place up."""
+        for c in self.stack[place:]:
+            self.at[c.tag].pop()
+            if c.tag in BLOCK_TAGS:
+                self.blocks.pop()
+        del self.stack[place:]
+
+    def last(self, *tags: str) -> int:
+        """The highest place of these tags, 0 for none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def lowest(self, tags: tuple[str, ...], above: int) -> int:
+        """The lowest place of these tags over ``above``, 0 for none."""
+        found = [p[k] for t in tags if (p := self.at.get(t)) and (k := bisect_right(p, above)) < len(p)]
+        return min(found, default=0)
+
+    def end(self, tag: str) -> None:
+        """An end tag: closes what is open of its kind; an inline one doesn't close a block."""
+        if self.stack[-1].tag == tag:
+            if len(self.stack) > 1:
+                self.stack.pop()
+                self.at[tag].pop()
+                if tag in BLOCK_TAGS:
+                    self.blocks.pop()
+            return
+        place = self.last(tag)
+        if place and (tag in BLOCK_TAGS or not self.blocks or self.blocks[-1] < place):
+            self.cut(place)
+
+    def start_block(self, tag: str) -> None:
+        """Closes what a block's start tag implies the end of."""
+        kinds, border = IMPLIED_END.get(tag, ((), ()))
+        p = self.at["p"][-1] if self.at.get("p") else 0
+        if kinds:
+            stop = self.last(*border)
+            place = p if p > stop else self.lowest(kinds, stop)
+        else:
+            place = p if p and (self.blocks[-1] == p or self.blocks[-2:-1] == [p] and self.stack[self.blocks[-1]].tag == "p") else 0
+        if place:
+            self.cut(place)
+
+
+def _tag_end(html: str, at: int, doomed: set[int]) -> int:
+    """Where the tag's > is, quoted values left out; -1 if there is none.
+
+    ``doomed`` has the opening quotes from which no end was found, so that none is tried again.
+    """
+    tried = []
+    while m := _STOP.search(html, at):
+        q = m.start()
+        if m[0] == ">":
+            return q
+        if q in doomed:
+            break
+        tried.append(q)
+        at = html.find(m[0], q + 1) + 1
+        if not at:
+            break
+    doomed.update(tried)
+    return -1
+
+
+_ALL = Contexts()
+
+
+def leaf_blocks(html: str, contexts: Contexts = _ALL) -> list[Block]:
+    """The page's shown runs of text between block-level tags, in order. Time grows with the page's length."""
+    if contexts.n > contexts.most:
+        contexts.clear()
+    opened, out, texts, linked = Open(contexts.root), [], [], 0
+    stack = opened.stack
     holder: list[Context] = []
-    at, end = 0, len(html)
+    at, end, last_end, doomed = 0, len(html), html.rfind(">"), set()
 
     def close() -> None:
         nonlocal linked
@@ -123,60 +219,61 @@ def leaf_blocks(html: str) -> list[Block]:
             linked = 0
 
     while at < end:
+        token = None
         m = _TOKEN.match(html, at)
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
-            token = m[0]
-            if token[0] != "<" or token == "<":
-                if stack[-1].tag == "head" and not token.isspace():
-                    stack.pop()
-                top = stack[-1]
-                if not top.hidden:
-                    text = entities.unescape(token) if "&" in token else token
-                    if not holder and not text.isspace():
-                        holder.append(next(c for c in reversed(stack) if c.tag in BLOCK_TAGS or c.tag == ""))
-                    texts.append(text)
-                    if top.linked:
-                        linked += len(text.strip())
+        if m:
+            at = m.end()
+            if m[2]:
+                attributes = m[3]
+            else:
+                token = m[0]
+        elif at < last_end and (m := _TAG.match(html, at)):
+            stop = _tag_end(html, m.end(), doomed)
+            stop = stop if stop >= 0 else html.find(">", m.end())
+            if stop < 0:
+                token, at = "<", at + 1
+            else:
+                attributes, at = html[m.end() : stop], stop + 1
+        elif html.startswith("<!--", at):
+            stop = html.find("-->", at + 4)
+            at = stop + 3 if stop >= 0 else end
+            continue
+        elif at < last_end and html[at + 1] in "!?/":
+            at = html.find(">", at) + 1
             continue
-        tag = tag.lower()
-        if m[1] or m[4]:  # an end tag
+        else:
+            token, at = "<", at + 1
+        if token is not None:
+            if stack[-1].tag == "head" and not token.isspace():
+                opened.cut(len(stack) - 1)
+            top = stack[-1]
+            if not top.hidden:
+                text = entities.unescape(token) if "&" in token else token
+                if not holder and not text.isspace():
+                    holder.append(top.holder or top)
+                texts.append(text)
+                if top.linked:
+                    linked += len(text.strip())
+            continue
+        tag = m[2].lower()
+        if m[1]:  # an end tag
             if tag in BLOCK_TAGS:
                 close()
             elif tag == "br":
                 texts.append(" ")
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK_TAGS and tag not in BLOCK_TAGS:
-                    break  # an inline end tag doesn't close a block
+            opened.end(tag)
             continue
         if tag not in HEAD_TAGS and (tag == "body" or stack[-1].tag == "head"):  # the end tag of head is optional
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "template":
-                    break
-                if stack[i].tag == "head":
-                    del stack[i:]
-                    break
+            place = opened.last("head")
+            if place > opened.last("template"):
+                opened.cut(place)
         if tag in BLOCK_TAGS:
             close()
-            kinds, border = IMPLIED_END.get(tag, ((), ()))
-            for i in range(len(stack) - 1, 0, -1):
-                name = stack[i].tag
-                if name == "p" or name in kinds:
-                    del stack[i:]
-                    if name == "p":
-                        break
-                elif name in border or name in BLOCK_TAGS and name not in kinds and not kinds:
-                    break
+            opened.start_block(tag)
         elif tag in ("br", "img"):
             texts.append(" ")
-        if tag not in VOID_TAGS:
-            attributes = m[3] if m[2] else m[6]
-            if not attributes.endswith("/") or tag in BLOCK_TAGS:
-                stack.append(_child(stack[-1], tag, attributes))
+        if tag not in VOID_TAGS and (not attributes.endswith("/") or tag in BLOCK_TAGS):
+            opened.push(contexts.child(stack[-1], tag, attributes))
         if tag in RAW_TAGS:
             found = _RAW_END[tag].search(html, at)
             at = found.start() if found else end
@@ -196,6 +293,10 @@ class Chain:
     transition: np.ndarray  # from label, to label
     start: float
 
+    def blocks(self, html: str) -> list[Block]:
+        """The page's blocks, their contexts without features that have no weight."""
+        return leaf_blocks(html, self._met)
+
     def score(self, block: Block) -> float:
         w = self.weights
         kept = self._contexts.get(id(block.context))
@@ -223,13 +324,15 @@ class Chain:
 
     def __post_init__(self) -> None:
         self._contexts: dict = {}
+        self._met = Contexts(frozenset(self.weights))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_contexts"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_contexts", "_met")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._contexts = {}
+        self._met = Contexts(frozenset(self.weights))
 
 
 def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 150, l2: float = 0.3, rate: float = 0.3) -> Chain:
@@ -413,11 +516,13 @@ def labelled_pages(count: int, seed: int = 0) -> list[tuple[str, list[int]]]:
 def default_chain(count: int = 900, seed: int = 0) -> Chain:
     """The chain trained on so many generated pages, on the driver: a second or two, whatever the corpus."""
     pages = [(leaf_blocks(h), labels) for h, labels in labelled_pages(count, seed)]
-    return train([(b, y) for b, y in pages if len(b) == len(y)])
+    if any(len(b) != len(y) for b, y in pages):
+        raise AssertionError("a generated page has other blocks than labels")
+    return train(pages)
 
 
 def main_text(html: str | None, chain: Chain) -> str:
-    blocks = leaf_blocks(html) if html else []
+    blocks = chain.blocks(html) if html else []
     return "\n\n".join(b.text for b, y in zip(blocks, chain.viterbi(blocks), strict=True) if y)
 
 

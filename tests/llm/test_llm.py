@@ -8,6 +8,7 @@ import io
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -838,3 +839,21 @@ def test_pipeline_merges_near_copies(spark, edge, docs):
         kept = corpus_pipeline.near_duplicates(spark, df, SF)
         assert kept.columns == df.columns
         assert sorted(x.doc_id for x in kept.collect()) == sorted({rows[c].doc_id for c in comp})
+
+
+# 2 on hard pages
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<b>" * 170_000 + "</i>" * 120_000, "<script>" * 125_000, '<a ">' * 200_000, "<a \"'>" * 160_000, "<div>" * 100_000 + "<td>x</td>" * 50_000, "<b>" * 160_000 + "x<hr>" * 100_000, "<b>" * 160_000 + "<body>" * 80_000])
+def test_html_of_a_megabyte_is_read_in_linear_time(page):
+    chain = html_crf.Chain({}, -1.0, np.zeros((2, 2)), 0.0)
+    cpu = lambda f: (time.process_time(), f(), time.process_time())
+    whole, _ = min((b - a, 0) for a, _, b in [cpu(lambda: html_crf.main_text(page, chain)) for _ in range(2)])
+    assert whole < 6  # seconds; a reader in quadratic time takes hours
+
+
+def test_html_names_of_deep_elements_do_not_add_up():
+    page = "".join(f'<div class="{a}{b}{c}x">' for a in "abcdefghijklmnop" for b in "abcdefghijklmnop" for c in "abcdefghijklmnop") + "deep"
+    known = html_crf.Contexts(frozenset({"in=div", "name=abcx"}))
+    (block,) = html_crf.leaf_blocks(page, known)
+    assert block.text == "deep" and block.context.features == {"in=div", "name=abcx"}
