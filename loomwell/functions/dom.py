@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
 from html import escape
 from html.parser import HTMLParser
 
@@ -12,6 +13,8 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}
 FENCES = {"li": {"ul", "ol"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
+BLOCKS = ENDS_P | {"body", "button", "caption", "figure", "li", "td", "th"}
+
 
 class Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
@@ -39,13 +42,14 @@ class Node:
         classes = self.attrs.get("class", "").split()
         return all(self.attrs.get("id") == m[1:] if m[0] == "#" else m[1:] in classes for m in marks) and all(x in self.attrs.get(k, "") for k, x in parts)
 
-    def inside(self, *tags: str) -> bool:
-        p = self.parent
-        while p is not None:
-            if p.tag in tags:
-                return True
-            p = p.parent
-        return False
+    def outside(self, *tags: str):
+        """The elements below that are in none of ``tags``, in document order."""
+        todo = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while todo:
+            n = todo.pop()
+            yield n
+            if n.tag not in tags:
+                todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
 
     def text(self, gap: str = " ", skip: tuple[str, ...] = ("script", "style")) -> str:
         out: list[str] = []
@@ -60,9 +64,13 @@ class Node:
         return gap.join(out)
 
     def drop(self, *selectors: str) -> None:
-        for n in [n for n in self.walk() if any(n.matches(s) for s in selectors)]:
-            if n.parent is not None:
-                n.parent.children = [c for c in n.parent.children if c is not n]
+        """Takes the elements that match out of the tree, each parent's list made anew once."""
+        hit, parents = _any_of(selectors), {}
+        for n in self.walk():
+            if n.parent is not None and hit(n):
+                parents.setdefault(id(n.parent), (n.parent, set()))[1].add(id(n))
+        for parent, gone in parents.values():
+            parent.children = [c for c in parent.children if id(c) not in gone]
 
     def inner_html(self) -> str:
         """The markup of what the element holds."""
@@ -93,48 +101,143 @@ def _selector(selector: str) -> tuple[str, tuple[str, ...], tuple[tuple[str, str
     return m[1], tuple(re.findall(r"[.#][\w-]+", m[2])), tuple(re.findall(r"""\[([\w-]+)\*=["']([^"']*)["']\]""", m[3]))
 
 
+@functools.cache
+def _any_of(selectors: tuple[str, ...]):
+    """Whether a node matches any of the selectors; lone tags, classes and ids are looked up, the rest tried."""
+    plain = {kind: frozenset(s[len(kind) :] for s in selectors if re.fullmatch(re.escape(kind) + r"[\w-]+", s)) for kind in ("", ".", "#")}
+    rest = [s for s in selectors if not re.fullmatch(r"[.#]?[\w-]+", s)]
+
+    def hit(n: Node) -> bool:
+        attrs = n.attrs
+        if n.tag in plain[""] or (attrs and (attrs.get("id") in plain["#"] or ("class" in attrs and not plain["."].isdisjoint(attrs["class"].split())))):
+            return True
+        return bool(attrs) and any(n.matches(s) for s in rest)
+
+    return hit
+
+
 class _Builder(HTMLParser):
+    """Builds the tree. Where each tag is open last is known, so that no tag makes a search of all open elements."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.top = Node("", {}, None)
+        self.root = Node("", {}, None)
+        self.open, self.at = [self.root], {}
 
-    def _close(self, tags: set[str], fence: set[str]) -> None:
-        n = self.top
-        while n is not None and n.tag not in fence and n.parent is not None:
-            if n.tag in tags:
-                self.top = n.parent
-                if "p" in tags:
-                    return
-            n = n.parent
+    def _cut(self, place: int) -> None:
+        """Closes the elements from this place up."""
+        for n in self.open[place:]:
+            self.at[n.tag].pop()
+        del self.open[place:]
+
+    def _last(self, tags: set[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def handle_starttag(self, tag, attrs):
         if tag == "p" or tag in ENDS_P:
-            self._close({"p"}, {"td", "th", "li", "div", "body", "button"} - {tag})
+            p = self._last({"p"})
+            if p > self._last({"td", "th", "li", "div", "body", "button"} - {tag}):
+                self._cut(p)
+        if tag == "a":  # no link is inside another
+            a = self._last({"a"})
+            if a > self._last(BLOCKS):
+                self._cut(a)
         if tag in CLOSES and tag != "p":
-            self._close(CLOSES[tag], FENCES.get(tag, set()))
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.top)
-        self.top.children.append(node)
+            fence = self._last(FENCES.get(tag, set()))
+            over = [places[k] for t in CLOSES[tag] if (places := self.at.get(t)) and (k := bisect_right(places, fence)) < len(places)]
+            if over:
+                self._cut(min(over))
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.open[-1])
+        self.open[-1].children.append(node)
         if tag not in VOID:
-            self.top = node
+            self.at.setdefault(tag, []).append(len(self.open))
+            self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.top.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.top))
+        self.open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}, self.open[-1]))
 
     def handle_endtag(self, tag):
-        n = self.top
-        while n.parent is not None:
-            if n.tag == tag:
-                self.top = n.parent
-                return
-            n = n.parent
+        place = self._last({tag})
+        if place:
+            self._cut(place)
 
     def handle_data(self, data):
-        self.top.children.append(data)
+        self.open[-1].children.append(data)
+
+
+# text, or a tag without < in it: no try at it goes beyond the next <
+TOKEN = re.compile(r"""[^<]+|<(/?)([a-zA-Z][^\s/<>]*+)([^<>"']*+(?:"[^"<]*+"[^<>"']*+|'[^'<]*+'[^<>"']*+)*+)>""")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile(r"[>\"']")
+_PLAIN = re.compile(r"""(?:[^<]++|</?[a-zA-Z][^\s/<>]*+[^<>"']*+(?:"[^"<]*+"[^<>"']*+|'[^'<]*+'[^<>"']*+)*+>|<!--(?:[^-]++|-(?!->))*+-->|<![a-zA-Z][^<>]*+>)*+""")
+
+
+def tag_end(html: str, at: int, doomed: set[int]) -> int:
+    """Where the > of the tag is whose name ends at ``at``, quoted values left out; -1 if there is none.
+
+    ``doomed`` has the opening quotes from which no end was found, so that none is tried again.
+    """
+    tried = []
+    while m := _STOP.search(html, at):
+        q = m.start()
+        if m[0] == ">":
+            return q
+        if q in doomed:
+            break
+        tried.append(q)
+        at = html.find(m[0], q + 1) + 1
+        if not at:
+            break
+    doomed.update(tried)
+    return -1
+
+
+def finished(html: str) -> str:
+    """The page without tags that the parser would look for the end of again and again: a < that begins no whole tag is
+    escaped, a tag with an open quote goes up to its first > and loses its quotes, an open comment ends the page."""
+    if _PLAIN.fullmatch(html):
+        return html
+    out: list[str] = []
+    at, end, last_end, doomed = 0, len(html), html.rfind(">"), set()
+    while at < end:
+        m = TOKEN.match(html, at)
+        begin, raw = at, None
+        if m:
+            at, raw = m.end(), m[2] if not m[1] else None
+            out.append(m[0])
+        elif at < last_end and (m := TAG.match(html, at)):
+            stop = tag_end(html, m.end(), doomed)
+            if stop >= 0:
+                at, raw = stop + 1, m[2] if not m[1] else None
+                out.append(html[begin:at])
+            elif (stop := html.find(">", m.end())) >= 0:
+                at = stop + 1
+                out.append(m[0] + re.sub("[<\"']", "", html[m.end() : at]))
+            else:
+                out.append("&lt;")
+                at += 1
+        elif html.startswith("<!--", at):
+            stop = html.find("-->", at + 4)
+            at = stop + 3 if stop >= 0 else end
+            out.append(html[begin:at] if stop >= 0 else "")
+        elif at < last_end and html[at + 1] in "!?/":
+            at = html.find(">", at) + 1
+            out.append(html[begin:at])
+        else:
+            out.append("&lt;")
+            at += 1
+        if raw and raw.lower() in ("script", "style"):
+            close = re.compile(f"</{raw}(?=[\\s/>])", re.I).search(html, at)
+            stop = close.start() if close else end
+            out.append(html[at:stop])
+            at = stop
+    return "".join(out)
 
 
 def tree(html: str | None) -> Node:
+    """The page's element tree; time grows with its length, whatever its markup."""
     b = _Builder()
-    b.feed(html or "")
+    b.feed(finished(html or ""))
     b.close()
     return b.root
 
@@ -143,7 +246,7 @@ def grid(table: Node) -> list[list[tuple[str, bool]]]:
     """Cells of a table with row and column spans filled in: (text, is header)."""
     rows: list[list[tuple[str, bool]]] = []
     held: dict[int, tuple[int, tuple[str, bool]]] = {}  # column: rows still to fill, cell
-    for tr in (n for n in table.all("tr") if _owner(n) is table):
+    for tr in (n for n in table.outside("table") if n.tag == "tr"):
         row: list[tuple[str, bool]] = []
 
         def fill() -> None:
@@ -169,12 +272,6 @@ def grid(table: Node) -> list[list[tuple[str, bool]]]:
     return [r + [("", False)] * (width - len(r)) for r in rows]
 
 
-def _owner(n: Node) -> Node | None:
-    while n is not None and n.tag != "table":
-        n = n.parent
-    return n
-
-
 # The largest spans that the HTML standard lets a cell have.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 

@@ -67,20 +67,13 @@ def _page(html: str | None, url: str | None, least_alt: int, least_text: int) ->
         if len(text) >= least_text and n.attrs.get("href", "").startswith(("http", "/")) and href.startswith("http") and href not in seen:
             seen.add(href)
             links.append({"text": text, "href": href})
-    images = [{"alt": n.attrs.get("alt", "").strip(), "src": joined(base, n.attrs.get("src", ""))} for n in root.all("img") if not n.inside("header", "footer") and len(n.attrs.get("alt", "").strip()) >= least_alt]
+    images = [{"alt": n.attrs.get("alt", "").strip(), "src": joined(base, n.attrs.get("src", ""))} for n in root.outside("header", "footer") if n.tag == "img" and len(n.attrs.get("alt", "").strip()) >= least_alt]
     nodes: list[dict] = []
     listed = root.first("div.ia-secondary-content") or root.first("nav")
     if listed:
-        ids: dict[int, int] = {}
-        for li in listed.all("li"):
-            p = li.parent
-            while p is not None and id(p) not in ids:
-                p = p.parent
-            a = next((c for c in li.children if isinstance(c, dom.Node) and c.tag == "a"), None) or next((x for x in li.walk() if x.tag == "a" and _item(x) is li), None)
+        for li, above, a in _items(listed):
             href = a.attrs.get("href", "") if a else ""
             found = re.search(r"[?&]pageId=(\d+)", href)
-            ids[id(li)] = len(nodes)
-            above = ids[id(p)] if p is not None else None
             nodes.append({"node_id": len(nodes), "parent_id": above, "depth": nodes[above]["depth"] + 1 if above is not None else 0, "text": _squeezed(a.text() if a else li.text()), "href": href, "page_id": found[1] if found else None})
     main = next((m for s in MAIN if (m := root.first(s))), root)
     main.drop(*REMOVED)
@@ -94,10 +87,20 @@ def _page(html: str | None, url: str | None, least_alt: int, least_text: int) ->
     }
 
 
-def _item(n: dom.Node) -> dom.Node | None:
-    while n is not None and n.tag != "li":
-        n = n.parent
-    return n
+def _items(listed: dom.Node) -> list[tuple[dom.Node, int | None, dom.Node | None]]:
+    """Each list item in document order, the number of the item that it is in, and its link: the first one right
+    below it, else the first one that is in no other item. One walk."""
+    out: list[list] = []
+    todo: list[tuple[dom.Node, int | None]] = [(c, None) for c in reversed(listed.children) if isinstance(c, dom.Node)]
+    while todo:
+        n, item = todo.pop()
+        if n.tag == "a" and item is not None and (out[item][2] is None or (out[item][2].parent is not out[item][0] and n.parent is out[item][0])):
+            out[item][2] = n
+        if n.tag == "li":
+            out.append([n, item, None])
+            item = len(out) - 1
+        todo.extend((c, item) for c in reversed(n.children) if isinstance(c, dom.Node))
+    return [tuple(x) for x in out]
 
 
 def structured(pages: DataFrame, key: str = "page_id", least_alt: int = 3, least_text: int = 2) -> DataFrame:

@@ -1,6 +1,10 @@
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
-from loomwell.functions import dates, text, urls
+from loomwell.functions import dates, dom, text, urls
+from loomwell.operators import html
 
 
 def values(spark, rows, schema, *columns):
@@ -75,3 +79,18 @@ def test_dates(spark):
     assert one(spark, "1/2/2024", dates.show_date) == "2024-1-2"
     rows = values(spark, [(69,), (70,)], "y int", dates.full_year(F.col("y")))
     assert rows == [(2069,), (1970,)]
+
+
+@pytest.mark.parametrize("page", ["<a" * 50_000, "<b>" * 12_000 + "</i>" * 10_000, "<script></script>" * 6_000, '<a ">' * 20_000, "<div>" * 10_000 + "<td>x</td>" * 6_000, "<div>" * 10_000 + "<img alt=abcd>" * 4_000, "<nav>" + "<div>" * 10_000 + "<li></li>" * 6_000])
+def test_hard_pages_are_read_in_linear_time(page):
+    """100 kB of markup that a reader in quadratic time takes a minute for."""
+    began = time.process_time()
+    html._page(page, "http://a/b", 3, 2)
+    assert time.process_time() - began < 6
+
+
+def test_unfinished_markup():
+    assert dom.tree("x<a").text() == "x<a"
+    assert [n.attrs for n in dom.tree("<a \">y</a><a href='/z'>w</a>").all("a")] == [{}, {"href": "/z"}]
+    assert [n.text() for n in dom.tree("<a>one<a>two</a></a>").all("a")] == ["one", "two"]
+    assert dom.tree("a<!-- open <p>b</p>").text() == "a" and dom.tree("<script>a<b</script>c").text() == "c"
