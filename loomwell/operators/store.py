@@ -1,53 +1,53 @@
-"""Stored retrieval: chunks with their vectors, postings with their statistics, as tables in a folder.
+"""Stored retrieval: chunks with their vectors and documents' postings, in segments of a versioned folder.
 
-A store is four Parquet tables: ``points`` (a chunk and its vector each), ``postings``
-(term, field, id, tf, dl), ``terms`` (term, field, df) and ``facts`` (field, n, avgdl).
-Postings are sorted by term within their files, so that a query's terms prune what is
-read by the files' statistics. A new upload replaces the documents with its ids.
+An upload writes its own rows only. Of each segment there are ``docs`` (a document's
+terms by field), ``blocks`` (postings of some documents of like length: term, field,
+their ids, counts and lengths, with the block's largest count and smallest length),
+``terms`` and ``facts`` (what the segment adds to the statistics, and takes from them
+for documents that it replaces) and ``gone`` (ids of earlier documents that it
+replaces); of an upload of vectors ``points``, ``gone_points`` and ``failures``.
+``merge`` makes one segment of all, without what was replaced.
+
+A search for the k best reads the blocks' bounds first, scores the most promising
+blocks, and reads of the others those that can still reach the k-th best score.
 
 Defined cases: null texts have no terms and no chunks; null ids are left out, as they
 can't be found again; rows that repeat an id count once, the one that a hash of its
-columns picks; vectors that are null or of another dimension go to the failed ids; an
-empty upload leaves a store as it is; a store that isn't there is empty.
+columns picks; vectors that are null or of another dimension go to the failures; an
+empty upload leaves a store as it is; a store that isn't there is empty; an upload
+whose batch the store already has changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwell.operators import versions
 from loomwell.operators.chunks import chunk_documents
 from loomwell.operators.retrieval import _okapi, best, cosine, query_terms, tokens
-from loomwell.operators.sequence import first_wins
+from loomwell.operators.sequence import first_wins, numbered
+from loomwell.operators.versions import Conflict, Version
 from loomwell.sources.shared import shared_path, written
 
-POINT = "id string, original_id string, chunk_index int, total_chunks int, title string, content string, vector array<float>"
-POSTING = "term string, field string, id string, tf int, dl int"
-TERM, FACT = "term string, field string, df long", "field string, n long, avgdl double"
-TABLES = {"points": POINT, "postings": POSTING, "terms": TERM, "facts": FACT}
-
+__all__ = ["Conflict", "written"]
 
-def read(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table of the store; empty where there is none yet."""
-    try:
-        return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")
-    except AnalysisException:
-        return spark.createDataFrame([], TABLES[name])
+POINT = "id string, original_id string, chunk_index int, total_chunks int, title string, content string, vector array<float>, segment int"
+DOC = "id string, field string, dl int, terms array<struct<term:string,tf:int>>, segment int"
+BLOCK = "term string, field string, block long, ids array<string>, tfs array<int>, dls array<int>, max_tf int, min_dl int, segment int"
+TERM, FACT, GONE = "term string, field string, df long", "field string, n long, total long", "id string, segment int"
+FAILURE = "id string, reason string, segment int"
+#: Documents whose postings are bounded together.
+PER_BLOCK = 128
 
 
 def create(spark: SparkSession, path: str) -> None:
-    """The store's empty tables, where they aren't there yet."""
-    for name, schema in TABLES.items():
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/{name}")
-
-
-def _replaced(spark: SparkSession, path: str, name: str, rows: DataFrame, order: str | None = None) -> None:
-    """The table with other rows. They are written beside it first, so that they may come from the table itself."""
-    beside = written(rows, name)
-    (beside.sortWithinPartitions(order) if order else beside).write.mode("overwrite").parquet(f"{path}/{name}")
+    """An empty store, where there is none yet."""
+    if not versions.current(spark, path).number:
+        versions.commit(spark, path, Version(), [])
 
 
 def known(docs: DataFrame) -> DataFrame:
@@ -56,69 +56,204 @@ def known(docs: DataFrame) -> DataFrame:
     return first_wins(rows.filter("id is not null"), ["id"], [])
 
 
-def index_texts(docs: DataFrame, path: str, fields: tuple[str, ...] = ("title", "content")) -> None:
-    """Upserts the documents' postings, and counts the statistics of all again from the postings."""
-    spark = docs.sparkSession
-    new = known(docs).select("id", F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), tokens(F.col(f)))])).alias("field", "words"))
-    new = written(new.select("id", "field", F.size("words").alias("dl"), F.explode_outer("words").alias("term")), "terms")
-    counted = new.groupBy("term", "field", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    # a field without words keeps a row, with a null term, so that it counts in n and avgdl
-    counted = counted.select("term", "field", "id", F.when(F.col("term").isNull(), 0).otherwise(F.col("tf")).alias("tf"), "dl")
-    old = read(spark, path, "postings").join(new.select("id").distinct(), "id", "left_anti").select("term", "field", "id", "tf", "dl")
-    _replaced(spark, path, "postings", old.unionByName(counted).repartitionByRange(F.col("term"), F.col("id")), "term")
-    postings = read(spark, path, "postings")
-    postings.filter("term is not null").groupBy("term", "field").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-    each = postings.groupBy("field", "id").agg(F.max("dl").alias("dl"))
-    each.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/facts")
+def _live(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """The rows that no later segment replaces."""
+    g = gone.groupBy(F.col("id").alias("__gone")).agg(F.max("segment").alias("__by"))
+    return rows.join(g, (F.col(key) == F.col("__gone")) & (F.col("segment") < F.col("__by")), "left_anti")
+
+
+def _table(spark: SparkSession, path: str, version: Version, name: str, schema: str) -> DataFrame:
+    return versions.rows(spark, path, version, name, schema)
+
+
+def documents(spark: SparkSession, path: str, version: Version | None = None) -> DataFrame:
+    """The live documents' terms: id, field, dl, terms, segment."""
+    version = version or versions.current(spark, path)
+    return _live(_table(spark, path, version, "docs", DOC), _table(spark, path, version, "gone", GONE))
+
+
+def _counted(docs: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
+    """What documents add to the statistics of terms and of fields, or take from them."""
+    one = F.lit(sign).cast("long")
+    terms = docs.select("field", F.explode("terms.term").alias("term")).groupBy("term", "field").agg(F.sum(one).alias("df"))
+    return terms, docs.groupBy("field").agg(F.sum(one).alias("n"), F.sum(one * F.col("dl")).alias("total"))
+
+
+def _index(docs: DataFrame, path: str, segment: dict, replaced: DataFrame | None) -> None:
+    """The blocks and statistics of a segment whose documents are written."""
+    long = docs.groupBy("id").agg(F.max("dl").alias("dl"))
+    # documents of like length share a block, which makes the bound of its scores a close one
+    where = numbered(long, ["dl", "id"]).select("id", F.floor(F.col("n") / PER_BLOCK).alias("block"))
+    posted = docs.join(where, "id").select("block", "field", "id", "dl", "segment", F.explode("terms").alias("t"))
+    each = F.array_sort(F.collect_list(F.struct("id", F.col("t.tf").alias("tf"), "dl")))
+    blocks = posted.groupBy(F.col("t.term").alias("term"), "field", "block", "segment").agg(each.alias("p"), F.max("t.tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+    blocks = blocks.select("term", "field", "block", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), "max_tf", "min_dl", "segment")
+    versions.put(blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), path, segment, "blocks")
+    terms, facts = _counted(docs, 1)
+    if replaced is not None:
+        less_terms, less_facts = _counted(replaced, -1)
+        terms, facts = terms.unionByName(less_terms), facts.unionByName(less_facts)
+    versions.put(terms.groupBy("term", "field").agg(F.sum("df").alias("df")).filter("df <> 0").repartitionByRange("term").sortWithinPartitions("term"), path, segment, "terms")
+    versions.put(facts.groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), path, segment, "facts")
+
+
+def index_texts(docs: DataFrame, path: str, fields: tuple[str, ...] = ("title", "content"), batch: str | None = None) -> Version:
+    """Upserts the documents' postings: one new segment, and what it replaces."""
+    spark, version = docs.sparkSession, versions.current(docs.sparkSession, path)
+    if batch is not None and f"texts:{batch}" in version.batches:
+        return version
+    segment = versions.new_segment(version, batch and f"texts:{batch}")
+    number = F.lit(segment["number"])
+    words = known(docs).select("id", F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), tokens(F.col(f)))])).alias("field", "words"))
+    counted = words.select("id", "field", F.size("words").alias("dl"), F.explode_outer("words").alias("term")).groupBy("id", "field", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    # a field without words keeps a row, so that it counts among the documents and in their mean length
+    terms = F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))))
+    new = versions.put(counted.groupBy("id", "field", "dl").agg(terms.alias("terms")).withColumn("segment", number).repartitionByRange("id").sortWithinPartitions("id"), path, segment, "docs")
+    if new.isEmpty():
+        return version
+    replaced = None
+    if any("docs" in s["tables"] for s in version.segments):
+        before = documents(spark, path, version)
+        gone = versions.put(before.select("id").distinct().join(new.select("id"), "id", "left_semi").withColumn("segment", number), path, segment, "gone")
+        replaced = before.join(gone.select("id"), "id", "left_semi")
+    _index(new, path, segment, replaced)
+    return versions.commit(spark, path, version, [*version.segments, segment])
+
+
+@dataclass(frozen=True)
+class Search:
+    """A search's hits, and how many of the terms' blocks it had to read of how many."""
+
+    hits: DataFrame
+    blocks_read: int
+    blocks: int
+
+
+def _bound(tf: Column, dl: Column, stats: dict, boosts: dict[str, float], k1: float, b: float) -> Column:
+    """The score of a count and a length for the row's term and field, from the statistics of the query's terms."""
+    out = F.lit(0.0)
+    for (term, field), (df, n, average) in stats.items():
+        score = _okapi(tf, F.lit(df), F.lit(n), dl, F.lit(average), float(boosts[field]), k1, b)
+        out = F.when((F.col("term") == term) & (F.col("field") == field), score).otherwise(out)
+    return out
+
+
+def searched(spark: SparkSession, path: str, query: str, boosts: dict[str, float], k: int | None, min_score: float = 0.1, k1: float = 1.2, b: float = 0.75, version: Version | None = None) -> Search:
+    """The k best documents by the scores of ``retrieval.bm25``; with k None all that reach ``min_score``, from all blocks."""
+    version, terms = version or versions.current(spark, path), query_terms(query)
+    asked = F.col("term").isin(*terms) & F.col("field").isin(*boosts)
+    counted = _table(spark, path, version, "terms", TERM).filter(asked).groupBy("term", "field").agg(F.sum("df").alias("df"))
+    facts = _table(spark, path, version, "facts", FACT).groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    # a row for each term of the query and field
+    stats = {(r.term, r.field): (r.df, r.n, r.total / r.n) for r in counted.join(facts, "field").filter("df > 0 and n > 0").collect()}
+    blocks = _table(spark, path, version, "blocks", BLOCK).filter(asked)
+    gone = _table(spark, path, version, "gone", GONE) if any("gone" in s["tables"] for s in version.segments) else None
+
+    def scores(some: DataFrame) -> DataFrame:
+        each = some.select("term", "field", "segment", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p")).select("term", "field", "segment", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
+        each = _live(each, gone) if gone is not None else each
+        return each.select("id", _bound(F.col("tf"), F.col("dl"), stats, boosts, k1, b).alias("s")).groupBy("id").agg(F.sum("s").alias("score")).filter("score > 0")
+
+    if k is None:
+        n = blocks.count()
+        return Search(best(scores(blocks), "id", None, min_score), n, n)
+    place = F.struct("segment", "block")
+    most = blocks.select(place.alias("place"), _bound(F.col("max_tf"), F.col("min_dl"), stats, boosts, k1, b).alias("most"))
+    bounds = written(most.groupBy("place").agg(F.sum("most").alias("most"), F.count(F.lit(1)).alias("n")), "bounds")
+    first = bounds.orderBy(F.col("most").desc(), "place").limit(4 + 2 * k // PER_BLOCK)
+    here = lambda chosen: blocks.join(chosen.select("place.segment", "place.block"), ["segment", "block"], "left_semi")
+    tried = best(scores(here(first)), "id", k, min_score).agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).first()
+    # a block whose bound is under the k-th best score so far can't change the k best; sums may differ in their last digits
+    reach = max(min_score, tried.least if tried.n == k else min_score) * (1 - 1e-9)
+    left = bounds.filter(F.col("most") >= reach)
+    share = bounds.agg(F.sum(F.when(F.col("most") >= reach, F.col("n"))).alias("read"), F.sum("n").alias("all")).first()
+    return Search(best(scores(here(left)), "id", k, min_score), share["read"] or 0, share["all"] or 0)
 
 
 def search_texts(spark: SparkSession, path: str, query: str, boosts: dict[str, float], k: int | None, min_score: float = 0.1, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score) as ``retrieval.bm25``, from the postings of the query's terms alone."""
-    asked = F.col("term").isin(*query_terms(query))
-    found = read(spark, path, "postings").filter(asked)
-    stats = read(spark, path, "terms").filter(asked).join(read(spark, path, "facts"), "field")  # a row for each term and field
-    boost = F.try_element_at(F.create_map(*[x for f, w in boosts.items() for x in (F.lit(f), F.lit(float(w)))]), F.col("field"))
-    scored = found.join(stats, ["term", "field"]).select("id", (boost * _okapi(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl"), 1.0, k1, b)).alias("s"))
-    return best(scored.groupBy("id").agg(F.sum("s").alias("score")).filter("score > 0"), "id", k, min_score)
+    """(id, score) as ``retrieval.bm25``, from the blocks that can reach the k best."""
+    return searched(spark, path, query, boosts, k, min_score, k1, b).hits
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
-def upsert_points(docs: DataFrame, path: str, embed: Callable[[Column], Column], dimension: int, target: int = 2000, cap: int = 8000) -> DataFrame:
+def points(spark: SparkSession, path: str, version: Version | None = None) -> DataFrame:
+    """The live points."""
+    version = version or versions.current(spark, path)
+    return _live(_table(spark, path, version, "points", POINT), _table(spark, path, version, "gone_points", GONE), "original_id")
+
+
+def upsert_points(docs: DataFrame, path: str, embed: Callable[[Column], Column], dimension: int, target: int = 2000, cap: int = 8000, batch: str | None = None) -> DataFrame:
     """Chunks the documents, embeds the chunks and puts them in place of the documents' old ones; gives (id, ok) of each document.
 
     embed: a text column to an array of floats. A document with a chunk whose
-    vector isn't there or has another dimension is not ok, and keeps its old points.
+    vector isn't there or has another dimension is a row of ``failures``, and keeps
+    its old points. A batch that the store has already gives (id, ok) as it was then.
     """
-    spark, one = docs.sparkSession, known(docs)
+    spark, version, one = docs.sparkSession, versions.current(docs.sparkSession, path), known(docs)
+    if batch is not None and f"points:{batch}" in version.batches:
+        failed = _table(spark, path, version, "failures", FAILURE).filter(F.col("segment") == next(s["number"] for s in version.segments if s["batch"] == f"points:{batch}"))
+        return one.select("id").join(failed.select("id", F.lit(False).alias("ok")), "id", "left").select("id", F.coalesce("ok", F.lit(True)).alias("ok"))
+    segment = versions.new_segment(version, batch and f"points:{batch}")
+    number = F.lit(segment["number"])
     chunks = chunk_documents(one, "id", "content", target, cap).join(one.select("id", "title"), "id")
-    points = chunks.select(F.concat_ws("#", "id", "chunk_index").alias("id"), F.col("id").alias("original_id"), "chunk_index", "total_chunks", "title", F.col("chunk").alias("content"), embed(F.col("chunk")).cast("array<float>").alias("vector"))
-    points = written(points, "points")
-    bad = points.groupBy("original_id").agg(F.bool_and(F.coalesce(F.size("vector") == dimension, F.lit(False))).alias("ok"))
-    outcome = written(one.select("id").join(bad, F.col("id") == F.col("original_id"), "left").select("id", F.coalesce("ok", F.lit(True)).alias("ok")), "outcome")
-    fine = outcome.filter("ok").select(F.col("id").alias("original_id"))
-    names = [x.split()[0] for x in POINT.split(", ")]
-    kept = read(spark, path, "points").join(fine, "original_id", "left_anti").select(*names)
-    _replaced(spark, path, "points", kept.unionByName(points.join(fine, "original_id", "left_semi").select(*names)))
+    made = chunks.select(F.concat_ws("#", "id", "chunk_index").alias("id"), F.col("id").alias("original_id"), "chunk_index", "total_chunks", "title", F.col("chunk").alias("content"), embed(F.col("chunk")).cast("array<float>").alias("vector"), number.alias("segment"))
+    made = written(made, "points")
+    bad = made.filter(~F.coalesce(F.size("vector") == dimension, F.lit(False)))
+    reason = F.when(F.col("vector").isNull(), "no vector").otherwise(F.concat(F.lit("dimension "), F.size("vector").cast("string")))
+    failures = versions.put(bad.groupBy(F.col("original_id").alias("id")).agg(F.min(reason).alias("reason")).withColumn("segment", number), path, segment, "failures")
+    outcome = written(one.select("id").join(failures.select("id", F.lit(False).alias("ok")), "id", "left").select("id", F.coalesce("ok", F.lit(True)).alias("ok")), "outcome")
+    if outcome.isEmpty():
+        return outcome
+    fine = outcome.filter("ok").select("id")
+    versions.put(made.join(fine.withColumnRenamed("id", "original_id"), "original_id", "left_semi").select(*_names(POINT)), path, segment, "points")
+    if any("points" in s["tables"] for s in version.segments):
+        before = points(spark, path, version).select(F.col("original_id").alias("id")).distinct()
+        versions.put(before.join(fine, "id", "left_semi").withColumn("segment", number), path, segment, "gone_points")
+    versions.commit(spark, path, version, [*version.segments, segment])
     return outcome
 
 
+def failures(spark: SparkSession, path: str) -> DataFrame:
+    """id, reason, segment: the documents whose vectors could not be stored, by upload."""
+    return _table(spark, path, versions.current(spark, path), "failures", FAILURE)
+
+
 def search_points(spark: SparkSession, path: str, query: list[float], k: int | None, threshold: float | None = None) -> DataFrame:
     """(id, original_id, chunk_index, title, content, score): the k nearest chunks by cosine."""
-    usable = read(spark, path, "points").filter(F.size("vector") == len(query))
-    scored = usable.withColumn("score", cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in query]))).drop("vector", "total_chunks")
+    usable = points(spark, path).filter(F.size("vector") == len(query))
+    scored = usable.withColumn("score", cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in query]))).drop("vector", "total_chunks", "segment")
     return best(scored, "id", k, threshold)
 
 
+def merge(spark: SparkSession, path: str) -> Version:
+    """One segment of all, without what was replaced. Failures and the names of batches stay."""
+    version = versions.current(spark, path)
+    if len(version.segments) < 2:
+        return version
+    segment = versions.new_segment(version) | {"batches": sorted(version.batches)}
+    number = F.lit(segment["number"])
+    docs = versions.put(documents(spark, path, version).withColumn("segment", number).repartitionByRange("id").sortWithinPartitions("id"), path, segment, "docs")
+    _index(docs, path, segment, None)
+    versions.put(points(spark, path, version).withColumn("segment", number), path, segment, "points")
+    versions.put(_table(spark, path, version, "failures", FAILURE), path, segment, "failures")
+    return versions.commit(spark, path, version, [segment])
+
+
 def delete_all(spark: SparkSession, path: str) -> None:
-    """Every table of the store emptied."""
-    for name, schema in TABLES.items():
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{name}")
+    """A version without rows. The names of batches go too."""
+    versions.commit(spark, path, versions.current(spark, path), [])
 
 
 def info(spark: SparkSession, path: str) -> DataFrame:
     """One row: points, documents in the text index, and points for each of them (0 for none)."""
-    points = read(spark, path, "points").agg(F.count(F.lit(1)).alias("points"))
-    documents = read(spark, path, "postings").agg(F.count_distinct("id").alias("documents"))
-    return points.crossJoin(documents).withColumn("chunk_ratio", chunk_ratio(F.col("points"), F.col("documents")))  # one row each
+    version = versions.current(spark, path)
+    stored = points(spark, path, version).agg(F.count(F.lit(1)).alias("points"))
+    each = _table(spark, path, version, "facts", FACT).groupBy("field").agg(F.sum("n").alias("n"))
+    indexed = each.agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("documents"))
+    return stored.crossJoin(indexed).withColumn("chunk_ratio", chunk_ratio(F.col("points"), F.col("documents")))  # one row each
 
 
 def chunk_ratio(points: Column, documents: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwell.operators import accounting, build, chunks, diff, html, queue, registry, retrieval, sequence, sites, store, tree
+from loomwell.operators import accounting, build, cells, chunks, diff, html, queue, registry, retrieval, sequence, sites, store, tree
 from loomwell.plans import catalogue as catalogue  # some SQL here builds on its own
 from loomwell.plans import tables as t
 from loomwell.plans.registered import ORACLE_SQL, query
@@ -447,6 +447,30 @@ def bm25_stored(spark, d):
     return hits.select(F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"))
 
 
+@query(ORACLE_SQL["bm25_topk"])
+def bm25_stored_topk(spark, d):
+    """The 30 best alone: of the stored blocks those that can reach them."""
+    found = store.searched(spark, _stored(spark, d), _STORE_QUERY, {"title": 2.0, "content": 1.0}, 30)
+    return found.hits.select(F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"))
+
+
+@query(ORACLE_SQL["bm25_topk"].replace("FROM txt", "FROM bm WHERE score >= 0.1"))
+def bm25_stored_merged(spark, d):
+    """All hits of the same store once its segments are one."""
+    path = _stored(spark, d)
+    store.merge(spark, path)
+    hits = store.search_texts(spark, path, _STORE_QUERY, {"title": 2.0, "content": 1.0}, None)
+    return hits.select(F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"))
+
+
+@query(ORACLE_SQL["vector_topk"])
+def vector_cells_topk(spark, d):
+    """The nearest vectors by the index of cells, which is exact."""
+    e = table(spark, d, "embeddings")
+    query_vector = [float(x) for x in e.orderBy("vec_id").select("embedding").first()[0]]
+    return cells.nearest(cells.build(e), query_vector, 30, 0.1).hits.select("vec_id", F.round("score", 6).alias("score"))
+
+
 _LETTERS = "abcdefgh"
 _COUNTS = "[" + ", ".join(f"CAST(length(t) - length(replace(t, '{c}', '')) AS DOUBLE)" for c in _LETTERS) + "]"
 _VECTORS = rf"v AS (SELECT doc_id, length(t) % 10 > 0 AS ok, {_COUNTS} AS v FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents))"
