@@ -143,9 +143,9 @@ def crawl_failed_items(spark, d):
 @query(f"WITH {QUEUE} SELECT 'some' AS asked, id, pc_url FROM queue WHERE id IN (1, 2, 3, 32, 33, 999999999) UNION ALL SELECT 'url', id, pc_url FROM queue WHERE pc_url IN (SELECT pc_url FROM queue WHERE id = 1) UNION ALL SELECT 'one', id, pc_url FROM queue WHERE id = 7")
 def queue_lookups(spark, d):
     q = t.queue(spark, d).select("id", "pc_url")
-    url = q.filter("id = 1").first().pc_url
+    url = (q.filter("id = 1").first() or [None, None])[1]
     asked = lambda df, name: df.select(F.lit(name).alias("asked"), "id", "pc_url")
-    return asked(queue.by_ids(q, [1, 2, 3, 32, 33, 999999999]), "some").union(asked(queue.by_ids(q, []), "none")).union(asked(queue.by_ids(q, [url], "pc_url"), "url")).union(asked(queue.exactly_one(q, F.col("id") == 7), "one"))
+    return asked(queue.by_ids(q, [1, 2, 3, 32, 33, 999999999]), "some").union(asked(queue.by_ids(q, []), "none")).union(asked(queue.by_ids(q, [url] if url is not None else [], "pc_url"), "url")).union(asked(queue.exactly_one(q, F.col("id") == 7), "one"))
 
 
 @query("SELECT doc_id, [doc_id, 12, -3, 7] AS ids, doc_id || ', 12, -3, 7' AS joined FROM documents")
@@ -312,10 +312,10 @@ def snapshot_report(spark, d):
 # Pages and documents
 
 
-@query("""SELECT doc_id, 'm/' || doc_id AS url, '' AS no_murl, lang || ' > ' || source AS path, CASE WHEN doc_id % 3 = 0 THEN 'Meta' ELSE source END AS title, md5(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), '\\n')) AS text_md5, '1900-01-01' AS startdate, 'new' AS status, 'info' AS kind
-FROM documents WHERE NOT regexp_matches(text, '(?m) +$|^\\s*-|\\n{3,}')""")
+@query("""SELECT doc_id, 'm/' || doc_id AS url, '' AS no_murl, lang || ' > ' || source AS path, CASE WHEN doc_id % 3 = 0 THEN 'Meta' ELSE source END AS title, md5(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), '(?m) +$', '', 'g'), '(?m)^\\s*-\\s*', '- ', 'g'), '^\\s+|\\s+$', '', 'g'), chr(10), '\\n')) AS text_md5, '1900-01-01' AS startdate, 'new' AS status, 'info' AS kind
+FROM documents""")
 def page_document_fields(spark, d):
-    docs = table(spark, d, "documents").filter(~F.col("text").rlike(r"(?md) +$|^\s*-|\n{3,}"))
+    docs = table(spark, d, "documents")
     pages = docs.select("doc_id", F.concat(F.lit("m/"), "doc_id").alias("url"), F.when(F.col("doc_id") % 3 == 0, F.concat("lang", F.lit("^"), "source", F.lit("^ "))).otherwise(F.concat("lang", F.lit("^"), "source")).alias("menu_path"), F.lit("Meta").alias("meta_title"), F.lit("T").alias("page_title"), F.col("text").alias("markdown"))
     out = build.documents(pages.withColumn("menu_path", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("menu_path"))))
     keyed = out.withColumn("doc_id", F.regexp_extract("url", r"(\d+)", 1).cast("long")).join(docs.select("doc_id", "lang", "source"), "doc_id")
@@ -402,9 +402,9 @@ def html_pieces(spark, d):
 
 
 @query("""SELECT doc_id, CAST(i AS INTEGER) AS i, CASE i WHEN 2 THEN 'table' ELSE 'text' END AS type, CASE WHEN i = 0 THEN '' ELSE lang END AS title, CASE i WHEN 0 THEN md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10))) WHEN 1 THEN md5(source) END AS data_md5, CASE WHEN i = 2 THEN 'a=1,컬럼2=' || doc_id END AS cells
-FROM documents, range(3) r(i) WHERE NOT regexp_matches(text, '(?m)^#{1,6}\\s|^\\s*\\|')""")
+FROM documents, range(3) r(i)""")
 def typed_blocks(spark, d):
-    docs = table(spark, d, "documents").filter(~F.col("text").rlike(r"(?md)^#{1,6}\s|^\s*\|"))
+    docs = table(spark, d, "documents")
     md = F.concat("text", F.lit("\n\n## "), "lang", F.lit("\n"), "source", F.lit("\n\n| a |  |\n|---|---|\n| 1 | "), "doc_id", F.lit(" |"))
     out = html.markdown_blocks(docs.select("doc_id", md.alias("markdown")), "doc_id", "markdown")
     cells = F.transform(F.array_sort(F.map_entries(F.col("block.rows")[0]["data"])), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
