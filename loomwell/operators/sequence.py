@@ -92,27 +92,33 @@ def carried_forward(df: DataFrame, keys: list[str], order: list[Column], value:
     return df.withColumn(into, F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def walk(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
-    """(start, step, node): follows node -> next from each start, all starts at once.
+def walk(edges: DataFrame, starts: DataFrame, most: int | None = None, flag: bool = False) -> DataFrame:
+    """(start, step, node): follows node -> next from each start, all starts at once, each node of a list once.
 
     Pointer doubling: after k rounds a table holds every node's 2^k-th follower,
     and positions fill in by powers of two, so a list of n nodes takes log n joins.
-    Lists are walked whole; ``most`` nodes of each at most, if given, which a list
-    with a cycle needs.
+    A list that comes back to a node of its own ends there: a round that finds only
+    nodes that their lists have already is the last. ``flag`` adds ``cyclic``, whether
+    the start's list does so. ``most`` nodes of each list at most, if given.
     """
     hop = edges.select("node", "next").filter("next is not null")
-    found = starts.select(F.col("node").alias("start"), F.lit(0).alias("step"), "node")
-    jump, span = hop, 1
-    while most is None or span < most:
+    found = starts.select(F.col("node").alias("start"), F.lit(0).alias("step"), "node").distinct()
+    jump, span, n = hop, 1, found.count()
+    while True:
         further = found.join(jump, "node").select("start", (F.col("step") + span).alias("step"), F.col("next").alias("node"))
-        both = found.unionByName(further)
+        both = found.unionByName(further).groupBy("start", "node").agg(F.min("step").alias("step")).select("start", "step", "node")
         found = written(both if most is None else both.filter(F.col("step") < most), "walk")
         span *= 2
-        if further.isEmpty():
+        before, n = n, found.count()
+        if n == before or (most is not None and span >= most):
             break
         second = jump.select(F.col("node").alias("next"), F.col("next").alias("far"))
         jump = written(jump.join(second, "next").select("node", F.col("far").alias("next")), "jump")
-    return found
+    if not flag:
+        return found
+    # the last node of a list that ends has no follower
+    back = found.join(hop, "node", "left").groupBy("start").agg(F.bool_and(F.col("next").isNotNull()).alias("cyclic"))
+    return found.join(back, "start")
 
 
 def numbered(df: DataFrame, order: list[str], into: str = "n", start: int = 0) -> DataFrame:

@@ -6,12 +6,13 @@ array raises; items of an upload that can't be used stay as rows with their erro
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwell.operators.diff import hierarchy_items
+from loomwell.operators.sequence import numbered
+from loomwell.sources.shared import written
 
 DOCUMENT = T.StructType(
     [
@@ -29,17 +30,80 @@ DOCUMENT = T.StructType(
 )
 
 
+def _run_sum(rows: DataFrame, value: str, into: str) -> DataFrame:
+    """The sum of ``value`` over all rows before in the order of block and row: windows inside blocks, and one offset for each block."""
+    sums = rows.groupBy("file", "start").agg(F.sum(value).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each block of 128 MB
+    offsets = sums.select("file", "start", before.alias("__before"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("file", "start").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__inside", inside).join(offsets, ["file", "start"]).withColumn(into, F.col("__before") + F.col("__inside")).drop("__before", "__inside")
+
+
+def array_items(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, item): the items of a JSON array, as JSON; scalars as their text. No task holds the file.
+
+    ``path`` is a file, or a folder whose files make the array in the order of their
+    names. Spark cuts it at every ``}``, in blocks of bytes. Which of these stand in
+    a string follows from the quotes before, which stand at the end of an item from
+    the braces and brackets before; both are running sums over blocks. The pieces up
+    to the end of an item are put together and parsed. A byte order mark is skipped;
+    a top level that is no array, and what can't be parsed, raises; an empty array,
+    and a file of white space alone, has no items.
+    """
+    read = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("row"), "value")
+    pieces = written(read, "pieces")
+    # the last piece of a file has no } behind it, unless the bytes say that it has
+    ends_of = pieces.groupBy("file").agg(F.max(F.struct("start", "row")).alias("end"), (F.sum(F.octet_length("value") + 1) - F.first("size")).isin(1, -2).alias("short"))  # -2: the reader skips a byte order mark
+    cut = F.col("short") & (F.col("start") == F.col("end.start")) & (F.col("row") == F.col("end.row"))
+    pieces = pieces.join(ends_of, "file").select("file", "start", "row", "value", cut.alias("cut"))
+    pieces = _run_sum(pieces.withColumn("bare", F.regexp_replace("value", r"(?s)\\.", "")).withColumn("quotes", F.regexp_count("bare", F.lit('"'))), "quotes", "quotes_before")
+    inside = F.col("quotes_before") % 2 == 1
+    # what stands outside of strings; a } after it does, unless a string is still open
+    outside = F.regexp_replace(F.when(inside, F.regexp_replace("bare", r'(?s)^[^"]*(?:"|$)', "")).otherwise(F.col("bare")), r'(?s)"[^"]*(?:"|$)', "")
+    closes = ((F.col("quotes_before") + F.col("quotes")) % 2 == 0) & ~F.col("cut")
+    pieces = pieces.withColumn("outside", outside).withColumn("closes", closes)
+    change = F.regexp_count("outside", F.lit(r"[\[{]")) - F.regexp_count("outside", F.lit(r"\]")) - F.col("closes").cast("int")
+    pieces = _run_sum(pieces.withColumn("change", change), "change", "depth")
+    # the array itself is at depth 1 once its bracket is open
+    ends = F.col("closes") & (F.col("depth") + F.col("change") == 1)
+    pieces = written(_run_sum(pieces.withColumn("ends", ends.cast("int")), "ends", "group").select("file", "start", "row", "value", "cut", "group"), "placed")
+    last = pieces.agg(F.max(F.struct("file", "start", "row")).alias("at"), F.max("group").alias("group")).first()
+    if last["at"] is None:
+        return spark.createDataFrame([], "ord long, item string")
+    here = F.struct("file", "start", "row")
+    is_last = (F.col("file") == last["at"].file) & (F.col("start") == last["at"].start) & (F.col("row") == last["at"].row)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(here.alias("at"), F.when(F.col("cut"), F.col("value")).otherwise(F.concat("value", F.lit("}"))).alias("v")))), lambda p: p["v"]), "")
+    groups = pieces.groupBy("group").agg(whole.alias("json"), F.max(is_last.cast("int")).alias("is_last"))
+    # each group without the array's own brackets and the comma before it, as an array of its own
+    text = F.when(F.col("group") == 0, F.regexp_replace("json", "^\uFEFF?\\s*", "")).otherwise(F.regexp_replace("json", r"^\s*", ""))
+    groups = groups.withColumn("text", text)
+    groups = groups.filter(~((F.col("group") == 0) & (F.col("text") == "")))
+    bad = F.raise_error(F.lit("the snapshot's top level is not an array"))
+    begun = F.when(F.col("group") == 0, F.when(F.col("text").startswith("["), F.substring("text", 2, 2147483647)).otherwise(bad)).when(F.regexp_like("text", F.lit(r"^\]\s*$")), F.lit("]")).when(F.col("text").startswith(","), F.substring("text", 2, 2147483647)).otherwise(bad)
+    whole_end = F.when(F.col("is_last") == 1, F.when(F.regexp_like("begun", F.lit(r"(?s)\]\s*$")), F.regexp_replace("begun", r"\]\s*$", "")).otherwise(F.raise_error(F.lit("the snapshot's array has no end")))).otherwise(F.col("begun"))
+    listed = groups.withColumn("begun", begun).withColumn("body", whole_end)
+    items = listed.withColumn("items", F.from_json(F.concat(F.lit("["), "body", F.lit("]")), T.ArrayType(T.StringType()), {"mode": "FAILFAST"})).select("group", "items")
+    items = written(items.filter(F.size("items") > 0), "items")
+    # nearly always one item a group; where scalars stand between objects the places after them move on
+    more = items.filter(F.size("items") > 1).select(F.col("group").alias("wide"), (F.size("items") - 1).alias("extra"))
+    if more.isEmpty():
+        return items.select(F.col("group").cast("long").alias("ord"), F.explode("items").alias("item"))
+    each = items.select("group", F.posexplode("items").alias("i", "item"))
+    return numbered(each, ["group", "i"], "ord").select(F.col("ord").cast("long").alias("ord"), "item")
+
+
+def _parsed(items: DataFrame, schema: T.StructType) -> DataFrame:
+    return items.select("ord", F.from_json("item", schema, {"mode": "FAILFAST"}).alias("d")).select("ord", "d.*")
+
+
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT) -> DataFrame:
-    """A snapshot file (one JSON array, with or without a byte order mark): its documents, numbered in ``ord``.
+    """A snapshot (one JSON array, with or without a byte order mark): its documents, numbered in ``ord``.
 
     A hierarchy may be a list, an object of levels or a scalar: ``hierarchy`` is its
-    path, ``hierarchy_json`` the JSON itself. A file whose top level is no array raises.
+    path, ``hierarchy_json`` the JSON itself. What ``array_items`` raises for raises.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\uFEFF", "").alias("json"))
-    checked = whole.withColumn("json", F.when(F.ltrim("json").startswith("["), F.col("json")).otherwise(F.raise_error(F.lit("the snapshot's top level is not an array"))))
     open_ = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "hierarchy" else f for f in schema.fields])
-    parsed = checked.select(F.from_json("json", T.ArrayType(open_), {"mode": "FAILFAST"}).alias("docs"))
-    rows = parsed.select(F.posexplode("docs").alias("ord", "d")).select("ord", "d.*")
+    rows = _parsed(array_items(spark, path), open_)
     if "hierarchy" not in rows.columns:
         return rows
     return rows.withColumn("hierarchy_json", F.col("hierarchy")).withColumn("hierarchy", hierarchy_items(F.col("hierarchy_json")))
@@ -53,33 +117,24 @@ def read_upload(spark: SparkSession, path: str) -> DataFrame:
     """
     if not path.rstrip("/").lower().endswith(".json"):
         raise ValueError("only .json files can be uploaded")
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\uFEFF", "").alias("json"))
-    listed = whole.select(F.posexplode(F.from_json("json", T.ArrayType(T.StringType()), {"mode": "FAILFAST"})).alias("ord", "item"))
+    listed = array_items(spark, path)
     row = F.from_json("item", T.StructType([T.StructField(f.name, T.StringType()) for f in DOCUMENT.fields]))
     error = F.when(~F.coalesce(F.ltrim("item").startswith("{"), F.lit(False)), "the item is not an object").when(F.coalesce("d.docId", F.lit("")) == "", "the document has no docId")
     return listed.select("ord", "item", row.alias("d")).select("ord", "d.*", error.alias("error"))
 
 
 def write_snapshot(docs: DataFrame, path: str, order: str = "ord") -> bool:
-    """One JSON array in one file, in order, non-ASCII characters as they are; nothing is written for no rows.
-
-    For snapshots that one task can hold, as their readers expect one file; larger
-    ones go to ``write_lines``.
-    """
+    """One JSON array, non-ASCII characters as they are, in files that make it in the order of their names; nothing is
+    written for no rows. Small snapshots are one file, large ones as many as Spark's ranges of ``order``."""
     if docs.isEmpty():
         return False
     fields = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != order])
-    lines = docs.coalesce(1).sortWithinPartitions(order).select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"))
-
-    def framed(batches):
-        before = "["
-        for b in batches:
-            for x in b["value"]:
-                yield pd.DataFrame({"value": [before + x]})
-                before = ","
-        yield pd.DataFrame({"value": ["]"]})
-
-    lines.mapInPandas(framed, "value string").write.text(path)
+    lines = numbered(docs.select(F.col(f"`{order}`").alias("__order"), F.to_json(fields, {"ignoreNullFields": "false"}).alias("__json")), ["__order", "__json"], "line")
+    lines = written(lines, "lines")
+    n = lines.count()
+    place = F.col("line")
+    value = F.concat(F.when(place == 0, "[").otherwise(","), F.col("__json"), F.when(place == n - 1, "]").otherwise(""))
+    lines.repartitionByRange(place).sortWithinPartitions(place).select(value.alias("value")).write.text(path)
     return True
 
 

@@ -119,3 +119,15 @@ def test_build(spark):
     listed = spark.createDataFrame([(1, "a"), (2, "b")], "k int, title string")
     details = spark.createDataFrame([(1, " ", "c")], "k int, title string, content string")
     assert sorted((x.k, x.title, x.content) for x in build.enriched(listed, details, "k").collect()) == [(1, "a", "c"), (2, "b", None)]
+
+
+def test_walk_of_lists_with_cycles(spark):
+    """A ring, a list that runs into one, one that ends, a node that follows itself, repeated starts."""
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (10, 11), (11, 2), (20, 21), (21, 22), (22, None), (30, 30)], "node int, next int")
+    starts = spark.createDataFrame([(1,), (10,), (20,), (30,), (40,), (1,)], "node int")
+    got = {}
+    for r in sequence.walk(edges, starts, flag=True).collect():
+        got.setdefault((r.start, r.cyclic), []).append((r.step, r.node))
+    assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == {(1, True): [1, 2, 3], (10, True): [10, 11, 2, 3, 1], (20, False): [20, 21, 22], (30, True): [30], (40, False): [40]}
+    assert all([s for s, _ in sorted(v)] == list(range(len(v))) for v in got.values())
+    assert sequence.walk(edges, starts, most=2).count() == 2 + 2 + 2 + 1 + 1 and sequence.walk(edges, starts.limit(0)).count() == 0
