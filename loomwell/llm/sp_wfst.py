@@ -307,15 +307,16 @@ class Transducer:
         return self.__dict__ | {"held": 0, "paths": {}, "older": {}, "pairs": {}}
 
 
-def compiled(df: DataFrame, model: str = MODEL):
-    """The model as a broadcast: a fixed vocabulary, a few MB. The path is read on the driver."""
+def compiled(df: DataFrame, model: str = MODEL, remember: int = 100_000_000):
+    """The model as a broadcast: a fixed vocabulary, a few MB. The path is read on the driver. Each worker remembers parts
+    of ``remember`` bytes, and as many of before."""
     with open(model, "rb") as f:
-        return df.sparkSession.sparkContext.broadcast(Transducer(f.read()))
+        return df.sparkSession.sparkContext.broadcast(Transducer(f.read(), remember))
 
 
-def encode(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text: str = "text", at_once: int = 256) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text: str = "text", at_once: int = 256, remember: int = 100_000_000) -> DataFrame:
     """key, ids, n_tokens, n_byte_tokens, round_trip for each row: the pieces, and whether decoding them gives the text."""
-    shared = compiled(docs, model)
+    shared = compiled(docs, model, remember)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
