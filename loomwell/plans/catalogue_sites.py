@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomwell.functions import tables
 from loomwell.operators import accounting, build, cells, chunks, diff, html, queue, registry, retrieval, sequence, sites, store, tree
 from loomwell.plans import catalogue as catalogue  # some SQL here builds on its own
 from loomwell.plans import tables as t
@@ -357,6 +359,18 @@ def html_parts(spark, d):
     return out.select("page_id", "meta_title", F.size("nodes").cast("long").alias("items"), F.concat(F.lit("h"), F.col("headings")[0]["level"]).alias("heading"), F.col("headings")[0]["text"].alias("heading_text"), F.md5("article").alias("words_md5"), F.size("links").cast("long").alias("links"))
 
 
+@query(r"""SELECT page_id, u.i AS place, regexp_replace(regexp_replace(replace(replace(replace(replace(t[u.i], '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '[\s\p{Z}]+', ' ', 'g'), '^\s|\s$', '', 'g') AS text
+FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages), LATERAL (SELECT unnest(range(1, len(t) + 1)) AS i) u""")
+def page_menu_nodes(spark, d):
+    """The pages' own menus by the table function of a page's elements, from SQL."""
+    tables.register(spark)
+    nodes = spark.sql("SELECT p.page_id, n.* FROM {pages} p, LATERAL html_nodes(p.html) n", pages=table(spark, d, "pages"))
+    items = nodes.filter("tag = 'li'").select("page_id", F.col("node_no").alias("parent_no"))
+    links = nodes.filter("tag = 'a'").join(items, ["page_id", "parent_no"])
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("node_no"))  # one page's menu
+    return links.select("page_id", place.cast("long").alias("place"), "text")
+
+
 @query("SELECT page_id, 'Kept ' || page_id || ' text' AS text, '# Kept ' || page_id || chr(10) || chr(10) || '[text](/x)' AS markdown FROM pages")
 def html_excluded(spark, d):
     page = F.concat(F.lit('<div class="header">h</div><div id="kt-head"><p>x</p></div><h1>Kept '), "page_id", F.lit('</h1><div class="sns kakao">s</div><a onclick="KT_trackClicks(1)" href="/y">no</a><p style="a:b;display:none">no</p><noscript>n</noscript><p><a href="/x">text</a></p><div class="popup">'), "html", F.lit("</div>"))

@@ -3,7 +3,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from loomwell.functions import dates, dom, text, urls
+from loomwell.functions import dates, dom, tables, text, urls
 from loomwell.operators import html
 
 
@@ -94,3 +94,14 @@ def test_unfinished_markup():
     assert [n.attrs for n in dom.tree("<a \">y</a><a href='/z'>w</a>").all("a")] == [{}, {"href": "/z"}]
     assert [n.text() for n in dom.tree("<a>one<a>two</a></a>").all("a")] == ["one", "two"]
     assert dom.tree("a<!-- open <p>b</p>").text() == "a" and dom.tree("<script>a<b</script>c").text() == "c"
+
+
+def test_table_functions_from_sql(spark):
+    tables.register(spark)
+    page = "<table><tr><th rowspan=2>k<th colspan=2>v<tr><td>a<td>b<tr><td>1</table><p id=x class='y z'>one <b>two</b> three<table><tr><td>q<table><tr><td>in</table></table>"
+    spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string").createOrReplaceTempView("some_pages")
+    got = [tuple(r) for r in spark.sql("SELECT id, c.* FROM some_pages, LATERAL html_cells(html) c ORDER BY 1, 2, 3, 4").collect()]
+    assert [(g[1], g[2], g[3], g[4]) for g in got] == [(0, 0, 0, "k"), (0, 0, 1, "v"), (0, 0, 2, "v"), (0, 1, 0, "k"), (0, 1, 1, "a"), (0, 1, 2, "b"), (0, 2, 0, "1"), (0, 2, 1, ""), (0, 2, 2, ""), (1, 0, 0, "q in"), (2, 0, 0, "in")]
+    assert [g[5] for g in got[:5]] == [True, True, True, True, False] and {g[0] for g in got} == {1}
+    nodes = spark.sql("SELECT n.* FROM some_pages, LATERAL html_nodes(html) n WHERE n.tag IN ('p', 'b')").collect()
+    assert [(n.tag, n.id, n.classes, n.text) for n in nodes] == [("p", "x", "y z", "one three"), ("b", None, None, "two")] and nodes[1].parent_no == nodes[0].node_no
