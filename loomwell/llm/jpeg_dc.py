@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK, ROW = 64, 1024
+#: Blocks that are coded, and restart intervals that are decoded, at once.
+SLICE = 1 << 14
 #: Rows of blocks that an image can have.
 HIGHEST = 65535 // 8
 
@@ -164,11 +166,8 @@ def _intervals(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ff = np.flatnonzero(data[:-1] == 0xFF)
     after = data[ff + 1]
     marks = ff[(after >= 0xD0) & (after <= 0xD7)]
-    keep = np.ones(len(data), bool)
-    keep[ff[after == 0] + 1] = False
-    keep[marks], keep[marks + 1] = False, False
-    place = np.concatenate(([0], np.cumsum(keep)))
-    return data[keep], np.concatenate(([0], place[marks]))
+    gone = np.sort(np.concatenate((ff[after == 0] + 1, marks, marks + 1)))
+    return np.delete(data, gone), np.concatenate(([0], marks - np.searchsorted(gone, marks)))
 
 
 def decode(images: list[tuple[bytes, Jpeg]], whole: bool = True) -> list[dict[int, np.ndarray]]:
@@ -200,13 +199,10 @@ def _decode_group(images, out, order, dc, ac, scans, width) -> None:
         begins.append(begin + at)
         units.append(np.minimum(each, mcus - each * np.arange(len(begin))))
         at += len(data) + 8
-    stream = np.concatenate(parts).astype(np.uint32)
-    word = (stream[:-3] << 24) | (stream[1:-2] << 16) | (stream[2:-1] << 8) | stream[3:]
+    whole = np.concatenate(parts)
     begin, unit, per = np.concatenate(begins), np.concatenate(units).astype(np.int64) * len(order), len(order)
     base = np.cumsum(unit) - unit  # first block of each lane
     value = np.zeros((int(unit.sum()), width), np.int16)
-    lane = np.arange(len(begin))
-    pos, block, k, last = begin * 8, np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int32), np.zeros((len(begin), max(order) + 1), np.int64)
     luts = {}
     for table in {*dc, *ac}:
         luts[table] = huffman(table)[:2]
@@ -214,58 +210,65 @@ def _decode_group(images, out, order, dc, ac, scans, width) -> None:
     # symbol and code length of the next 16 bits in one number, table after table
     lookup = np.concatenate([(luts[t][0] << 8 | luts[t][1]).astype(np.int32) for t in luts])
     dc_of, ac_of, component = np.array([table_ids[t] for t in dc]), np.array([table_ids[t] for t in ac]), np.array(order)
-    limit = len(word)
-    while len(lane):
-        unit_at = block % per if per > 1 else 0
-        first = k == 0
-        at = pos >> 3
-        if at.max() >= limit:
-            raise ValueError("a scan is cut off")
-        bits = word[at] << (pos & 7).astype(np.uint32)
-        next16 = (bits >> np.uint32(16)).astype(np.int32)
-        any_first, any_later = first.any(), not first.all()
-        if per > 1 or any_first and any_later:
-            entry = lookup[np.where(first, dc_of[unit_at], ac_of[unit_at]) * 65536 + next16]
-        else:  # all lanes use the same table
-            which = int(dc_of[0] if any_first else ac_of[0]) * 65536
-            entry = lookup[which : which + 65536][next16]
-        symbol, length = entry >> 8, entry & 255
-        if not length.all():
-            raise ValueError("a scan has no such code")
-        size = symbol & 15
-        if int((length + size).max()) > 24:
-            after = pos + length
-            bits = word[after >> 3] << (after & 7).astype(np.uint32)
-        else:
-            bits <<= length.astype(np.uint32)
-        raw = ((bits >> np.uint32(16)) >> (16 - size).astype(np.uint32)).astype(np.int32)
-        pos += length + size
-        number = np.where((raw << 1) >> size > 0, raw, raw - (1 << size) + 1)  # no bits: 0
-        run = symbol >> 4
-        where = base[lane] + block
-        if any_first:
-            c = component[unit_at] if per > 1 else component[0]
-            f = np.flatnonzero(first)
-            cf = c[f] if per > 1 else c
-            last[lane[f], cf] += number[f]
-            value[where[f], 0] = last[lane[f], cf]
-        if any_later:
-            end = (symbol == 0) & ~first
-            to = np.where(first, 0, k + run)
-            if width > 1:
-                set_ = np.flatnonzero(~first & (size > 0))
-                if (to[set_] > 63).any():
-                    raise ValueError("a block has more than 64 coefficients")
-                value[where[set_], to[set_]] = number[set_]
-            k = np.where(first, 1, np.where(end, 64, to + 1))
-        else:
-            k = np.ones_like(k)
-        done = k >= 64
-        if done.any():
-            block, k = block + done, np.where(done, 0, k)
-            left = block < unit[lane]
-            if not left.all():
-                lane, pos, block, k = lane[left], pos[left], block[left], k[left]
+    all_begin, all_unit, all_base = np.append(begin, len(whole) - 8), unit, base
+    for s in range(0, len(unit), SLICE):  # what the lanes' steps need grows with the slice, not with the image
+        lo, hi = int(all_begin[s]), int(all_begin[min(s + SLICE, len(all_unit))])
+        begin, unit, base = all_begin[s : s + SLICE][: len(all_unit) - s] - lo, all_unit[s : s + SLICE], all_base[s : s + SLICE]
+        stream = whole[lo : hi + 8].astype(np.uint32)
+        word = (stream[:-3] << 24) | (stream[1:-2] << 16) | (stream[2:-1] << 8) | stream[3:]
+        lane, limit = np.arange(len(begin)), len(word)
+        pos, block, k, last = begin * 8, np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int32), np.zeros((len(begin), max(order) + 1), np.int64)
+        while len(lane):
+            unit_at = block % per if per > 1 else 0
+            first = k == 0
+            at = pos >> 3
+            if at.max() >= limit:
+                raise ValueError("a scan is cut off")
+            bits = word[at] << (pos & 7).astype(np.uint32)
+            next16 = (bits >> np.uint32(16)).astype(np.int32)
+            any_first, any_later = first.any(), not first.all()
+            if per > 1 or any_first and any_later:
+                entry = lookup[np.where(first, dc_of[unit_at], ac_of[unit_at]) * 65536 + next16]
+            else:  # all lanes use the same table
+                which = int(dc_of[0] if any_first else ac_of[0]) * 65536
+                entry = lookup[which : which + 65536][next16]
+            symbol, length = entry >> 8, entry & 255
+            if not length.all():
+                raise ValueError("a scan has no such code")
+            size = symbol & 15
+            if int((length + size).max()) > 24:
+                after = pos + length
+                bits = word[after >> 3] << (after & 7).astype(np.uint32)
+            else:
+                bits <<= length.astype(np.uint32)
+            raw = ((bits >> np.uint32(16)) >> (16 - size).astype(np.uint32)).astype(np.int32)
+            pos += length + size
+            number = np.where((raw << 1) >> size > 0, raw, raw - (1 << size) + 1)  # no bits: 0
+            run = symbol >> 4
+            where = base[lane] + block
+            if any_first:
+                c = component[unit_at] if per > 1 else component[0]
+                f = np.flatnonzero(first)
+                cf = c[f] if per > 1 else c
+                last[lane[f], cf] += number[f]
+                value[where[f], 0] = last[lane[f], cf]
+            if any_later:
+                end = (symbol == 0) & ~first
+                to = np.where(first, 0, k + run)
+                if width > 1:
+                    set_ = np.flatnonzero(~first & (size > 0))
+                    if (to[set_] > 63).any():
+                        raise ValueError("a block has more than 64 coefficients")
+                    value[where[set_], to[set_]] = number[set_]
+                k = np.where(first, 1, np.where(end, 64, to + 1))
+            else:
+                k = np.ones_like(k)
+            done = k >= 64
+            if done.any():
+                block, k = block + done, np.where(done, 0, k)
+                left = block < unit[lane]
+                if not left.all():
+                    lane, pos, block, k = lane[left], pos[left], block[left], k[left]
     at = 0
     for i, _, mcus in scans:
         blocks = value[at : at + mcus * per].reshape(mcus, per, width)
@@ -383,27 +386,39 @@ def blocks_wide(n: int) -> int:
     return max(min(n, ROW), -(-n // HIGHEST))
 
 
+def _marked(data: np.ndarray, begin: np.ndarray) -> bytes:
+    """Blocks' bytes, each with a restart marker behind it; the first block's number in its image is a multiple of 8."""
+    n, lo = len(begin) - 1, int(begin[0])
+    scan = np.zeros(int(begin[-1]) - lo + 2 * n, np.uint8)
+    scan[np.arange(int(begin[-1]) - lo) + 2 * np.repeat(np.arange(n), np.diff(begin))] = data[lo : int(begin[-1])]
+    marks = begin[1:] - lo + 2 * np.arange(n)
+    scan[marks], scan[marks + 1] = 0xFF, 0xD0 + np.arange(n) % 8
+    return scan.tobytes()
+
+
 def store(payloads: list[bytes]) -> list[bytes]:
     """A JPEG for each payload, a positive multiple of 64 bytes long."""
     counts = [len(p) // BLOCK for p in payloads]
     padded = [-(-n // blocks_wide(n)) * blocks_wide(n) for n in counts]
     joined = b"".join(p + bytes(BLOCK * (m - n)) for p, n, m in zip(payloads, counts, padded, strict=True))
-    data, begin = _entropy(np.frombuffer(joined, np.uint8).reshape(-1, BLOCK))
+    blocks = np.frombuffer(joined, np.uint8).reshape(-1, BLOCK)
+    coded, begins, size = [], [np.zeros(1, np.int64)], 0
+    for s in range(0, len(blocks), SLICE):
+        part, begin = _entropy(blocks[s : s + SLICE])
+        coded.append(part)
+        begins.append(begin[1:] + size)
+        size += len(part)
+    data, begin = np.concatenate(coded), np.concatenate(begins)
     dc, ac = _codes()[:2]
     tables = b"\xff\xdb\x00\x43\x00" + b"\x01" * 64 + b"".join(b"\xff\xc4" + struct.pack(">HB", 3 + len(t), k) + t for k, t in ((0x00, dc), (0x10, ac))) + b"\xff\xdd\x00\x04\x00\x01\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00"
     # restart markers: two bytes after each block but an image's last
     out, at = [], 0
     for n, m in zip(counts, padded, strict=True):
-        lo = begin[at : at + m + 1]
-        scan = np.zeros(int(lo[-1] - lo[0]) + 2 * (m - 1), np.uint8)
-        index = np.arange(int(lo[-1] - lo[0])) + 2 * np.repeat(np.arange(m), np.diff(lo))
-        scan[index] = data[lo[0] : lo[-1]]
-        marks = lo[1:-1] - lo[0] + 2 * np.arange(m - 1)
-        scan[marks], scan[marks + 1] = 0xFF, 0xD0 + np.arange(m - 1) % 8
+        scan = b"".join(_marked(data, begin[at + s : at + min(s + SLICE, m) + 1]) for s in range(0, m, SLICE))[:-2]
         wide = blocks_wide(n)
         comment = b"bytes=%d" % (n * BLOCK)
         frame = struct.pack(">HBHHBBBB", 11, 8, 8 * (m // wide), 8 * wide, 1, 1, 0x11, 0)
-        out.append(b"\xff\xd8\xff\xfe" + struct.pack(">H", 2 + len(comment)) + comment + b"\xff\xc0" + frame + tables + scan.tobytes() + b"\xff\xd9")
+        out.append(b"\xff\xd8\xff\xfe" + struct.pack(">H", 2 + len(comment)) + comment + b"\xff\xc0" + frame + tables + scan + b"\xff\xd9")
         at += m
     return out
 

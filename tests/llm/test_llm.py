@@ -683,6 +683,21 @@ def test_jpeg_segments_behind_a_scan():
         assert found[0].astype(np.uint8).tobytes()[: len(payload)] == payload
 
 
+def test_jpeg_of_long_texts_takes_bounded_memory():
+    """A text in more than one slice: the same bytes, and memory of some times the text, not of a hundred."""
+    import tracemalloc
+
+    payload = jpeg_dc.payload_of("".join(chr(32 + i * i % 90) for i in range(2_500_000)))
+    tracemalloc.start()
+    files = jpeg_dc.store([payload])
+    (read, _), *_ = jpeg_dc.load(files)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert read == payload and most < 20 * len(payload) + 60_000_000, most / len(payload)
+    small = payload[: 64 * 40_000]
+    assert jpeg_dc.load(jpeg_dc.store([small, payload[:64], small]))[2][0] == small
+
+
 def test_jpeg_of_long_texts():
     for n in (1, 1024, 1025, 1024 * 8191, 1024 * 8191 + 1, 2**31 // 64):
         wide = jpeg_dc.blocks_wide(n)
