@@ -154,10 +154,28 @@ RULES = [
 CC_PARTS = {"BY": "Attribution", "BY-NC": "Attribution-NonCommercial", "BY-SA": "Attribution-ShareAlike", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 CC_VERSIONS = {"4.0": "International", "3.0": "Unported"}
 
+# Names by which projects refer to a licence, and the sentences that they do it in.
+NAMES = {
+    "MIT": ("MIT", "MIT (MIT)"), "Apache-2.0": ("Apache 2.0", "Apache License 2.0", "Apache License, Version 2.0", "Apache-2.0"),
+    "BSD-3-Clause": ("BSD 3-Clause", "3-Clause BSD", "New BSD"), "BSD-2-Clause": ("BSD 2-Clause", "2-Clause BSD", "Simplified BSD"),
+    "GPL-3.0-only": ("GPL-3.0", "GPLv3", "GNU GPLv3", "GNU General Public License v3.0"), "GPL-2.0-only": ("GPL-2.0", "GPLv2", "GNU GPLv2", "GNU General Public License v2.0"),
+    "LGPL-3.0-only": ("LGPL-3.0", "LGPLv3"), "AGPL-3.0-only": ("AGPL-3.0", "AGPLv3"), "MPL-2.0": ("MPL-2.0", "Mozilla Public License 2.0"), "ISC": ("ISC",), "BSL-1.0": ("Boost Software", "BSL-1.0"), "Unlicense": ("Unlicense",), "Zlib": ("zlib",),
+}
+FRAMES = (
+    "This project is licensed under the {} License", "This project is licensed under the {} License - see the LICENSE file for details", "This project is licensed under the {} License - see the LICENSE.md file for details",
+    "This project is licensed under the {} License - see the [LICENSE](LICENSE) file for details", "This software is licensed under the {} License", "This software is released under the {} License",
+    "Licensed under the {} License", "Released under the {} License", "Distributed under the {} License", "Available under the {} License", "License: {}", "The {} License",
+)
+#: The same without the last word, for names that have it in them.
+BARE_FRAMES = ("Licensed under {}", "Licensed under the {}", "Released under the {}", "Distributed under the {}", "This project is licensed under the {}")
+#: Deprecated identifiers of the SPDX list, and the two licences that projects offer as a choice most.
+OLD_TAGS = {"GPL-2.0": "GPL-2.0-only", "GPL-2.0+": "GPL-2.0-or-later", "GPL-3.0": "GPL-3.0-only", "GPL-3.0+": "GPL-3.0-or-later", "LGPL-2.1": "LGPL-2.1-only", "LGPL-2.1+": "LGPL-2.1-or-later", "LGPL-3.0": "LGPL-3.0-only", "LGPL-3.0+": "LGPL-3.0-or-later", "AGPL-3.0": "AGPL-3.0-only"}
+CHOICES = (("MIT", "Apache-2.0"), ("Apache-2.0", "MIT"), ("MIT", "GPL-2.0-only"), ("GPL-2.0-only", "MIT"), ("BSD-3-Clause", "GPL-2.0-only"), ("MIT", "Unlicense"), ("Unlicense", "MIT"))
+
 
 def _spelled(sentence: str) -> str:
-    """A published sentence as texts are normalised: lower case, runs of other characters than letters and digits as one space."""
-    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+    """A published sentence as texts are normalised: lower case, a plus sign as a word, runs of other characters than letters and digits as one space."""
+    return re.sub("[^a-z0-9]+", " ", sentence.lower().replace("+", " plus ")).strip()
 
 
 def _generated() -> tuple[list[tuple[str, str]], list[tuple[str, tuple[str, ...]]]]:
@@ -173,10 +191,27 @@ def _generated() -> tuple[list[tuple[str, str]], list[tuple[str, tuple[str, ...]
         sid = f"SPDX{_spelled(licence).replace(' ', '')}"
         sentences.append((sid, f"SPDX-License-Identifier: {licence}"))
         rules.append((licence, (sid,)))
+    for licence, names in NAMES.items():
+        sid = f"NAME{_spelled(licence).replace(' ', '')}"
+        for name in names:
+            plain = name.removesuffix(" (MIT)")
+            named = [f.replace("{} License", "{} License (MIT)").format(plain) if plain != name else f.format(name) for f in FRAMES]
+            sentences += [(sid, x) for x in [*named, *(f.format(name) for f in BARE_FRAMES)]]
+        rules.append((licence, (sid,)))
+    for old, licence in OLD_TAGS.items():
+        sid = f"SPDXOLD{_spelled(old).replace(' ', '')}"
+        sentences.append((sid, f"SPDX-License-Identifier: {old}"))
+        rules.append((licence, (sid,)))
+    for one, other in CHOICES:
+        for word in ("OR", "AND"):
+            sid = f"SPDX{_spelled(f'{one} {word} {other}').replace(' ', '')}"
+            sentences.append((sid, f"SPDX-License-Identifier: {one} {word} {other}"))
+            rules.append((f"{one} {word} {other}", (sid,)))
     return sentences, rules
 
 
-SENTENCES = [(sid, _spelled(text)) for sid, text in PUBLISHED + _generated()[0]]
+#: Of sentences that are spelled alike the first counts.
+SENTENCES = [(sid, text) for text, sid in reversed({_spelled(text): sid for sid, text in reversed(PUBLISHED + _generated()[0])}.items())]
 RULES += _generated()[1]
 
 #: A sentence ends at a line's end, or at . ! ? ; before white space or the text's end.
@@ -184,8 +219,8 @@ BREAK = r"[.!?;]+(?:[ \t\r\f\x0B]+|\n|$)|\n"
 
 
 def normalised(sentence: Column) -> Column:
-    """A lower-cased sentence's letters and digits, anything between as one space."""
-    return F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
+    """A lower-cased sentence's letters and digits, a plus sign as a word, anything between as one space."""
+    return F.trim(F.regexp_replace(F.replace(sentence, F.lit("+"), F.lit(" plus ")), "[^a-z0-9]+", " "))
 
 
 def sentence_ids(sentences: Column) -> Column:
@@ -252,7 +287,7 @@ def oracle_sql() -> str:
     return f"""
 WITH RECURSIVE known(sentence, sid) AS (VALUES {values}),
 rows AS (SELECT doc_id, row_number() OVER () AS rn, string_split_regex(lower(coalesce(text, '')), {quote(BREAK.replace(chr(92) + 'x0B', chr(92) + 'v'))}) AS parts FROM documents),
-pieces AS (SELECT doc_id, rn, list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS p FROM rows),
+pieces AS (SELECT doc_id, rn, list_filter(list_transform(parts, lambda x: trim(regexp_replace(replace(x, '+', ' plus '), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS p FROM rows),
 -- only texts that have a known sentence, wherever it is broken
 likely AS (SELECT rn, p FROM pieces WHERE EXISTS (SELECT 1 FROM known WHERE contains(array_to_string(p, ' '), sentence))),
 starts AS (SELECT rn, p, unnest(range(1, len(p) + 1)) AS start FROM likely),

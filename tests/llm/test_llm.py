@@ -584,6 +584,23 @@ MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Pub
 License, v. 2.0. If a copy of the MPL was not distributed with this file, go on."""
 
 
+# as projects write them, with what they mean; the last ones refer to no licence
+REFERENCES = [
+    ("This project is licensed under the MIT License - see the LICENSE file for details", "MIT"), ("This project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.", "MIT"),
+    ("/* SPDX-License-Identifier: MIT OR Apache-2.0 */", "MIT OR Apache-2.0"), ("# SPDX-License-Identifier: GPL-2.0+", "GPL-2.0-or-later"), ("// SPDX-License-Identifier: GPL-2.0", "GPL-2.0-only"),
+    ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause"), ("Licensed under the Apache License 2.0", "Apache-2.0"), ("The MIT License (MIT)", "MIT"), ("The MIT License", "MIT"), ("## License: GPLv3", "GPL-3.0-only"),
+    ("Distributed under the Boost Software License. See it.", "BSL-1.0"), ("Released under the 2-Clause\nBSD License", "BSD-2-Clause"), ("Licensed under the Apache License, Version 2.0", "Apache-2.0"), ("This software is released under the ISC license!", "ISC"),
+    ("Our licence is none of these", ""), ("The MIT campus has a license office", ""), ("c++ and MIT", ""),
+]
+
+
+def test_licences_as_projects_name_them(spark, tmp_path):
+    docs_of(spark, ["Read me.\n\n" + text + "\nMore text here." for text, _ in REFERENCES]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(queries.QUERIES["op10_license_scan"](spark, str(tmp_path)))
+    assert [(text, got[i].licenses) for i, (text, _) in enumerate(REFERENCES)] == REFERENCES
+    same(queries.QUERIES["op10_license_scan"](spark, str(tmp_path)), queries.ORACLE_SQL["op10_license_scan"], str(tmp_path))
+
+
 def test_wrapped_licences(spark):
     texts = [MIT_NOTICE, BSD_NOTICE, GPL_NOTICE, " * " + GPL_NOTICE.replace("\n", "\r\n * "), MPL_NOTICE, "licensed under the\nmit licence"]
     got = by_id(license_rules.license_scan(docs_of(spark, texts)))
