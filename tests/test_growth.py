@@ -1,7 +1,10 @@
 """Queries against their SQL on odd rows, and what they hold and move as their tables grow."""
 
-from loomwell.functions import dom
-from loomwell.operators import html
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from loomwell.functions import batches, dom
+from loomwell.operators import chunks, html
 from loomwell.plans.catalogue import ORACLE_SQL, QUERIES
 from tests.harness import same
 
@@ -16,3 +19,16 @@ def test_html_parts_decodes_what_its_sql_does(spark, tmp_path):
     same(QUERIES["html_parts"](spark, str(tmp_path)), ORACLE_SQL["html_parts"], str(tmp_path))
     assert [r.title for r in html.structured(rows).orderBy("page_id").collect()] == ['a "b', "the&&& end&", "x <y> &lt; © A"]
     assert dom.tree("<script>1 &amp;& 2</script>", references=False).first("script").children == ["1 &amp;& 2"]
+
+
+def test_python_helpers_hold_a_part_of_a_batch(spark):
+    texts = pa.array(["x" * 400_000, None, "y" * 3_000_000, *["z" * 1000] * 5000])
+    cut = list(batches.parts(texts))
+    assert pa.chunked_array(cut).to_pylist() == texts.to_pylist() and all(len(p) == 1 or p.nbytes <= batches.MOST for p in cut) and len(cut) > 5
+    sizes = batches.text_udf(lambda t: len(t), "int", pa.int32())
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 > 0, F.repeat(F.lit("word. "), F.col("id").cast("int"))).alias("text"))
+    assert [r.n for r in docs.orderBy("doc_id").select(sizes("text").alias("n")).collect()] == [6 * i if i % 7 else None for i in range(3000)]
+    got = chunks.chunk_documents(docs, target=200, cap=800).groupBy("doc_id").agg(F.count("chunk").alias("n"), F.max("total_chunks").alias("t"))
+    assert {r.doc_id: r.n for r in got.collect() if r.n == r.t} == {i: len(chunks.chunked("word. " * i, 200, 800)) for i in range(1, 3000) if i % 7}
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://h/").alias("url"), F.concat(F.lit("<h1>t</h1><p>"), "text").alias("html"))
+    assert {r.page_id: len(r.text) for r in html.structured(pages).filter("page_id % 500 = 1").select("page_id", "text").collect()} == {i: 1 + 6 * i if i % 7 else 0 for i in range(1, 3000, 500)}
