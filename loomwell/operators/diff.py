@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwell.functions.batches import row_udf
 from loomwell.functions.text import canonical_json, comparable
 from loomwell.operators.sequence import last_wins
 
@@ -194,9 +195,10 @@ def metadata_changes(pairs: DataFrame, keys: tuple[str, ...] | None = METADATA_K
     Equal texts are left out before any is parsed; text that isn't a JSON object has no differences.
     """
 
-    @F.pandas_udf(f"array<struct<{METADATA_CHANGE.replace(' string', ':string').replace(' int', ':int')}>>")
-    def found(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_metadata_changes(x, y, keys) for x, y in zip(a, b, strict=True)], dtype=object)
+    names = [c.split() for c in METADATA_CHANGE.split(", ")]
+    kind = pa.list_(pa.struct([(n, pa.string() if t == "string" else pa.int32()) for n, t in names]))
+
+    found = row_udf(lambda x, y: _metadata_changes(x, y, keys), "array<struct<" + ",".join(f"{n}:{t}" for n, t in names) + ">>", kind)
 
     differing = pairs.filter(~F.col(old).eqNullSafe(F.col(new)))
     return differing.select("object_key", F.inline(found(F.col(old), F.col(new))))
