@@ -20,23 +20,29 @@ whose batch the store already has changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwell.functions.batches import parts
 from loomwell.operators import versions
 from loomwell.operators.chunks import chunk_documents
 from loomwell.operators.retrieval import _okapi, best, cosine, query_terms, tokens
-from loomwell.operators.sequence import first_wins, numbered
+from loomwell.operators.sequence import first_wins
 from loomwell.operators.versions import Conflict, Version
 from loomwell.sources.shared import shared_path, written
 
 __all__ = ["Conflict", "written"]
 
 POINT = "id string, original_id string, chunk_index int, total_chunks int, title string, content string, vector array<float>, segment int"
-DOC = "id string, field string, dl int, terms array<struct<term:string,tf:int>>, segment int"
+DOC = "id string, field string, dl int, longest int, terms array<string>, tfs array<int>, segment int"
 BLOCK = "term string, field string, block long, ids array<string>, tfs array<int>, dls array<int>, max_tf int, min_dl int, segment int"
 TERM, FACT, GONE = "term string, field string, df long", "field string, n long, total long", "id string, segment int"
 FAILURE = "id string, reason string, segment int"
@@ -53,7 +59,10 @@ def create(spark: SparkSession, path: str) -> None:
 def known(docs: DataFrame) -> DataFrame:
     """The documents (id, title, content) that have an id, each id once."""
     rows = docs.select(F.col("id").cast("string").alias("id"), F.col("title").cast("string").alias("title"), F.col("content").cast("string").alias("content"))
-    return first_wins(rows.filter("id is not null"), ["id"], [])
+    rows = rows.filter("id is not null")
+    # only rows of repeated ids are put together, so that the other texts stay where they are
+    repeated = written(rows.groupBy("id").count().filter("count > 1").select("id"), "repeated")
+    return rows.join(repeated, "id", "left_anti").unionByName(first_wins(rows.join(repeated, "id", "left_semi"), ["id"], []))
 
 
 def _live(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
@@ -66,34 +75,101 @@ def _table(spark: SparkSession, path: str, version: Version, name: str, schema:
     return versions.rows(spark, path, version, name, schema)
 
 
+def _last_gone(version: Version, gone: str) -> int:
+    """The last segment that replaces rows: only those before it can have rows that are replaced."""
+    return max((x["number"] for x in version.segments if gone in x["tables"]), default=0)
+
+
+def _live_table(spark: SparkSession, path: str, version: Version, name: str, schema: str, gone: str, key: str) -> DataFrame:
+    """A table's live rows. Segments that none comes after are read as they are, without a join."""
+    last = _last_gone(version, gone)
+    some = lambda old: Version(version.number, [x for x in version.segments if (x["number"] < last) == old])
+    newer = _table(spark, path, some(False), name, schema)
+    if not any(name in x["tables"] for x in some(True).segments):
+        return newer
+    return newer.unionByName(_live(_table(spark, path, some(True), name, schema), _table(spark, path, version, gone, GONE), key))
+
+
 def documents(spark: SparkSession, path: str, version: Version | None = None) -> DataFrame:
-    """The live documents' terms: id, field, dl, terms, segment."""
-    version = version or versions.current(spark, path)
-    return _live(_table(spark, path, version, "docs", DOC), _table(spark, path, version, "gone", GONE))
+    """The live documents' terms: id, field, dl, longest (field's dl), terms, their counts tfs, segment."""
+    return _live_table(spark, path, version or versions.current(spark, path), "docs", DOC, "gone", "id")
 
 
 def _counted(docs: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
     """What documents add to the statistics of terms and of fields, or take from them."""
     one = F.lit(sign).cast("long")
-    terms = docs.select("field", F.explode("terms.term").alias("term")).groupBy("term", "field").agg(F.sum(one).alias("df"))
+    terms = docs.select("field", F.explode("terms").alias("term")).groupBy("term", "field").agg(F.sum(one).alias("df"))
     return terms, docs.groupBy("field").agg(F.sum(one).alias("n"), F.sum(one * F.col("dl")).alias("total"))
 
 
+def _term_counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Of each list of words its distinct terms and their counts."""
+    for whole in batches:
+        for words in parts(whole):
+            flat = words.flatten().dictionary_encode()
+            size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(words)), size)
+            key, first, count = np.unique(row * max(len(flat.dictionary), 1) + flat.indices.to_numpy(), return_index=True, return_counts=True)
+            ends = pa.array(np.searchsorted(row[first], np.arange(len(words) + 1)), pa.int32())
+            terms = pa.ListArray.from_arrays(ends, flat.dictionary.take(flat.indices.take(pa.array(first))))
+            yield pa.StructArray.from_arrays([terms, pa.ListArray.from_arrays(ends, pa.array(count, pa.int32()))], ["terms", "tfs"])
+
+
+def _block(rows: pa.Table, number: int) -> pa.RecordBatch:
+    """The postings of some documents: a row for each term and field."""
+    rows = rows.combine_chunks()
+    terms, tfs, field = rows["terms"].combine_chunks(), rows["tfs"].combine_chunks().flatten().to_numpy(), rows["field"].combine_chunks().dictionary_encode()
+    flat = terms.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(rows)), pc.list_value_length(terms).to_numpy())
+    term, kind = flat.indices.to_numpy(), field.indices.to_numpy()[row]
+    order = np.argsort(term.astype(np.int64) * len(field.dictionary) + kind, kind="stable")  # rows stay in order
+    term, kind, row, tfs = term[order], kind[order], row[order], tfs[order]
+    begin = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (kind[1:] != kind[:-1])))) if len(term) else np.zeros(0, np.int64)
+    dls, n = rows["dl"].to_numpy()[row], len(begin)
+    ends = pa.array(np.append(begin, len(term)), pa.int32())
+    listed = lambda values: pa.ListArray.from_arrays(ends, values)
+    most, least = (np.maximum.reduceat(tfs, begin), np.minimum.reduceat(dls, begin)) if n else (tfs, dls)
+    return pa.RecordBatch.from_arrays(
+        [flat.dictionary.take(pa.array(term[begin])), field.dictionary.take(pa.array(kind[begin])), pa.array(np.full(n, number), pa.int64()), listed(rows["id"].combine_chunks().take(pa.array(row))), listed(pa.array(tfs, pa.int32())), listed(pa.array(dls, pa.int32())), pa.array(most, pa.int32()), pa.array(least, pa.int32()), pa.array(np.full(n, rows["segment"][0].as_py()), pa.int32())],
+        _names(BLOCK),
+    )
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a task's documents, which come in order; a task holds one block of them."""
+    task, held, seen, last = TaskContext.get().partitionId() << 32, [], -1, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch["id"]
+        new = np.concatenate(([ids[0].as_py() != last], pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)))
+        of, last = (seen + np.cumsum(new)) // PER_BLOCK, ids[-1].as_py()
+        for lo, hi in itertools.pairwise([0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]):
+            if held and held[-1][0] != of[lo]:
+                yield _block(pa.Table.from_batches([b for _, b in held]), task + int(held[-1][0]))
+                held.clear()
+            held.append((of[lo], batch.slice(lo, hi - lo)))
+        seen += int(new.sum())
+    if held:
+        yield _block(pa.Table.from_batches([b for _, b in held]), task + int(held[-1][0]))
+
+
 def _index(docs: DataFrame, path: str, segment: dict, replaced: DataFrame | None) -> None:
-    """The blocks and statistics of a segment whose documents are written."""
-    long = docs.groupBy("id").agg(F.max("dl").alias("dl"))
-    # documents of like length share a block, which makes the bound of its scores a close one
-    where = numbered(long, ["dl", "id"]).select("id", F.floor(F.col("n") / PER_BLOCK).alias("block"))
-    posted = docs.join(where, "id").select("block", "field", "id", "dl", "segment", F.explode("terms").alias("t"))
-    each = F.array_sort(F.collect_list(F.struct("id", F.col("t.tf").alias("tf"), "dl")))
-    blocks = posted.groupBy(F.col("t.term").alias("term"), "field", "block", "segment").agg(each.alias("p"), F.max("t.tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-    blocks = blocks.select("term", "field", "block", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), "max_tf", "min_dl", "segment")
-    versions.put(blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), path, segment, "blocks")
+    """The blocks and statistics of a segment whose documents are written.
+
+    Documents go in ranges of their length, so that those of like length share a
+    block, which makes the bound of its scores a close one. A document's rows have
+    one key, so they come together, and move once; postings are made where they are.
+    """
+    ranged = docs.repartitionByRange("longest", "id").sortWithinPartitions("longest", "id", "field")
+    blocks = ranged.mapInArrow(_blocks, BLOCK)
+    # a search looks for terms in the files' row groups
+    versions.put(blocks.sortWithinPartitions("term", "block"), path, segment, "blocks")
     terms, facts = _counted(docs, 1)
     if replaced is not None:
         less_terms, less_facts = _counted(replaced, -1)
         terms, facts = terms.unionByName(less_terms), facts.unionByName(less_facts)
-    versions.put(terms.groupBy("term", "field").agg(F.sum("df").alias("df")).filter("df <> 0").repartitionByRange("term").sortWithinPartitions("term"), path, segment, "terms")
+    versions.put(terms.groupBy("term", "field").agg(F.sum("df").alias("df")).filter("df <> 0").sortWithinPartitions("term"), path, segment, "terms")
     versions.put(facts.groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), path, segment, "facts")
 
 
@@ -104,11 +180,13 @@ def index_texts(docs: DataFrame, path: str, fields: tuple[str, ...] = ("title",
         return version
     segment = versions.new_segment(version, batch and f"texts:{batch}")
     number = F.lit(segment["number"])
-    words = known(docs).select("id", F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), tokens(F.col(f)))])).alias("field", "words"))
-    counted = words.select("id", "field", F.size("words").alias("dl"), F.explode_outer("words").alias("term")).groupBy("id", "field", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    words = known(docs).select("id", *[tokens(F.col(f)).alias(f) for f in fields])
+    longest = F.greatest(*[F.size(f) for f in fields]) if len(fields) > 1 else F.size(fields[0])
     # a field without words keeps a row, so that it counts among the documents and in their mean length
-    terms = F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))))
-    new = versions.put(counted.groupBy("id", "field", "dl").agg(terms.alias("terms")).withColumn("segment", number).repartitionByRange("id").sortWithinPartitions("id"), path, segment, "docs")
+    each = words.select("id", longest.alias("longest"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in fields])).alias("f"))
+    counts = F.arrow_udf(_term_counts, "terms array<string>, tfs array<int>")
+    counted = each.select("id", "f.field", F.size("f.words").alias("dl"), "longest", counts("f.words").alias("c"))
+    new = versions.put(counted.select("id", "field", "dl", "longest", "c.terms", "c.tfs", number.alias("segment")), path, segment, "docs")
     if new.isEmpty():
         return version
     replaced = None
@@ -147,11 +225,12 @@ def searched(spark: SparkSession, path: str, query: str, boosts: dict[str, float
     # a row for each term of the query and field
     stats = {(r.term, r.field): (r.df, r.n, r.total / r.n) for r in counted.join(facts, "field").filter("df > 0 and n > 0").collect()}
     blocks = _table(spark, path, version, "blocks", BLOCK).filter(asked)
-    gone = _table(spark, path, version, "gone", GONE) if any("gone" in s["tables"] for s in version.segments) else None
+    gone, last = _table(spark, path, version, "gone", GONE) if any("gone" in s["tables"] for s in version.segments) else None, _last_gone(version, "gone")
 
     def scores(some: DataFrame) -> DataFrame:
         each = some.select("term", "field", "segment", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p")).select("term", "field", "segment", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
-        each = _live(each, gone) if gone is not None else each
+        if gone is not None:
+            each = each.filter(F.col("segment") >= last).unionByName(_live(each.filter(F.col("segment") < last), gone))
         return each.select("id", _bound(F.col("tf"), F.col("dl"), stats, boosts, k1, b).alias("s")).groupBy("id").agg(F.sum("s").alias("score")).filter("score > 0")
 
     if k is None:
@@ -181,8 +260,7 @@ def _names(schema: str) -> list[str]:
 
 def points(spark: SparkSession, path: str, version: Version | None = None) -> DataFrame:
     """The live points."""
-    version = version or versions.current(spark, path)
-    return _live(_table(spark, path, version, "points", POINT), _table(spark, path, version, "gone_points", GONE), "original_id")
+    return _live_table(spark, path, version or versions.current(spark, path), "points", POINT, "gone_points", "original_id")
 
 
 def upsert_points(docs: DataFrame, path: str, embed: Callable[[Column], Column], dimension: int, target: int = 2000, cap: int = 8000, batch: str | None = None) -> DataFrame:
@@ -235,7 +313,7 @@ def merge(spark: SparkSession, path: str) -> Version:
         return version
     segment = versions.new_segment(version) | {"batches": sorted(version.batches)}
     number = F.lit(segment["number"])
-    docs = versions.put(documents(spark, path, version).withColumn("segment", number).repartitionByRange("id").sortWithinPartitions("id"), path, segment, "docs")
+    docs = versions.put(documents(spark, path, version).withColumn("segment", number), path, segment, "docs")
     _index(docs, path, segment, None)
     versions.put(points(spark, path, version).withColumn("segment", number), path, segment, "points")
     versions.put(_table(spark, path, version, "failures", FAILURE), path, segment, "failures")

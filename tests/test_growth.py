@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomwell.functions import batches, dom
-from loomwell.operators import chunks, html
+from loomwell.operators import chunks, html, retrieval, store, versions
 from loomwell.plans.catalogue import ORACLE_SQL, QUERIES
 from tests.harness import same
 
@@ -32,3 +32,17 @@ def test_python_helpers_hold_a_part_of_a_batch(spark):
     assert {r.doc_id: r.n for r in got.collect() if r.n == r.t} == {i: len(chunks.chunked("word. " * i, 200, 800)) for i in range(1, 3000) if i % 7}
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://h/").alias("url"), F.concat(F.lit("<h1>t</h1><p>"), "text").alias("html"))
     assert {r.page_id: len(r.text) for r in html.structured(pages).filter("page_id % 500 = 1").select("page_id", "text").collect()} == {i: 1 + 6 * i if i % 7 else 0 for i in range(1, 3000, 500)}
+
+
+def test_an_upload_moves_its_documents_once(spark):
+    """Postings are made where a block's documents are: what is shuffled is the documents' terms, not each posting."""
+    path = store.new_store(spark)
+    docs = spark.range(400).select(F.col("id"), F.lit(None).cast("string").alias("title"), F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(500))) for i in range(60)]).alias("content"))
+    store.index_texts(docs.unionByName(docs.filter("id % 50 = 0")), path)
+    version = versions.current(spark, path)
+    blocks = store._table(spark, path, version, "blocks", store.BLOCK)
+    assert blocks.selectExpr("sum(size(ids))").first()[0] == store.documents(spark, path).selectExpr("sum(size(terms))").first()[0] > 20_000
+    assert blocks.filter("size(ids) <> size(tfs) or array_max(tfs) <> max_tf or array_min(dls) <> min_dl or size(ids) > 128").isEmpty()
+    assert "Generate" not in blocks._jdf.queryExecution().toString() and store.documents(spark, path)._jdf.queryExecution().toString().count("Join") == 0
+    found = {(r.id, round(r.score, 9)) for r in store.search_texts(spark, path, "w7 w8", {"title": 2.0, "content": 1.0}, None, 0.0).collect()}
+    assert found == {(str(r.id), round(r.score, 9)) for r in retrieval.bm25(docs, "w7 w8", {"title": 2.0, "content": 1.0}, None, 0.0).collect()}
