@@ -55,21 +55,24 @@ def array_items(spark: SparkSession, path: str) -> DataFrame:
     # the last piece of a file has no } behind it, unless the bytes say that it has
     ends_of = pieces.groupBy("file").agg(F.max(F.struct("start", "row")).alias("end"), (F.sum(F.octet_length("value") + 1) - F.first("size")).isin(1, -2).alias("short"))  # -2: the reader skips a byte order mark
     cut = F.col("short") & (F.col("start") == F.col("end.start")) & (F.col("row") == F.col("end.row"))
-    pieces = pieces.join(ends_of, "file").select("file", "start", "row", "value", cut.alias("cut"))
-    pieces = _run_sum(pieces.withColumn("bare", F.regexp_replace("value", r"(?s)\\.", "")).withColumn("quotes", F.regexp_count("bare", F.lit('"'))), "quotes", "quotes_before")
-    inside = F.col("quotes_before") % 2 == 1
-    # what stands outside of strings; a } after it does, unless a string is still open
-    outside = F.regexp_replace(F.when(inside, F.regexp_replace("bare", r'(?s)^[^"]*(?:"|$)', "")).otherwise(F.col("bare")), r'(?s)"[^"]*(?:"|$)', "")
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    # what stands outside of strings, of a piece that begins in one or not; a } after it does, unless a string is still open
+    outside = lambda x: F.regexp_replace(x, r'(?s)"[^"]*(?:"|$)', "")
+    level = lambda x: F.regexp_count(x, F.lit(r"[\[{]")) - F.regexp_count(x, F.lit(r"\]"))
+    marks = pieces.join(ends_of, "file").select("file", "start", "row", cut.alias("cut"), bare.alias("bare"))
+    marks = marks.select("file", "start", "row", "cut", F.regexp_count("bare", F.lit('"')).alias("quotes"), level(outside(F.col("bare"))).alias("level"), level(outside(F.regexp_replace("bare", r'(?s)^[^"]*(?:"|$)', ""))).alias("level_in"))
+    # a row of numbers for each piece goes through the sums, and no text
+    marks = _run_sum(written(marks, "marks"), "quotes", "quotes_before")
     closes = ((F.col("quotes_before") + F.col("quotes")) % 2 == 0) & ~F.col("cut")
-    pieces = pieces.withColumn("outside", outside).withColumn("closes", closes)
-    change = F.regexp_count("outside", F.lit(r"[\[{]")) - F.regexp_count("outside", F.lit(r"\]")) - F.col("closes").cast("int")
-    pieces = _run_sum(pieces.withColumn("change", change), "change", "depth")
+    change = F.when(F.col("quotes_before") % 2 == 1, F.col("level_in")).otherwise(F.col("level")) - closes.cast("int")
+    marks = _run_sum(marks.select("file", "start", "row", "cut", closes.alias("closes"), change.alias("change")), "change", "depth")
     # the array itself is at depth 1 once its bracket is open
     ends = F.col("closes") & (F.col("depth") + F.col("change") == 1)
-    pieces = written(_run_sum(pieces.withColumn("ends", ends.cast("int")), "ends", "group").select("file", "start", "row", "value", "cut", "group"), "placed")
-    last = pieces.agg(F.max(F.struct("file", "start", "row")).alias("at"), F.max("group").alias("group")).first()
+    placed = written(_run_sum(marks.withColumn("ends", ends.cast("int")), "ends", "group").select("file", "start", "row", "cut", "group"), "placed")
+    last = placed.agg(F.max(F.struct("file", "start", "row")).alias("at"), F.max("group").alias("group")).first()
     if last["at"] is None:
         return spark.createDataFrame([], "ord long, item string")
+    pieces = pieces.join(placed, ["file", "start", "row"])
     here = F.struct("file", "start", "row")
     is_last = (F.col("file") == last["at"].file) & (F.col("start") == last["at"].start) & (F.col("row") == last["at"].row)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(here.alias("at"), F.when(F.col("cut"), F.col("value")).otherwise(F.concat("value", F.lit("}"))).alias("v")))), lambda p: p["v"]), "")
@@ -96,28 +99,29 @@ def _parsed(items: DataFrame, schema: T.StructType) -> DataFrame:
     return items.select("ord", F.from_json("item", schema, {"mode": "FAILFAST"}).alias("d")).select("ord", "d.*")
 
 
-def read_snapshot(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT) -> DataFrame:
+def read_snapshot(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT, items: DataFrame | None = None) -> DataFrame:
     """A snapshot (one JSON array, with or without a byte order mark): its documents, numbered in ``ord``.
 
     A hierarchy may be a list, an object of levels or a scalar: ``hierarchy`` is its
     path, ``hierarchy_json`` the JSON itself. What ``array_items`` raises for raises.
+    ``items``: what ``array_items`` gave for the path, where it was read already.
     """
     open_ = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "hierarchy" else f for f in schema.fields])
-    rows = _parsed(array_items(spark, path), open_)
+    rows = _parsed(array_items(spark, path) if items is None else items, open_)
     if "hierarchy" not in rows.columns:
         return rows
     return rows.withColumn("hierarchy_json", F.col("hierarchy")).withColumn("hierarchy", hierarchy_items(F.col("hierarchy_json")))
 
 
-def read_upload(spark: SparkSession, path: str) -> DataFrame:
+def read_upload(spark: SparkSession, path: str, items: DataFrame | None = None) -> DataFrame:
     """An uploaded ``.json`` file's documents, each object with what it has; ``error`` says what is wrong with an item, null for a good one.
 
     Items that aren't objects, or have no id, stay as rows with an error. Another
-    kind of file raises.
+    kind of file raises. ``items`` as in ``read_snapshot``.
     """
     if not path.rstrip("/").lower().endswith(".json"):
         raise ValueError("only .json files can be uploaded")
-    listed = array_items(spark, path)
+    listed = array_items(spark, path) if items is None else items
     row = F.from_json("item", T.StructType([T.StructField(f.name, T.StringType()) for f in DOCUMENT.fields]))
     error = F.when(~F.coalesce(F.ltrim("item").startswith("{"), F.lit(False)), "the item is not an object").when(F.coalesce("d.docId", F.lit("")) == "", "the document has no docId")
     return listed.select("ord", "item", row.alias("d")).select("ord", "d.*", error.alias("error"))
@@ -130,8 +134,7 @@ def write_snapshot(docs: DataFrame, path: str, order: str = "ord") -> bool:
         return False
     fields = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != order])
     lines = numbered(docs.select(F.col(f"`{order}`").alias("__order"), F.to_json(fields, {"ignoreNullFields": "false"}).alias("__json")), ["__order", "__json"], "line")
-    lines = written(lines, "lines")
-    n = lines.count()
+    n = docs.count()
     place = F.col("line")
     value = F.concat(F.when(place == 0, "[").otherwise(","), F.col("__json"), F.when(place == n - 1, "]").otherwise(""))
     lines.repartitionByRange(place).sortWithinPartitions(place).select(value.alias("value")).write.text(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loomwell.functions import batches, dom
 from loomwell.operators import chunks, html, retrieval, store, versions
 from loomwell.plans.catalogue import ORACLE_SQL, QUERIES
+from loomwell.sources import snapshots
 from tests.harness import same
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +47,13 @@ def test_an_upload_moves_its_documents_once(spark):
     assert "Generate" not in blocks._jdf.queryExecution().toString() and store.documents(spark, path)._jdf.queryExecution().toString().count("Join") == 0
     found = {(r.id, round(r.score, 9)) for r in store.search_texts(spark, path, "w7 w8", {"title": 2.0, "content": 1.0}, None, 0.0).collect()}
     assert found == {(str(r.id), round(r.score, 9)) for r in retrieval.bm25(docs, "w7 w8", {"title": 2.0, "content": 1.0}, None, 0.0).collect()}
+
+
+def test_no_text_of_a_snapshot_goes_through_the_sums(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(snapshots, "_run_sum", lambda rows, *names, plain=snapshots._run_sum: (seen.append([k for _, k in rows.dtypes]), plain(rows, *names))[1])
+    (tmp_path / "s.json").write_text('[{"docId": "1}", "text": "a \\" ] b"}, {"docId": "2", "text": "{"}]')
+    items = snapshots.array_items(spark, str(tmp_path / "s.json"))
+    assert [r.text for r in snapshots.read_snapshot(spark, "", items=items).orderBy("ord").collect()] == ['a " ] b', "{"]
+    assert [r.docId for r in snapshots.read_upload(spark, "x.json", items).orderBy("ord").collect()] == ["1}", "2"]
+    assert len(seen) == 3 and all(kinds.count("string") == 1 for kinds in seen)  # the file's name alone
