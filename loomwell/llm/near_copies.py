@@ -1,16 +1,20 @@
 """Near copies by the Jaccard similarity of word shingles, each link confirmed.
 
-A single SimHash of 64 bits can't tell a similarity of 0.8: such a pair differs in
-about 10 bits. So every text gets 32 independent fingerprints, each hashed from 5
-minima over its shingles' hashes; texts with an equal fingerprint are candidates.
-A pair at 0.8 is one with probability 1 - (1 - 0.8^5)^32, all but 3 in a million,
-and a likelier one above. A group of texts with an equal fingerprint is never held
-by one task. First its text with the most candidates is compared with each of the
-others by the shingle sets; a group that is one component then, like copies of one
-text, is done and has cost a comparison a text. Of the groups that are still parted,
-the texts outside the group's largest component are compared with all others of it,
-in blocks of bounded size, each pair in the first group that both share. So every
-link that merges texts is confirmed, and no link within a group is missed.
+First op 5's method: every text gets a SimHash fingerprint of 64 bits from its
+shingles, ``simhash.stars`` joins the fingerprints with themselves by tries, within a
+budget of ``ERRORS`` bits, and the links found are confirmed by the shingle sets.
+A pair at a similarity of 0.8 differs in about 10 bits, more than any budget that
+still prunes a trie, so the tries alone would lose links between different texts.
+What they leave apart goes through an exact rest: every text gets 32 independent
+values, each hashed from 5 minima over its shingles' hashes; texts with an equal value
+are candidates. A pair at 0.8 is one with probability 1 - (1 - 0.8^5)^32, all but 3 in
+a million, and a likelier one above. A group of texts with an equal value is never held
+by one task, and one that the tries have made one component is done. In the others the
+text with the most candidates is compared with each text outside its component. Of the
+groups that are still parted, the texts outside the group's largest component are
+compared with all others of it, in blocks of bounded size, each pair in the first group
+that both share. So every link that merges texts is confirmed, and no link within a
+group is missed.
 
 Defined cases: words and case are those of ``simhash.fingerprint``; texts with the
 same words in the same order are one (told by 64 bits of their hash); a text with fewer
@@ -31,8 +35,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.llm.common import written
-from loomwell.llm.simhash import SEED, components
+from loomwell.llm.simhash import SEED, components, majority, stars
 
+#: Bits in which the tries' fingerprints may differ.
+ERRORS = 5
 BANDS, MINIMA = 32, 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _DRAWN = np.random.default_rng(SEED)
@@ -70,10 +76,16 @@ def bands(h: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(text: Column, size: int) -> Column:
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        found = {t: bands(h) if len(h := shingles(t, size)) else None for t in texts.unique()}  # copies in a batch once
-        return pd.Series([found[t] for t in texts], dtype=object)
+    """The SimHash of a text's shingle set and its values of minima; null without words."""
+
+    def one(t: str) -> tuple[int | None, np.ndarray | None]:
+        h = shingles(t, size)
+        return (int(np.uint64(majority(h)).astype(np.int64)), bands(h)) if len(h) else (None, None)
+
+    @F.pandas_udf("fp long, bands array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        found = {t: one(t) for t in texts.unique()}  # copies in a batch once
+        return pd.DataFrame({"fp": pd.array([found[t][0] for t in texts], "Int64"), "bands": pd.Series([found[t][1] for t in texts], dtype=object)})
 
     return of(text)
 
@@ -86,6 +98,15 @@ def _sets(text: Column, size: int) -> Column:
     return of(text)
 
 
+def trie_pairs(distinct: DataFrame, errors: int = ERRORS) -> DataFrame:
+    """(a, b): pairs of nodes that span what the trie self-join of their fingerprints links. Columns: node, fp (null: no words)."""
+    prints = written(distinct.filter("fp is not null").groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    first = lambda fp, name: prints.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    linked = stars(prints.select("fp"), errors).distinct().join(first("u", "b"), "u").join(first("v", "a"), "v").select("a", "b")
+    equal = distinct.join(prints, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return linked.unionByName(equal)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(u, v), u > v: those of the pairs (a, b) whose shingle sets have the similarity."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
@@ -183,29 +204,35 @@ def _open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, least: f
     return whole.mapInArrow(lambda it: _compared(it, least), "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8, most_rows: int = 2_000) -> tuple[DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8, most_rows: int = 2_000, errors: int = ERRORS) -> tuple[DataFrame, DataFrame]:
     """id and node (of its words) of each row; and node, id (its smallest) and label (its component's smallest node) of each distinct text."""
     node = F.xxhash64("__words").alias("node")
     plain = docs.select(F.col(key).alias("id"), words(F.col(text)).alias("__words"))
-    rows = written(plain.select("id", node, _fingerprints(F.col("__words"), size).alias("bands")), "bands")
-    distinct = written(rows.groupBy("node").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")), "distinct")
+    found = plain.select("id", node, _fingerprints(F.col("__words"), size).alias("of"))
+    rows = written(found.select("id", "node", "of.fp", "of.bands"), "bands")
+    distinct = written(rows.groupBy("node").agg(F.min("id").alias("id"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "distinct")
+    tried = written(trie_pairs(distinct.select("node", "fp"), errors), "tries")
     keyed = distinct.select("node", F.posexplode("bands").alias("at", "band"))
     several = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = written(keyed.join(several, "band"), "candidates")
-    known = members.groupBy("node").agg(F.sum("n").alias("candidates"))
+    in_tries = tried.select(F.explode(F.array("a", "b")).alias("node"), F.lit(0).cast("long").alias("n"))
+    known = members.select("node", "n").unionByName(in_tries).groupBy("node").agg(F.sum("n").alias("candidates"))
     # a text is taken from the row with its smallest id, so that a text that many rows have is no hot key
     wanted = distinct.join(known, "node").select(F.col("node").alias("__node"), F.col("id").alias("__id"), "candidates", "bands")
     texts = plain.select("id", node, "__words").join(wanted, (F.col("node") == F.col("__node")) & F.col("id").eqNullSafe(F.col("__id")))
     texts = texts.groupBy("node").agg(F.any_value("candidates").alias("candidates"), F.any_value("bands").alias("bands"), F.any_value("__words").alias("__words"))
     sets = written(texts.select("node", "candidates", "bands", _sets(F.col("__words"), size).alias("hashes")), "sets")
-    members = written(members.join(sets.select("node", "candidates", F.size("hashes").alias("size")), "node"), "members")
+    links = written(_confirmed(tried, sets, least), "links")
+    facts = sets.select("node", "candidates", F.size("hashes").alias("size")).join(components(links, "labels"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = written(members.join(facts, "node"), "members")
 
-    lead = members.groupBy("band").agg(F.max_by(F.struct("node", "size"), F.struct("candidates", "node")).alias("lead"))
-    pairs = members.join(lead, "band").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.least("lead.size", "size").alias("small"), F.greatest("lead.size", "size").alias("large"))
+    # groups that the tries have made one component need no more
+    lead = members.groupBy("band").agg(F.max_by(F.struct("node", "size", "label"), F.struct("candidates", "node")).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    pairs = members.join(lead, "band").filter(F.col("lead.label") != F.col("label")).select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.least("lead.size", "size").alias("small"), F.greatest("lead.size", "size").alias("large"))
     # a size outside this can't reach the similarity
-    pairs = pairs.filter((F.col("a") != F.col("b")) & (F.col("small") >= F.lit(least) * F.col("large") - 1e-6)).select("a", "b").distinct()
-    links = written(_confirmed(pairs, sets, least), "links")
-    further = written(_open_links(members, components(links, "labels"), sets, least, most_rows), "links")
+    pairs = pairs.filter(F.col("small") >= F.lit(least) * F.col("large") - 1e-6).select("a", "b").distinct()
+    links = written(links.unionByName(_confirmed(pairs, sets, least)), "links")
+    further = written(_open_links(members.drop("label"), components(links, "labels"), sets, least, most_rows), "links")
     labels = components(links.unionByName(further), "labels")
     return rows.select("id", "node"), distinct.select("node", "id").join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
 

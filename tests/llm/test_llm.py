@@ -823,6 +823,32 @@ def test_near_copies_in_parted_groups(spark):
         assert sorted(x.doc_id for x in near_copies.keep_one(df).collect()) == sorted(set(comp))
 
 
+def test_near_copies_by_tries(spark):
+    """Fingerprints within the budget are linked by tries, and the pairs whose sets are alike are confirmed."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(300)]
+        texts += [" ".join(base), " ".join([*base, word()]), " ".join([word(), *base[3:]])]
+    rows = [(i, simhash.majority(near_copies.shingles(t, 5))) for i, t in enumerate(texts)] + [(len(texts), None)]
+    signed = lambda fp: fp - (1 << 64) if fp is not None and fp >> 63 else fp
+    df = spark.createDataFrame([(i, signed(fp)) for i, fp in rows] + [(99, signed(rows[0][1]))], "node long, fp long")
+    root = list(range(len(texts)))
+    for i in root:
+        near = [root[j] for j in range(len(texts)) if (rows[i][1] ^ rows[j][1]).bit_count() <= near_copies.ERRORS]
+        root = [min(near) if x in near else x for x in root]
+    pairs = [(x.a, x.b) for x in near_copies.trie_pairs(df).collect()]
+    assert (0, 99) in pairs
+    found = list(range(100))
+    for a, b in pairs:
+        found = [min(found[a], found[b]) if x in (found[a], found[b]) else x for x in found]
+    assert found[: len(texts)] == root and len(set(root)) < len(texts)
+    whole = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    comp = plain_near_copies(texts)
+    assert sorted(x.doc_id for x in near_copies.keep_one(whole).collect()) == sorted(set(comp))
+
+
 def test_near_copies_of_equal_ids(spark):
     rows = [(1, "a b c d e f", x) for x in ("p", "q", None)] + [(None, "a b c d e f", "r"), (None, None, "s"), (None, "", "t"), (2, "A  b c d e f", "u")]
     df = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(3)
