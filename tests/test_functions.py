@@ -105,3 +105,28 @@ def test_table_functions_from_sql(spark):
     assert [g[5] for g in got[:5]] == [True, True, True, True, False] and {g[0] for g in got} == {1}
     nodes = spark.sql("SELECT n.* FROM some_pages, LATERAL html_nodes(html) n WHERE n.tag IN ('p', 'b')").collect()
     assert [(n.tag, n.id, n.classes, n.text) for n in nodes] == [("p", "x", "y z", "one three"), ("b", None, None, "two")] and nodes[1].parent_no == nodes[0].node_no
+
+
+def test_white_space_forms_are_python_s(spark):
+    """Stripping, collapsing and product names by tables of characters, against properties of every character."""
+    space = r"(?U)[\s\x1c-\x1f]"
+    chars = [chr(c) for c in range(0x3100) if not chr(c).isalnum() or c < 0x80] + ["​", "﻿", "\U0001f600", "\U00020000"]
+    rows = [(x,) for c in chars for x in (f"a{c}b", f"{c} x{c}{c}", f"a {c}")] + [("",), (None,), ("  ",)]
+    t = F.col("t")
+    strip = lambda c: F.regexp_replace(c, rf"^(?:{space}+)|(?:{space}+)$", "")
+    collapse = lambda c: F.regexp_replace(c, f"{space}+", " ")
+    product = strip(F.regexp_replace(collapse(t), r"(?U)[^\w\s\x1c-\x1fㄱ-ㅎㅏ-ㅣ가-힣/\-()]", ""))
+    same = text.strip(t).eqNullSafe(strip(t)) & text.collapse(t).eqNullSafe(collapse(t)) & text.product_name(t).eqNullSafe(product)
+    assert spark.createDataFrame(rows, "t string").filter(~same).count() == 0
+
+
+def test_texts_without_references_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([("<b>a</b> &lt;b &amp;amp;",), ("a  <i>b",), ("&",), (None,)], "t string")
+    out = df.select(text.strip_tags(F.col("t")).alias("t"))
+    assert [r.t for r in out.collect()] == ["a <b &amp;", "a b", "&", None]
+    assert "Contains(t" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_term_of_few_and_many_words(spark):
+    df = spark.createDataFrame([("a bb c dd\nee ff-gg hhh",), ("x yy",), ("x y",), ("",), (None,), ("가나 b 다라",)], "t string")
+    assert [r.t for r in df.select(text.search_term(F.col("t")).alias("t")).collect()] == ["bb dd ee ff gg", "yy", "", "", None, "가나 다라"]
