@@ -130,3 +130,13 @@ def test_texts_without_references_stay_in_the_jvm(spark):
 def test_search_term_of_few_and_many_words(spark):
     df = spark.createDataFrame([("a bb c dd\nee ff-gg hhh",), ("x yy",), ("x y",), ("",), (None,), ("가나 b 다라",)], "t string")
     assert [r.t for r in df.select(text.search_term(F.col("t")).alias("t")).collect()] == ["bb dd ee ff gg", "yy", "", "", None, "가나 다라"]
+
+
+def test_pages_are_cleaned_once(spark):
+    from loomwell.operators import build
+
+    rows = [("u1", "A^B", "a\n\n\n\nb  \n -  c"), ("u2", "공지사항^B", "x  \n\n\n\ny é"), ("u3", "공지사항", ""), ("u4", None, None), ("u5", "A", "# 통신사기주의보\nz")]
+    pages = spark.createDataFrame(rows, "url string, menu_path string, markdown string").withColumns({"meta_title": F.lit("m"), "page_title": F.lit("p")})
+    out = build.documents(pages).select("url", "text", "kind")
+    assert sorted(map(tuple, out.collect())) == [("u1", "a\\n\\nb\\n- c", "info"), ("u2", "x\\n\\ny é", "notice"), ("u3", "", "info"), ("u4", "", "info"), ("u5", "# 통신사기주의보\\nz", "notice")]
+    assert out._jdf.queryExecution().executedPlan().toString().count("자막") == 2  # the cleaner's pattern, once in its column
