@@ -22,6 +22,22 @@ def test_html_parts_decodes_what_its_sql_does(spark, tmp_path):
     assert dom.tree("<script>1 &amp;& 2</script>", references=False).first("script").children == ["1 &amp;& 2"]
 
 
+ODD = [None, "", " ", "\n", "\n\n\n", "a", "x" * 10, "# a", "a\n## b\n\nc", "a\n\n\n b \n", "a\n\u3000\n\xa0\n\t\nb\r\n\r\n", "\x0b", "\xa0abcdefgh\x1f", "| x |\n|---|\n| 1 |", "| x |\n|---|", ":a\n::b\n:", "-", "\\# a\n\n", "abcdefghi\n", "a. b\n\n" * 500, "é\u2028\x00\n\u200b\nb"]
+
+
+def odd_documents(spark, path) -> str:
+    """``documents`` of texts that are null, empty, blank or look like markup, and of odd languages and sources."""
+    rows = [(i, x, "en", "src1") for i, x in enumerate(ODD, 1)] + [(100 + i, "a", x, "s") for i, x in enumerate([None, "", " e\n\nn+%41 ", "é"])] + [(200 + i, "a", "de", x) for i, x in enumerate([None, "", " s\n\n# t ", "| x |\n|---|"])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_typed_blocks_takes_any_text_as_its_sql_does(spark, tmp_path):
+    d = odd_documents(spark, tmp_path)
+    spark.createDataFrame([(None, "a", "en", "s")], "doc_id long, text string, lang string, source string").write.mode("append").parquet(f"{d}/documents.parquet")
+    same(QUERIES["typed_blocks"](spark, d), ORACLE_SQL["typed_blocks"], d)
+
+
 def test_python_helpers_hold_a_part_of_a_batch(spark):
     texts = pa.array(["x" * 400_000, None, "y" * 3_000_000, *["z" * 1000] * 5000])
     cut = list(batches.parts(texts))
