@@ -38,6 +38,12 @@ def test_typed_blocks_takes_any_text_as_its_sql_does(spark, tmp_path):
     same(QUERIES["typed_blocks"](spark, d), ORACLE_SQL["typed_blocks"], d)
 
 
+def test_vector_store_takes_any_text_as_its_sql_does(spark, tmp_path):
+    d = odd_documents(spark, tmp_path)
+    for name in ("vector_store_outcome", "store_counts"):
+        same(QUERIES[name](spark, d), ORACLE_SQL[name], d)
+
+
 def test_python_helpers_hold_a_part_of_a_batch(spark):
     texts = pa.array(["x" * 400_000, None, "y" * 3_000_000, *["z" * 1000] * 5000])
     cut = list(batches.parts(texts))
